@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 from html.entities import name2codepoint
+from weakref import WeakKeyDictionary
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,6 +40,27 @@ CLEAN_RULES = [
 ]
 
 
+def built_once(build: Callable[..., Column]) -> Callable[..., Column]:
+    """Keep the columns that ``build`` makes, per Spark context and arguments.
+
+    A large expression takes thousands of calls into the JVM to put together, and a stream
+    needs the same ones for every batch.
+    """
+    kept: WeakKeyDictionary[SparkContext, dict] = WeakKeyDictionary()
+
+    @wraps(build)
+    def found(*args) -> Column:
+        context = SparkContext._active_spark_context
+        if context is None:
+            return build(*args)
+        columns = kept.setdefault(context, {})
+        if args not in columns:
+            columns[args] = build(*args)
+        return columns[args]
+
+    return found
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body(value)`` with ``value`` computed once.
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..session import cut
-from .dedup import absent, dedupe_first
+from .dedup import dedupe_first
 from .html import extract_links
-from .order import row_index
+from .order import numbered
 from .urls import exclude_containing, exclude_links
 
 # Levels after which the parts of the visited set are written as one table.
@@ -52,7 +52,7 @@ def expand_frontier(frontier: DataFrame, edges: DataFrame, visited: DataFrame) -
     """
     found = edges.join(frontier.select(F.col("url").alias("src_url"), F.col("ord").alias("parent_ord")), "src_url")
     first = found.groupBy(F.col("dst_url").alias("url")).agg(F.min(F.struct("parent_ord", "pos")).alias("__first"))
-    new = absent(first, "url", visited, "url")
+    new = first.join(visited.select("url"), "url", "left_anti")
     return new.select("url", "__first.parent_ord", "__first.pos")
 
 
@@ -65,18 +65,15 @@ def reachable(edges: DataFrame, root: str, max_urls: int | None = None) -> DataF
     """
     spark = edges.sparkSession
     links = cut(edges.select("src_url", "pos", "dst_url"))
-    frontier = spark.createDataFrame([(root, 0, 0)], "url string, depth int, ord bigint")
+    frontier = spark.range(1).select(F.lit(root).alias("url"), F.lit(0).alias("depth"), F.col("id").alias("ord"))
     levels = [frontier]
     count, depth = 1, 0
     while max_urls is None or count < max_urls:
         depth += 1
         visited = reduce(DataFrame.unionByName, levels)
         new = expand_frontier(frontier, links, visited)
-        placed = row_index(new, ["parent_ord", "pos"], "__n")
-        frontier = placed.select(
-            "url", F.lit(depth).alias("depth"), (F.col("__n") + F.lit(count)).cast("bigint").alias("ord")
-        )
-        size = frontier.count()
+        placed, size = numbered(new, ["parent_ord", "pos"], "__n")
+        frontier = placed.select("url", F.lit(depth).alias("depth"), (F.col("__n") + F.lit(count)).alias("ord"))
         if size == 0:
             break
         count += size

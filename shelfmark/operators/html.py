@@ -11,13 +11,13 @@ them in outputs.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.price import price_amount, price_current, price_eur
-from ..functions.text import blank_to_null, clean_text, decode_references, let, strip, title_head
+from ..functions.text import blank_to_null, built_once, clean_text, decode_references, let, strip, title_head
 
 # Inside a tag: names and values; a quoted value may hold "<" and ">". Possessive throughout,
 # so broken HTML costs neither stack nor backtracking.
@@ -132,7 +132,7 @@ DESCRIPTION_SELECTORS_V1 = (
 
 @dataclass(frozen=True)
 class Rules:
-    """Which selectors a job uses for each field."""
+    """Which selectors a job uses for each field. Give tuples, so that rules can be compared."""
 
     titles: Sequence[Selector] = TITLE_SELECTORS
     descriptions: Sequence[Selector] = DESCRIPTION_SELECTORS
@@ -153,29 +153,65 @@ class RulesV1:
     image_class: str = IMAGE_CLASS_V1
     ignore_description: bool = False
     allow_no_price: bool = False
-    zero_prices: Sequence[str] = field(default_factory=lambda: tuple(ZERO_PRICES))
+    zero_prices: Sequence[str] = tuple(ZERO_PRICES)
 
 
 # ---------------------------------------------------------------- tokens
 
 
 def tokens(html: Column) -> Column:
-    """Array of (tag, raw): ``p`` and ``/p`` for tags, ``!`` for comments, ``''`` for text."""
+    """Array of (tag, raw): ``p`` and ``/p`` for tags, ``!`` for comments, ``''`` for text.
+
+    Text is decoded here, once; tags stay as written.
+    """
 
     def token(raw: Column) -> Column:
-        name = F.lower(F.regexp_extract(raw, r"^<(/?[a-zA-Z][^\s/>]*)", 1))
-        return F.struct(F.when(raw.rlike("^<[!?]"), "!").otherwise(name).alias("tag"), raw.alias("raw"))
+        # text comes out as '', comments and declarations as '!'
+        name = F.lower(F.regexp_extract(raw, r"^<(/?[a-zA-Z][^\s/>]*|[!?])", 1))
+        encoded = raw.contains("&") & ~raw.rlike("^<[a-zA-Z/!?]")
+        return F.struct(
+            F.when(raw.startswith("<"), name).otherwise("").alias("tag"),
+            F.when(encoded, decode_references(raw)).otherwise(raw).alias("raw"),
+        )
 
     return F.transform(F.regexp_extract_all(html, F.lit(TOKEN), F.lit(0)), token)
 
 
+def metas(tokens: Column) -> Column:
+    """Array of (property, content) of the ``<meta property>`` tags; content '' if empty."""
+    tags = F.filter(tokens, lambda t: (t["tag"] == "meta") & t["raw"].rlike("(?i)property"))
+    pairs = F.transform(
+        tags,
+        lambda t: F.struct(
+            attribute(t["raw"], "property").alias("property"),
+            decode_references(attribute(t["raw"], "content")).alias("content"),
+        ),
+    )
+    return F.filter(pairs, lambda m: m["property"].isNotNull())
+
+
 def with_tokens(pages: DataFrame) -> DataFrame:
-    """Replace ``html`` by its tokens. Done in its own projection so that it runs once a row."""
-    return pages.withColumn("tokens", tokens(F.col("html"))).drop("html")
+    """Replace ``html`` by ``tokens`` and ``metas``, from which the field columns below read.
+
+    Each is a projection of its own, so that it is computed once a row.
+    """
+    cut_up = pages.withColumn("tokens", _tokens_of_html()).drop("html")
+    return cut_up.withColumn("metas", _metas_of_tokens())
+
+
+@built_once
+def _tokens_of_html() -> Column:
+    return tokens(F.col("html"))
+
+
+@built_once
+def _metas_of_tokens() -> Column:
+    return metas(F.col("tokens"))
 
 
 def attribute(raw: Column, name: str) -> Column:
-    """Value of an attribute of a start tag; '' when it has none, NULL when it is absent."""
+    """Value of an attribute of a start tag, references as written; '' when it has no value,
+    NULL when it is absent."""
 
     def named(a: Column) -> Column:
         return F.lower(F.regexp_extract(a, r"^([^\s=]+)", 1)) == name
@@ -187,20 +223,14 @@ def attribute(raw: Column, name: str) -> Column:
         # the first entry is the tag's own name
         pairs = let(F.regexp_extract_all(r, F.lit(_ATTR), F.lit(0)), lambda p: F.slice(p, F.lit(2), F.size(p)))
         value = F.regexp_replace(F.get(F.filter(pairs, named), F.lit(0)), r"(?s)^[^\s=]+\s*=?\s*", "")
-        return F.when(r.rlike(f"(?i){name}"), decode_references(let(value, unquoted)))
+        return F.when(r.rlike(f"(?i){name}"), let(value, unquoted))
 
     return let(raw, found)
 
 
-def meta_content(tokens: Column, name: str) -> Column:
+def meta_content(name: str) -> Column:
     """``content`` of the first ``<meta property=name>``; '' when it is there but empty."""
-
-    def wanted(t: Column) -> Column:
-        # contains() first: it is cheap and rules out nearly every meta tag
-        return (t["tag"] == "meta") & t["raw"].contains(name) & (attribute(t["raw"], "property") == name)
-
-    raw = F.get(F.filter(tokens, wanted), F.lit(0))["raw"]
-    return attribute(raw, "content")
+    return F.get(F.filter(F.col("metas"), lambda m: m["property"] == name), F.lit(0))["content"]
 
 
 def _inside(tokens: Column, start: Column, tag: Column | str, optional_ends: bool) -> Column:
@@ -230,8 +260,7 @@ def _text(inside: Column, strip_each: bool = False) -> Column:
     """Text of a run of tokens, without comments, scripts and styles."""
 
     def piece(t: Column) -> Column:
-        text = decode_references(t["raw"])
-        return strip(text) if strip_each else text
+        return strip(t["raw"]) if strip_each else t["raw"]
 
     return F.array_join(F.transform(F.filter(inside, lambda t: t["tag"] == ""), piece), "")
 
@@ -247,12 +276,13 @@ def _matches(tokens: Column, selectors: Sequence[Selector], any_class: bool = Fa
 
     def candidate(t: Column, i: Column) -> Column:
         css = strip(F.regexp_replace(attribute(t["raw"], "class"), r"(?U)\s+", " "))
-        return F.struct(
+        found = F.struct(
             (i + 1).alias("at"),
             t["tag"].alias("tag"),
             t["raw"].alias("raw"),
-            (F.lit(None).cast("string") if any_class else F.when(t["tag"].isin(tags), css)).alias("css"),
+            (F.lit(None).cast("string") if any_class else css).alias("css"),
         )
+        return F.when(t["tag"].isin(tags), found)
 
     def hit(wanted: Column, found: Column) -> Column:
         def same(c: Column) -> Column:
@@ -268,13 +298,12 @@ def _matches(tokens: Column, selectors: Sequence[Selector], any_class: bool = Fa
     wanted = F.array(
         *[F.struct(F.lit(s.tag).alias("tag"), F.lit(s.css).cast("string").alias("css")) for s in selectors]
     )
-    found = F.filter(F.transform(tokens, candidate), lambda c: c["tag"].isin(tags))
+    found = F.filter(F.transform(tokens, candidate), lambda c: c.isNotNull())
     hits = let(found, lambda f: F.transform(wanted, lambda w: hit(w, f)))
     return F.filter(hits, lambda h: h.isNotNull())
 
 
 def first_by_class(
-    tokens: Column,
     selectors: Sequence[Selector],
     *,
     skip: Sequence[str] = (),
@@ -292,23 +321,25 @@ def first_by_class(
         return F.lit(None).cast("string")
 
     def text(h: Column) -> Column:
-        inside = _inside(tokens, h["at"], h["tag"], optional_ends)
+        inside = _inside(F.col("tokens"), h["at"], h["tag"], optional_ends)
         joined = _text(inside, strip_each)
         return joined if strip_each else strip(joined)
 
-    hits = _matches(tokens, selectors, any_class)
+    hits = _matches(F.col("tokens"), selectors, any_class)
     if first_match_wins:
         return F.get(F.transform(F.slice(hits, 1, 1), text), F.lit(0))
     texts = F.transform(hits, text)
     return F.get(F.filter(texts, lambda x: (x != "") & ~x.isin("", *skip)), F.lit(0))
 
 
-def image_by_class(tokens: Column, classes: Sequence[str], first_match_wins: bool = False) -> Column:
+def image_by_class(classes: Sequence[str], first_match_wins: bool = False) -> Column:
     """``src`` of the first ``img`` that carries one of the classes, classes tried in order."""
     if not classes:
         return F.lit(None).cast("string")
-    hits = _matches(tokens, [Selector("img", c) for c in classes])
-    sources = F.transform(hits, lambda h: F.coalesce(strip(attribute(h["raw"], "src")), F.lit("")))
+    hits = _matches(F.col("tokens"), [Selector("img", c) for c in classes])
+    sources = F.transform(
+        hits, lambda h: F.coalesce(strip(decode_references(attribute(h["raw"], "src"))), F.lit(""))
+    )
     if first_match_wins:
         return F.get(sources, F.lit(0))
     return F.get(F.filter(sources, lambda s: s != ""), F.lit(0))
@@ -317,65 +348,74 @@ def image_by_class(tokens: Column, classes: Sequence[str], first_match_wins: boo
 # ---------------------------------------------------------------- fields of a page, as columns
 
 
-def page_title(t: Column, rules: Rules = Rules()) -> Column:
+@built_once
+def page_title(rules: Rules = Rules()) -> Column:
     """og:title as it stands, else the first title element's text, pieces stripped."""
-    by_tag = blank_to_null(first_by_class(t, rules.titles, first_match_wins=True, strip_each=True))
+    by_tag = blank_to_null(first_by_class(rules.titles, first_match_wins=True, strip_each=True))
     if not rules.use_og_title:
         return by_tag
-    return F.coalesce(blank_to_null(meta_content(t, "og:title")), by_tag)
+    return F.coalesce(blank_to_null(meta_content("og:title")), by_tag)
 
 
-def page_title_v1(t: Column, rules: RulesV1 = RulesV1()) -> Column:
+@built_once
+def page_title_v1(rules: RulesV1 = RulesV1()) -> Column:
     """Selectors in order; an og entry needs a content, a tag entry counts whatever its class."""
     tries = []
     for s in rules.titles:
         if s.property:
             # present and not empty wins, even if only white space is in it
-            tries.append(strip(blank_to_null(meta_content(t, s.property))))
+            tries.append(strip(blank_to_null(meta_content(s.property))))
         else:
-            tries.append(first_by_class(t, [s], first_match_wins=True, any_class=True, optional_ends=False))
+            tries.append(first_by_class([s], first_match_wins=True, any_class=True, optional_ends=False))
     return blank_to_null(F.coalesce(*tries))
 
 
-def page_image(t: Column, rules: Rules = Rules()) -> Column:
-    by_class = image_by_class(t, rules.image_classes)
+@built_once
+def page_image(rules: Rules = Rules()) -> Column:
+    by_class = image_by_class(rules.image_classes)
     if not rules.use_og_image:
         return by_class
-    return F.coalesce(blank_to_null(strip(meta_content(t, "og:image"))), by_class)
+    return F.coalesce(blank_to_null(strip(meta_content("og:image"))), by_class)
 
 
-def page_image_v1(t: Column, rules: RulesV1 = RulesV1()) -> Column:
+@built_once
+def page_image_v1(rules: RulesV1 = RulesV1()) -> Column:
     return F.coalesce(
-        strip(meta_content(t, "og:image")), image_by_class(t, [rules.image_class], first_match_wins=True)
+        strip(meta_content("og:image")), image_by_class([rules.image_class], first_match_wins=True)
     )
 
 
-def page_description(t: Column, rules: Rules = Rules()) -> Column:
-    by_tag = first_by_class(t, rules.descriptions)
+@built_once
+def page_description(rules: Rules = Rules()) -> Column:
+    by_tag = first_by_class(rules.descriptions)
     if not rules.use_og_description:
         return by_tag
-    return F.coalesce(blank_to_null(strip(meta_content(t, "og:description"))), by_tag)
+    return F.coalesce(blank_to_null(strip(meta_content("og:description"))), by_tag)
 
 
-def page_description_v1(t: Column, rules: RulesV1 = RulesV1()) -> Column:
+@built_once
+def page_description_v1(rules: RulesV1 = RulesV1()) -> Column:
     """The first matching element wins even if it is empty."""
     if rules.ignore_description:
         return F.lit(None).cast("string")
-    return first_by_class(t, rules.descriptions, first_match_wins=True, optional_ends=False)
+    return first_by_class(rules.descriptions, first_match_wins=True, optional_ends=False)
 
 
-def page_price_text(t: Column, rules: Rules = Rules()) -> Column:
-    return first_by_class(t, rules.prices)
+@built_once
+def page_price_text(rules: Rules = Rules()) -> Column:
+    return first_by_class(rules.prices)
 
 
-def page_price_text_v1(t: Column, rules: RulesV1 = RulesV1()) -> Column:
-    return first_by_class(t, rules.prices, skip=rules.zero_prices, optional_ends=False)
+@built_once
+def page_price_text_v1(rules: RulesV1 = RulesV1()) -> Column:
+    return first_by_class(rules.prices, skip=rules.zero_prices, optional_ends=False)
 
 
-def script_price(t: Column) -> Column:
+@built_once
+def script_price() -> Column:
     """The price in the first script that holds product data."""
     script = F.get(
-        F.filter(t, lambda x: (x["tag"] == "script") & x["raw"].contains(PRICE_SCRIPT_MARK)), F.lit(0)
+        F.filter("tokens", lambda x: (x["tag"] == "script") & x["raw"].contains(PRICE_SCRIPT_MARK)), F.lit(0)
     )
     return blank_to_null(F.regexp_extract(script["raw"], PRICE_SCRIPT_PATTERN, 1))
 
@@ -392,9 +432,11 @@ def html_title(html: Column) -> Column:
     return decode_references(blank_to_null(found))
 
 
-def page_text_column(t: Column) -> Column:
+@built_once
+def page_text_column() -> Column:
     """Plain text without ``nav`` and ``footer`` parts; blocks are set off by an empty line."""
     dropped = ["nav", "footer"]
+    t = F.col("tokens")
 
     def mark(x: Column, i: Column) -> Column:
         delta = F.when(x["tag"].isin(dropped) & ~x["raw"].endswith("/>"), 1).when(
@@ -429,7 +471,7 @@ def page_text_column(t: Column) -> Column:
     def written(x: Column) -> Column:
         name = F.regexp_replace(x["tag"], "^/", "")
         # line breaks in the source are only spaces
-        flowing = F.regexp_replace(decode_references(x["raw"]), r"[ \t\r\n\f]+", " ")
+        flowing = F.regexp_replace(x["raw"], r"[ \t\r\n\f]+", " ")
         return F.when(x["tag"] == "", flowing).when(name.isin(BLOCK_TAGS), "\n\n").when(name == "br", "\n").otherwise("")
 
     text = F.array_join(F.transform(kept, written), "")
@@ -437,6 +479,26 @@ def page_text_column(t: Column) -> Column:
     return strip(F.regexp_replace(text, r"\n{3,}", "\n\n"))
 
 
+@built_once
+def _price() -> Column:
+    return price_eur(F.col("price_text"))
+
+
+@built_once
+def _price_amount() -> Column:
+    return price_amount(F.col("price_text"))
+
+
+@built_once
+def _price_v1() -> Column:
+    return price_current(F.col("price_text"))
+
+
+@built_once
+def _cleaned() -> Column:
+    return clean_text(F.col("text"))
+
+
 # ---------------------------------------------------------------- operators
 
 
@@ -460,7 +522,7 @@ def elements(pages: DataFrame) -> DataFrame:
         kind.alias("kind"),
         F.when(kind.isin("open", "close", "raw"), F.regexp_replace(tag, "^/", "")).alias("tag"),
         strip(attrs).alias("attrs"),
-        F.when(kind == "text", decode_references(raw)).when(kind == "raw", body).alias("text"),
+        F.when(kind == "text", raw).when(kind == "raw", body).alias("text"),
     )
 
 
@@ -473,7 +535,9 @@ def extract_links(pages: DataFrame) -> DataFrame:
         rf"|<a(?=[\s/]){_ATTRS}>"
     )
     found = F.filter(F.regexp_extract_all("html", F.lit(only_anchors), F.lit(0)), lambda r: r.rlike(r"(?i)^<a[\s/]"))
-    hrefs = F.filter(F.transform(found, lambda r: attribute(r, "href")), lambda h: h.isNotNull())
+    hrefs = F.filter(
+        F.transform(found, lambda r: decode_references(attribute(r, "href"))), lambda h: h.isNotNull()
+    )
     return pages.select("page_id", F.col("url").alias("src_url"), F.posexplode(hrefs).alias("pos", "href")).withColumn(
         "pos", F.col("pos").cast("bigint")
     )
@@ -481,7 +545,7 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
 def meta_property(pages: DataFrame, name: str) -> DataFrame:
     """page_id and the content of the named meta property; empty and absent are NULL."""
-    found = blank_to_null(meta_content(F.col("tokens"), name))
+    found = blank_to_null(meta_content(name))
     return with_tokens(pages).select("page_id", found.alias("content")).filter("content is not null")
 
 
@@ -522,15 +586,13 @@ def is_js_heavy(pages: DataFrame) -> DataFrame:
 
 
 def page_text(pages: DataFrame, cleaned: bool = False) -> DataFrame:
-    text = page_text_column(F.col("tokens"))
-    shown = with_tokens(pages).withColumn("text", text).drop("tokens")
-    return shown.withColumn("text", clean_text(F.col("text"))) if cleaned else shown
+    shown = with_tokens(pages).withColumn("text", page_text_column()).drop("tokens", "metas")
+    return shown.withColumn("text", _cleaned()) if cleaned else shown
 
 
 def strict_og(pages: DataFrame) -> DataFrame:
     """Only pages that have og:title, og:image and og:description."""
-    t = F.col("tokens")
-    fields = {n: strip(meta_content(t, f"og:{n}")) for n in ("title", "image", "description")}
+    fields = {n: strip(meta_content(f"og:{n}")) for n in ("title", "image", "description")}
     found = with_tokens(pages).select("page_id", "url", *[c.alias(n) for n, c in fields.items()])
     return found.dropna(subset=["title", "image", "description"])
 
@@ -541,44 +603,42 @@ def extract_fields(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
     Missing values are NULL. Pages with a ``status`` other than 200 get their status as title
     and no other field, as their HTML is not looked at.
     """
-    t = F.col("tokens")
     read = with_tokens(pages)
     fields = {
-        "title": page_title(t, rules),
-        "image": page_image(t, rules),
-        "description": page_description(t, rules),
-        "price_text": page_price_text(t, rules),
+        "title": page_title(rules),
+        "image": page_image(rules),
+        "description": page_description(rules),
+        "price_text": page_price_text(rules),
     }
     if "status" in pages.columns:
         loaded = F.col("status") == 200
         fields = {
             n: status_title(F.col("status"), c) if n == "title" else F.when(loaded, c) for n, c in fields.items()
         }
-    rest = [c for c in read.columns if c != "tokens"]
+    rest = [c for c in read.columns if c not in ("tokens", "metas")]
     found = read.select(*rest, *[c.alias(n) for n, c in fields.items()])
     return found.select(
         *rest,
         "title",
         "image",
         "description",
-        price_eur(F.col("price_text")).alias("price"),
-        price_amount(F.col("price_text")).alias("price_amount"),
+        _price().alias("price"),
+        _price_amount().alias("price_amount"),
     )
 
 
 def extract_fields_v1(pages: DataFrame, rules: RulesV1 = RulesV1()) -> DataFrame:
     """The first version's fields: og_title, name, image_url, description, price, cleaned_content."""
-    t = F.col("tokens")
     read = with_tokens(pages)
-    rest = [c for c in read.columns if c != "tokens"]
+    rest = [c for c in read.columns if c not in ("tokens", "metas")]
     found = read.select(
         *rest,
-        blank_to_null(meta_content(t, "og:title")).alias("og_title"),
-        page_title_v1(t, rules).alias("title"),
-        page_image_v1(t, rules).alias("image_url"),
-        page_description_v1(t, rules).alias("description"),
-        F.coalesce(page_price_text_v1(t, rules), script_price(t)).alias("price_text"),
-        page_text_column(t).alias("text"),
+        blank_to_null(meta_content("og:title")).alias("og_title"),
+        page_title_v1(rules).alias("title"),
+        page_image_v1(rules).alias("image_url"),
+        page_description_v1(rules).alias("description"),
+        F.coalesce(page_price_text_v1(rules), script_price()).alias("price_text"),
+        page_text_column().alias("text"),
     )
     return found.select(
         *rest,
@@ -586,8 +646,8 @@ def extract_fields_v1(pages: DataFrame, rules: RulesV1 = RulesV1()) -> DataFrame
         title_head(F.coalesce("title", F.lit(SENTINELS_V1["title"]))).alias("name"),
         "image_url",
         "description",
-        price_current(F.col("price_text")).alias("price"),
-        clean_text(F.col("text")).alias("cleaned_content"),
+        _price_v1().alias("price"),
+        _cleaned().alias("cleaned_content"),
     )
 
 

@@ -20,19 +20,22 @@ def row_index(df: DataFrame, order_by: Sequence[str], name: str = "idx") -> Data
     ranges, each numbers its own, and the table is written; what is shared is one count per
     range. The ranges are read back from the table, so a lost task cannot shift them.
     """
+    return numbered(df, order_by, name)[0]
+
+
+def numbered(df: DataFrame, order_by: Sequence[str], name: str) -> tuple[DataFrame, int]:
+    """``row_index`` and the number of rows."""
     own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ranges = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     placed = cut(ranges.withColumn("__range", F.spark_partition_id()).withColumn("__own", own))
-    sizes = placed.groupBy("__range").agg(F.count(F.lit(1)).alias("n")).orderBy("__range").collect()
+    sizes = dict(placed.groupBy("__range").agg(F.count(F.lit(1))).collect())  # one entry per range
     starts, total = [], 0
-    for r in sizes:  # one entry per range
-        starts.append((r["__range"], total))
-        total += r["n"]
-    if not starts:
-        return df.withColumn(name, F.lit(0).cast("bigint"))
-    start = df.sparkSession.createDataFrame(starts, "__range int, __start bigint")
-    numbered = placed.join(F.broadcast(start), "__range")
-    return numbered.select(*df.columns, (F.col("__start") + F.col("__own")).alias(name))
+    for i in range(max(sizes, default=-1) + 1):
+        starts.append(str(total))
+        total += sizes.get(i, 0)
+    # one literal: the first number of each range
+    start = F.get(F.split(F.lit(" ".join(starts) or "0"), " ").cast("array<bigint>"), F.col("__range"))
+    return placed.select(*df.columns, (start + F.col("__own")).alias(name)), total
 
 
 def last_n(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:

@@ -10,7 +10,7 @@ from ..operators import dedup as D
 from ..operators import graph as G
 from ..operators import html as H
 from ..operators import selection as L
-from ..session import cut
+from ..session import cut, empty_table
 from ..streaming import pages as R
 from . import jobs as J
 from .queries_tables import SHOP, SHOP_CATALOG, TITLES_CTE, page_titles, shop_products
@@ -384,7 +384,7 @@ _EMPTY = C.CATALOG_SCHEMA
 )
 def _(spark, sf_dir):
     """Shop pages to the catalogue, selection by rule, sorted by name."""
-    result = J.catalog_job(shop_pages(spark, sf_dir), spark.createDataFrame([], _EMPTY), materialize=False)
+    result = J.catalog_job(shop_pages(spark, sf_dir), empty_table(spark, _EMPTY), materialize=False)
     return C.sort_by_name(result.catalog)
 
 
@@ -398,7 +398,7 @@ def _(spark, sf_dir):
     """The log of a second run: pages that the first one processed are left out."""
     processed = shop_columns(spark, sf_dir, "page_id", "url").filter("page_id % 6 = 0")
     log = processed.select("url", F.lit("earlier").alias("title"))
-    return J.catalog_job(shop_pages(spark, sf_dir), spark.createDataFrame([], _EMPTY), log).log
+    return J.catalog_job(shop_pages(spark, sf_dir), empty_table(spark, _EMPTY), log).log
 
 
 @query(
@@ -412,7 +412,7 @@ def _(spark, sf_dir):
     "union all select 'saved', count(*), count(distinct url) from l",
 )
 def _(spark, sf_dir):
-    empty = spark.createDataFrame([], _EMPTY)
+    empty = empty_table(spark, _EMPTY)
     return J.catalog_job(shop_pages(spark, sf_dir), empty, target=100).counts()
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import price as P
@@ -292,7 +292,7 @@ def _(spark, sf_dir):
     "select page_id, trim(" + decoded("regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1', 1)") + ") as heading from pages",
 )
 def _(spark, sf_dir):
-    heading = H.first_by_class(F.col("tokens"), [H.Selector("h1")], any_class=True, first_match_wins=True)
+    heading = H.first_by_class([H.Selector("h1")], any_class=True, first_match_wins=True)
     return H.with_tokens(stored_pages(spark, sf_dir)).select("page_id", heading.alias("heading"))
 
 
@@ -353,55 +353,55 @@ def _(spark, sf_dir):
     return H.meta_property(shop_pages(spark, sf_dir), "og:title")
 
 
-def shop_field(spark: SparkSession, sf_dir: str, name: str, field) -> DataFrame:
+def shop_field(spark: SparkSession, sf_dir: str, name: str, field: Column) -> DataFrame:
     pages = H.with_tokens(shop_pages(spark, sf_dir))
-    return pages.select("page_id", field(F.col("tokens")).alias(name))
+    return pages.select("page_id", field.alias(name))
 
 
 @query("first_by_class", f"with {SHOP} select page_id, div_description as text from shop")
 def _(spark, sf_dir):
     selectors = [H.Selector("span", "missing"), H.Selector("div", "value"), H.Selector("p", "price")]
-    return shop_field(spark, sf_dir, "text", lambda t: H.first_by_class(t, selectors))
+    return shop_field(spark, sf_dir, "text", H.first_by_class(selectors))
 
 
 @query("page_title", f"with {SHOP} select page_id, title from shop")
 def _(spark, sf_dir):
-    return shop_field(spark, sf_dir, "title", H.page_title)
+    return shop_field(spark, sf_dir, "title", H.page_title())
 
 
 @query("page_title_no_og", "select p_partkey as page_id, p_name as title from part")
 def _(spark, sf_dir):
-    return shop_field(spark, sf_dir, "title", lambda t: H.page_title(t, H.Rules(use_og_title=False)))
+    return shop_field(spark, sf_dir, "title", H.page_title(H.Rules(use_og_title=False)))
 
 
 @query("page_title_v1", f"with {SHOP} select page_id, title from shop")
 def _(spark, sf_dir):
-    return shop_field(spark, sf_dir, "title", H.page_title_v1)
+    return shop_field(spark, sf_dir, "title", H.page_title_v1())
 
 
 @query("page_image", f"with {SHOP} select page_id, coalesce(image, 'Image not found') as image from shop")
 def _(spark, sf_dir):
-    return H.with_sentinels(shop_field(spark, sf_dir, "image", H.page_image))
+    return H.with_sentinels(shop_field(spark, sf_dir, "image", H.page_image()))
 
 
 @query("page_image_v1", f"with {SHOP} select page_id, coalesce(og_image, 'Imagen no disponible') as image from shop")
 def _(spark, sf_dir):
-    return H.with_sentinels(shop_field(spark, sf_dir, "image", H.page_image_v1), H.SENTINELS_V1)
+    return H.with_sentinels(shop_field(spark, sf_dir, "image", H.page_image_v1()), H.SENTINELS_V1)
 
 
 @query("page_description", f"with {SHOP} select page_id, description from shop")
 def _(spark, sf_dir):
-    return shop_field(spark, sf_dir, "description", H.page_description)
+    return shop_field(spark, sf_dir, "description", H.page_description())
 
 
 @query("page_description_v1", "select p_partkey as page_id, p_name || ' of ' || p_brand as description from part")
 def _(spark, sf_dir):
-    return shop_field(spark, sf_dir, "description", H.page_description_v1)
+    return shop_field(spark, sf_dir, "description", H.page_description_v1())
 
 
 @query("page_price_text", f"with {SHOP} select page_id, price_text as price from shop")
 def _(spark, sf_dir):
-    return shop_field(spark, sf_dir, "price", H.page_price_text)
+    return shop_field(spark, sf_dir, "price", H.page_price_text())
 
 
 @query(
@@ -409,12 +409,12 @@ def _(spark, sf_dir):
     f"with {SHOP} select page_id, coalesce(price_text_v1, 'Precio no disponible') as price from shop",
 )
 def _(spark, sf_dir):
-    return H.with_sentinels(shop_field(spark, sf_dir, "price", H.page_price_text_v1), H.SENTINELS_V1)
+    return H.with_sentinels(shop_field(spark, sf_dir, "price", H.page_price_text_v1()), H.SENTINELS_V1)
 
 
 @query("script_price", f"with {SHOP} select page_id, script_price as price from shop")
 def _(spark, sf_dir):
-    return shop_field(spark, sf_dir, "price", H.script_price)
+    return shop_field(spark, sf_dir, "price", H.script_price())
 
 
 @query(

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int | str = "*", app: str = "shelfmark") -> SparkSession:
@@ -20,6 +21,8 @@ def local_session(cores: int | str = "*", app: str = "shelfmark") -> SparkSessio
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
+        # no look at the Python stack for every column that is built
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
@@ -56,6 +59,12 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def empty_table(spark: SparkSession, schema: str) -> DataFrame:
+    """A table without rows whose size the optimizer knows."""
+    fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
+    return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in fields])
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores for a small input that arrives in a few files.
 

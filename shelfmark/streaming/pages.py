@@ -16,6 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.catalog import CATALOG_COLUMNS, CATALOG_SCHEMA, to_catalog
 from ..operators.dedup import absent, dedupe_first
+from ..session import empty_table
 from ..sources.readers import PAGES_SCHEMA
 
 
@@ -50,7 +51,7 @@ def read_stream_catalog(spark: SparkSession, folder: str) -> DataFrame:
     files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     schema = f"{CATALOG_SCHEMA}, batch bigint"
     if not files.exists(path):
-        return spark.createDataFrame([], schema)
+        return empty_table(spark, schema)
     return spark.read.schema(schema).parquet(folder)
 
 
