@@ -18,25 +18,30 @@ SPACE = r"[\s\x1c-\x1f]"
 # break if that lies on the following line, else the first white space of this line. The plain
 # form ".*\s.*" finds the same text but tries every white space for every "[".
 _GAP = r"(?:.*+\n|\S*+[^\S\n]).*"
+# Where the first "[" (or "![") of a line closes nothing, the later ones of that line do not
+# either, so only the first after a line start or after the last match is tried. What lies
+# before it is put back.
+_TO_BRACKET = r"(?:^|\G)([^\[\n]*+)"
+_TO_IMAGE = r"(?:^|\G)((?:[^!\n]|!(?!\[))*+)"
 
 # The rewrite rules for page text, in the order in which they apply, each as
 # (pattern, replacement, text without which it cannot match).
 CLEAN_RULES = [
     (r"!\[\]([^)]*\))", "", "![]"),
-    (rf"\[{_GAP}\]([^)]*+\))", "", "["),
+    (rf"{_TO_BRACKET}\[{_GAP}\]([^)]*+\))", "$1", "["),
     (r"\[\s*\]\([^)]*\)", "", "]("),
     (r"\[!\]\([^)]*\)", "", "[!]"),
     (rf"\[\s*!\[{_GAP}\]([^)]*\))\s*\]\([^)]*\)", "", "!["),
     (r"(\w)-\n(\w)", "$1$2", "-"),
     (r"(?<!\n)\n(?!\n)", " ", None),
     (r"\n\s*\n", "\n", None),
-    (r"(?:(?<!\s)\s++)?!\s*$", "", "!"),
+    (r"(?:(?:(?<!\s)|\G)\s++)?!\s*$", "", "!"),
     (r"(?<!\s)\s++!", " ", "!"),
     (r"~", "", "~"),
-    (rf"!\[{_GAP}\]([^)]*+\))", "", "!["),
-    (rf"\[{_GAP}\]([^)]*+\))", "", "["),
-    (r"\[.*?\]\(.*?\)!\[.*?\]\(.*?\)", "", ")!["),
-    (r"\[.*?\]\(.*?\)", "", "]("),
+    (rf"{_TO_IMAGE}!\[{_GAP}\]([^)]*+\))", "$1", "!["),
+    (rf"{_TO_BRACKET}\[{_GAP}\]([^)]*+\))", "$1", "["),
+    (rf"{_TO_BRACKET}\[.*?\]\(.*?\)!\[.*?\]\(.*?\)", "$1", ")!["),
+    (rf"{_TO_BRACKET}\[.*?\]\(.*?\)", "$1", "]("),
 ]
 
 

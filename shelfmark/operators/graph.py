@@ -47,22 +47,30 @@ def link_edges(
 def expand_frontier(frontier: DataFrame, edges: DataFrame, visited: DataFrame) -> DataFrame:
     """Targets of the frontier that were not visited: url, parent_ord, pos of the first link.
 
-    A target that many links name is combined before the shuffle. The optimizer broadcasts
-    the frontier or the visited set while their tables are small, and joins by shuffle after.
+    ``visited`` has each URL once. A target that many links name is combined before the
+    shuffle. The optimizer broadcasts the frontier or the visited set while their tables are
+    small, and joins by shuffle after. The visited set is taken out by an outer join: an anti
+    join would be moved below the aggregate, where it meets every edge instead of the few
+    targets of this level.
     """
     found = edges.join(frontier.select(F.col("url").alias("src_url"), F.col("ord").alias("parent_ord")), "src_url")
     first = found.groupBy(F.col("dst_url").alias("url")).agg(F.min(F.struct("parent_ord", "pos")).alias("__first"))
-    new = first.join(visited.select("url"), "url", "left_anti")
+    known = visited.select("url", F.lit(True).alias("__known"))
+    new = first.join(known, "url", "left").filter("__known is null")
     return new.select("url", "__first.parent_ord", "__first.pos")
 
 
-def reachable(edges: DataFrame, root: str, max_urls: int | None = None) -> DataFrame:
+def reachable(edges: DataFrame, root: str, max_urls: int | None = None, ordered: bool = True) -> DataFrame:
     """Breadth-first closure from ``root``: url, depth and ``ord``, the place in the order.
 
     A URL is placed by the first link to it: by its parent's place, then by the link's. Each
     level is written as a table, so the plan stays small and a lost executor costs one level.
-    Stops when a level finds nothing or ``max_urls`` different URLs are found.
+    Stops when a level finds nothing or ``max_urls`` different URLs are found. Without a limit
+    the order can be left out (``ordered=False``), which saves sorting every level; ``ord`` is
+    then the depth.
     """
+    if max_urls is not None and not ordered:
+        raise ValueError("a limit needs the order")
     spark = edges.sparkSession
     links = cut(edges.select("src_url", "pos", "dst_url"))
     frontier = spark.range(1).select(F.lit(root).alias("url"), F.lit(0).alias("depth"), F.col("id").alias("ord"))
@@ -72,8 +80,13 @@ def reachable(edges: DataFrame, root: str, max_urls: int | None = None) -> DataF
         depth += 1
         visited = reduce(DataFrame.unionByName, levels)
         new = expand_frontier(frontier, links, visited)
-        placed, size = numbered(new, ["parent_ord", "pos"], "__n")
-        frontier = placed.select("url", F.lit(depth).alias("depth"), (F.col("__n") + F.lit(count)).alias("ord"))
+        if ordered:
+            placed, size = numbered(new, ["parent_ord", "pos"], "__n")
+            place = F.col("__n") + F.lit(count)
+        else:
+            placed = cut(new.select("url"))
+            size, place = placed.count(), F.lit(depth).cast("bigint")
+        frontier = placed.select("url", F.lit(depth).alias("depth"), place.alias("ord"))
         if size == 0:
             break
         count += size

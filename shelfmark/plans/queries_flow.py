@@ -269,13 +269,26 @@ _REACH = (
 
 @query("reachable", _REACH)
 def _(spark, sf_dir):
-    return G.reachable(G.link_edges(shop_pages(spark, sf_dir), ROOT), ROOT).select("url", "depth")
+    edges = G.link_edges(shop_pages(spark, sf_dir), ROOT)
+    return G.reachable(edges, ROOT, ordered=False).select("url", "depth")
+
+
+# A queue finds the URLs of a level in the order of their parents and links. The order of the
+# parents is that of the path of (parent, link) places down from the root, compared as a list.
+_ORDER = (
+    f"with recursive {SHOP}, {SHOP_EDGES}, walk(url, depth, trail) as (select '{ROOT}', 0, [0] union all "
+    "select e.dst_url, w.depth + 1, list_append(w.trail, e.pos) from walk w join shop_edges e on e.src_url = w.url "
+    "where w.depth < 5), first as (select url, min(depth) as depth, arg_min(trail, (depth, trail)) as trail "
+    "from walk group by url) "
+    "select url, cast(depth as integer) as depth, row_number() over (order by depth, trail) - 1 as ord from first "
+    "qualify ord < 20"
+)
 
 
-@query("reachable_limited")
+@query("reachable_limited", _ORDER)
 def _(spark, sf_dir):
     """The first URLs of the crawl in the order in which a queue would find them."""
-    return G.reachable(G.link_edges(shop_pages(spark, sf_dir), ROOT), ROOT, max_urls=50)
+    return G.reachable(G.link_edges(shop_pages(spark, sf_dir), ROOT), ROOT, max_urls=20)
 
 
 # ---------------------------------------------------------------- streams

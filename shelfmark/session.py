@@ -68,10 +68,10 @@ def empty_table(spark: SparkSession, schema: str) -> DataFrame:
 def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Use all cores for a small input that arrives in a few files.
 
-    A table of more than half as many splits as there are cores is left as it is, so a large
-    scan never pays for a shuffle here.
+    Only a scan of at most 32 splits (4 GB by default), and less than half the cores, is
+    spread; a large scan never pays for a shuffle here.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 2 > cores:
+    if df.rdd.getNumPartitions() > min(32, cores // 2):
         return df
     return df.repartition(cores, *keys)
