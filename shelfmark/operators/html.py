@@ -233,14 +233,14 @@ def meta_content(name: str) -> Column:
     return F.get(F.filter(F.col("metas"), lambda m: m["property"] == name), F.lit(0))["content"]
 
 
-def _inside(tokens: Column, start: Column, tag: Column | str, optional_ends: bool) -> Column:
-    """The tokens between the start tag at ``start`` (1-based) and its end.
+def _inside(tokens: Column, hit: Column, optional_ends: bool) -> Column:
+    """The tokens between the start tag of ``hit`` and its end.
 
     Nested elements of the same tag are counted; an element that is never closed runs to the
     end of the page. With ``optional_ends`` a paragraph also ends where a block begins.
     """
-    tag = F.lit(tag) if isinstance(tag, str) else tag
-    rest = F.slice(tokens, start + 1, F.size(tokens))
+    tag = hit["tag"]
+    rest = F.slice(tokens, hit["at"] + 1, F.size(tokens))
 
     def step(state: Column, t: Column) -> Column:
         opened = (t["tag"] == tag) & ~t["raw"].endswith("/>")
@@ -252,7 +252,8 @@ def _inside(tokens: Column, start: Column, tag: Column | str, optional_ends: boo
             F.struct(depth.alias("depth"), (state["n"] + 1).alias("n"))
         )
 
-    begin = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("n"))
+    alone = hit["raw"].endswith("/>").cast("int")
+    begin = F.struct((F.lit(1) - alone).alias("depth"), F.lit(0).alias("n"))
     return F.slice(rest, F.lit(1), F.aggregate(rest, begin, step, lambda s: s["n"]))
 
 
@@ -321,7 +322,7 @@ def first_by_class(
         return F.lit(None).cast("string")
 
     def text(h: Column) -> Column:
-        inside = _inside(F.col("tokens"), h["at"], h["tag"], optional_ends)
+        inside = _inside(F.col("tokens"), h, optional_ends)
         joined = _text(inside, strip_each)
         return joined if strip_each else strip(joined)
 
