@@ -50,6 +50,15 @@ def upsert_catalog(
     return dedupe_first(both, "name", ["__new", *order_by, *ties]).select(*CATALOG_COLUMNS)
 
 
+def extend_catalog(existing: DataFrame, fresh: DataFrame, existing_is_unique: bool = False) -> DataFrame:
+    """Add products that are known to be new and to have different names: no join is needed."""
+    held = to_catalog(existing)
+    if not existing_is_unique:
+        ties = [c for c in CATALOG_COLUMNS if c not in ("name", "url")]
+        held = dedupe_first(held, "name", ["url", *ties])
+    return held.unionByName(to_catalog(fresh))
+
+
 def total_products(catalog: DataFrame) -> DataFrame:
     return catalog.agg(F.count(F.lit(1)).alias("total_products"))
 

@@ -12,7 +12,7 @@ from ..session import cut
 from .dedup import dedupe_first
 from .html import extract_links
 from .order import numbered
-from .urls import exclude_containing, exclude_links
+from .urls import exclude_containing, exclude_links, only_same_site
 
 # Levels after which the parts of the visited set are written as one table.
 MERGE_EVERY = 12
@@ -28,9 +28,12 @@ def link_edges(
     """Edges page_id, src_url, pos, dst_url between pages of one site.
 
     ``base="root"`` resolves links against the site root, ``base="page"`` against the page
-    that holds them. Without ``root`` each page's own site is meant. Targets lose their
-    fragment; other sites, files that are no pages, and ignored targets are left out.
+    that holds them. With ``root`` only the pages of its site are read; without it each page's
+    own site is meant. Targets lose their fragment; other sites, files that are no pages, and
+    ignored targets are left out.
     """
+    if root is not None:
+        pages = only_same_site(pages, root)
     links = extract_links(pages)
     src = F.col("src_url")
     if root is not None:
@@ -72,7 +75,8 @@ def reachable(edges: DataFrame, root: str, max_urls: int | None = None, ordered:
     if max_urls is not None and not ordered:
         raise ValueError("a limit needs the order")
     spark = edges.sparkSession
-    links = cut(edges.select("src_url", "pos", "dst_url"))
+    # copies of a page repeat its links: combined before the shuffle, each link is kept once
+    links = cut(edges.groupBy("src_url", "dst_url").agg(F.min("pos").alias("pos")))
     frontier = spark.range(1).select(F.lit(root).alias("url"), F.lit(0).alias("depth"), F.col("id").alias("ord"))
     levels = [frontier]
     count, depth = 1, 0
@@ -81,7 +85,7 @@ def reachable(edges: DataFrame, root: str, max_urls: int | None = None, ordered:
         visited = reduce(DataFrame.unionByName, levels)
         new = expand_frontier(frontier, links, visited)
         if ordered:
-            placed, size = numbered(new, ["parent_ord", "pos"], "__n")
+            placed, size = numbered(new, ["parent_ord", "pos", "url"], "__n")
             place = F.col("__n") + F.lit(count)
         else:
             placed = cut(new.select("url"))

@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.text import strip
 from ..operators.catalog import (
     CATALOG_COLUMNS_V1,
+    extend_catalog,
     require_price,
     select_available,
-    upsert_catalog,
 )
 from ..operators.dedup import (
     absent,
@@ -92,12 +92,17 @@ def catalog_job(
         chosen = rule_select(fresh, shop) if shop is not None else fresh
     if target is not None:
         chosen = take_until(chosen, target, order)
-    saved = upsert_catalog(catalog, chosen, order, existing_is_unique=catalog_is_unique)
+    saved = extend_catalog(catalog, chosen, catalog_is_unique)
     return JobResult(read, titled, listed, chosen, saved)
 
 
 def fixed_urls_job(
-    urls: DataFrame, pages: DataFrame, catalog: DataFrame, rules: Rules = Rules(), order_by: Sequence[str] = ("page_id",)
+    urls: DataFrame,
+    pages: DataFrame,
+    catalog: DataFrame,
+    rules: Rules = Rules(),
+    order_by: Sequence[str] = ("page_id",),
+    catalog_is_unique: bool = False,
 ) -> JobResult:
     """The same for a given list of URLs, with no selection. URLs without a page are logged."""
     wanted = urls.select("url").distinct()
@@ -106,7 +111,7 @@ def fixed_urls_job(
     read = dedupe_first(fields, "url", order, keep_null=False)
     titled = dedupe_first(read.withColumn("title", strip(F.col("title"))), "title", order, keep_null=False)
     fresh = absent(titled, "title", catalog, "name")
-    saved = upsert_catalog(catalog, fresh, order)
+    saved = extend_catalog(catalog, fresh, catalog_is_unique)
     return JobResult(read, titled, with_missing_titles(wanted, titled), fresh, saved)
 
 
