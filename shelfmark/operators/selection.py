@@ -75,7 +75,8 @@ def make_batches(titles: DataFrame, size: int = BATCH_SIZE, order_by: Sequence[s
     )
 
 
-def _prompt_head(shop: ShopProfile) -> str:
+def prompt_head(shop: ShopProfile) -> str:
+    """What a selection prompt says before its rows."""
     lines = [
         "You get a JSON list of pages of a shop, each with its url and title.",
         f"The shop sells: {shop.sells}" if shop.sells else "",
@@ -95,7 +96,7 @@ def selection_prompts(batches: DataFrame, shop: ShopProfile = ShopProfile()) ->
     return (
         batches.groupBy("batch_id")
         .agg(rows.alias("rows"))
-        .select("batch_id", F.concat(F.lit(_prompt_head(shop)), F.to_json(listed)).alias("prompt"))
+        .select("batch_id", F.concat(F.lit(prompt_head(shop)), F.to_json(listed)).alias("prompt"))
     )
 
 

@@ -52,7 +52,15 @@ def _(spark, sf_dir):
     return rows.select("batch_id", F.size("rows").cast("bigint").alias("n_titles"), chars.alias("url_chars"))
 
 
-@query("selection_prompts_text")
+_HEAD = L.prompt_head(L.ShopProfile()).replace("'", "''")
+
+
+@query(
+    "selection_prompts_text",
+    f"with {TITLES_CTE}, {BATCHES_CTE} select batch_id, '{_HEAD}' || '[' || string_agg('{{\"url\":' || "
+    "cast(to_json(url) as varchar) || ',\"title\":' || cast(to_json(title) as varchar) || '}', ',' order by place) "
+    "|| ']' as prompt from batches group by batch_id",
+)
 def _(spark, sf_dir):
     return L.selection_prompts(title_batches(spark, sf_dir))
 
@@ -132,7 +140,14 @@ def _(spark, sf_dir):
     return L.keyword_prompts(products).select("page_id", "prompt")
 
 
-@query("video_prompts")
+_VIDEO_TAIL = L.VIDEO_TEMPLATE.split("{description}")[1].replace("'", "''")
+
+
+@query(
+    "video_prompts",
+    f"with {SHOP} select page_id, 'Video: ' || title || chr(10) || 'Description: ' || description || '{_VIDEO_TAIL}' "
+    "as prompt from shop",
+)
 def _(spark, sf_dir):
     products = shop_columns(spark, sf_dir, "page_id", "title", "description")
     return L.keyword_prompts(products, L.VIDEO_TEMPLATE).select("page_id", "prompt")
@@ -275,17 +290,16 @@ def _(spark, sf_dir):
 
 # A queue finds the URLs of a level in the order of their parents and links. The order of the
 # parents is that of the path of (parent, link) places down from the root, compared as a list.
-_ORDER = (
-    f"with recursive {SHOP}, {SHOP_EDGES}, walk(url, depth, trail) as (select '{ROOT}', 0, [0] union all "
+_QUEUE = (
+    f"{SHOP}, {SHOP_EDGES}, walk(url, depth, trail) as (select '{ROOT}', 0, [0] union all "
     "select e.dst_url, w.depth + 1, list_append(w.trail, e.pos) from walk w join shop_edges e on e.src_url = w.url "
-    "where w.depth < 5), first as (select url, min(depth) as depth, arg_min(trail, (depth, trail)) as trail "
-    "from walk group by url) "
-    "select url, cast(depth as integer) as depth, row_number() over (order by depth, trail) - 1 as ord from first "
-    "qualify ord < 20"
+    "where w.depth < {levels}), first as (select url, min(depth) as depth, arg_min(trail, (depth, trail)) as trail "
+    "from walk group by url), queue as "
+    "(select url, cast(depth as integer) as depth, row_number() over (order by depth, trail) - 1 as ord from first)"
 )
 
 
-@query("reachable_limited", _ORDER)
+@query("reachable_limited", f"with recursive {_QUEUE.replace('{levels}', '5')} select url, depth, ord from queue where ord < 20")
 def _(spark, sf_dir):
     """The first URLs of the crawl in the order in which a queue would find them."""
     return G.reachable(G.link_edges(shop_pages(spark, sf_dir), ROOT), ROOT, max_urls=20)
@@ -467,7 +481,33 @@ def _(spark, sf_dir):
     return products.agg(F.count_distinct("name").alias("names"))
 
 
-@query("catalog_job_v1_limited")
+# the price as the first version prints it: two decimals, comma, thousands set off by a comma
+_V1_PRICE = (
+    "case when p like 'El precio actual%' or p like '%€ ' then p "
+    "when regexp_matches(p, '^[0-9]+[.,][0-9][0-9]( ?€)?$') then "
+    "regexp_replace(regexp_replace(replace(p, ' ', ''), '^([0-9]+)[.,]([0-9][0-9])€?$', '\\1,\\2€'), "
+    "'^([0-9]+)([0-9]{3},[0-9]{2}€)$', '\\1,\\2') else p end"
+)
+
+
+@query(
+    "catalog_job_v1_limited",
+    f"with recursive {_QUEUE.replace('{levels}', '8')}, "
+    "t as (select s.*, q.ord from shop s join queue q using (url) where q.ord < 100 and og_title is not null "
+    "qualify row_number() over (partition by og_title order by q.ord) = 1), "
+    "b as (select *, (row_number() over (order by ord) - 1) // 30 as batch_id, "
+    "(row_number() over (order by ord) - 1) % 30 as place from t), "
+    "c as (select b.*, p_name, p_type, p_size, p_brand, coalesce(case when price_text_v1 like '%El precio actual es: %' "
+    "then split_part(price_text_v1, 'El precio actual es: ', 2) else price_text_v1 end, script_price) as p from b join part "
+    "on p_partkey = page_id where batch_id % 4 <> 3 and place % 2 = 0), "
+    "d as (select *, regexp_split_to_array(og_title, '\\s[-|]\\s')[1] as name from c where p is not null "
+    "qualify row_number() over (partition by name order by ord) = 1) "
+    "select name, url, p_name || ' of ' || p_brand as description, coalesce(og_image, 'none') as image_url, name as keywords, "
+    f"case when regexp_matches(p, '^[0-9]+[.,][0-9][0-9]( ?€)?$') then {_V1_PRICE} else price_text_v1 end as price, "
+    "p_name || chr(10) || price_text || chr(10) || p_type || ' size' || chr(10) || p_size || chr(10) || p_name || ' of ' "
+    "|| p_brand || chr(10) || 'nextmore' as cleaned_content from d",
+)
 def _(spark, sf_dir):
-    """The whole rows, crawl limited to 200 URLs, replies that are partly unusable."""
-    return J.catalog_job_v1(shop_pages(spark, sf_dir), ROOT, replies, url_limit=200)
+    """The whole rows, crawl limited to 100 URLs, replies that are partly unusable."""
+    products = J.catalog_job_v1(shop_pages(spark, sf_dir), ROOT, replies, url_limit=100)
+    return products.fillna("none", ["image_url"])

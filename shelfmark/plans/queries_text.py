@@ -317,7 +317,15 @@ def _(spark, sf_dir):
     return H.page_text(stored_pages(spark, sf_dir)).select("page_id", "text")
 
 
-@query("page_text_cleaned")
+# The rewrite rules without look-around: single line breaks become spaces, empty lines go, then
+# the signs. The stored pages hold none of the link marks that the other rules remove.
+_MARK = "chr(1)"
+_CLEANED = rf"replace(replace(replace({_PLAIN}, chr(10) || chr(10), {_MARK}), chr(10), ' '), {_MARK}, chr(10))"
+_CLEANED = rf"regexp_replace({_CLEANED}, '(?m)\s*!\s*$', '', 'g')"
+_CLEANED = rf"replace(regexp_replace({_CLEANED}, '\s+!', ' ', 'g'), '~', '')"
+
+
+@query("page_text_cleaned", f"select page_id, {_CLEANED} as text from pages")
 def _(spark, sf_dir):
     return H.page_text(stored_pages(spark, sf_dir), cleaned=True).select("page_id", "text")
 
