@@ -10,6 +10,7 @@ them in outputs.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -32,13 +33,43 @@ TOKEN = (
 )
 _ATTR = r"""[^\s"'<>/=][^\s>/=]*+\s*+(?:=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?"""
 
-# Start tags that end an open paragraph.
-ENDS_PARAGRAPH = [
-    "address", "blockquote", "body", "center", "dd", "dir", "div", "dl", "dt", "fieldset", "form",
-    "h1", "h2", "h3", "h4", "h5", "h6", "head", "hr", "li", "menu", "ol", "p", "pre", "table",
-    "tbody", "td", "tfoot", "th", "tr", "ul",
+# Tags without an end.
+VOID_TAGS = [
+    "area", "base", "basefont", "br", "col", "embed", "frame", "hr", "img", "input", "isindex", "link",
+    "meta", "param", "source", "track", "wbr",
 ]
 
+_HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
+# Fixed values of lenient reading: which start tags end an open element, by that element's tag.
+ENDED_BY = {
+    "p": [
+        "address", "blockquote", "caption", "center", "col", "colgroup", "dd", "dir", "div", "dl", "dt", "fieldset",
+        "form", *_HEADINGS, "hr", "li", "listing", "menu", "ol", "p", "pre", "table", "tbody", "td", "tfoot", "th",
+        "tr", "ul", "xmp",
+    ],
+    **{h: ["fieldset", "form", "li", "p", "table", *[o for o in _HEADINGS if o != h]] for h in _HEADINGS},
+    **{font: ["p"] for font in ("big", "s", "small", "strike", "tt")},
+    **{font: ["center", "p", "td", "th"] for font in ("b", "i")},
+    "u": ["p", "td", "th"],
+    "font": ["center", "td", "th"],
+    "span": ["td", "th"],
+    "a": ["a", "fieldset", "table", "td", "th"],
+    "li": ["li"],
+    "dt": ["dd"],
+    "dd": ["dt"],
+    "option": ["optgroup", "option"],
+    "td": ["tbody", "td", "tfoot", "th", "tr"],
+    "th": ["tbody", "td", "tfoot", "th", "tr"],
+    "tr": ["tbody", "tfoot", "tr"],
+}
+
+# Fixed values of lenient reading: an end tag does not reach past an open element of higher rank.
+END_RANKS = {
+    "div": 150, "td": 160, "th": 160, "tr": 170, "thead": 180, "tbody": 180, "tfoot": 180, "table": 190,
+    "head": 200, "body": 200, "html": 220,
+}
+OTHER_RANK = 100
+
 # Tags that begin a new line of plain text.
 BLOCK_TAGS = [
     "address", "article", "aside", "blockquote", "body", "dd", "div", "dl", "dt", "fieldset",
@@ -233,27 +264,110 @@ def meta_content(name: str) -> Column:
     return F.get(F.filter(F.col("metas"), lambda m: m["property"] == name), F.lit(0))["content"]
 
 
-def _inside(tokens: Column, hit: Column, optional_ends: bool) -> Column:
+def _inside(tokens: Column, hit: Column, lenient: bool) -> Column:
     """The tokens between the start tag of ``hit`` and its end.
 
-    Nested elements of the same tag are counted; an element that is never closed runs to the
-    end of the page. With ``optional_ends`` a paragraph also ends where a block begins.
+    Open elements inside are kept on a stack. An end tag closes the innermost element of its
+    name and what is open in that; it ends the element itself if it is its own, or that of an
+    element around it. End tags of elements that are not open are passed over. An element that
+    nothing closes runs to the end of the page. With ``lenient``, start tags in ``ENDED_BY``
+    close elements too, and ``END_RANKS`` holds end tags back.
     """
     tag = hit["tag"]
+    nothing = F.array().cast("array<string>")
     rest = F.slice(tokens, hit["at"] + 1, F.size(tokens))
+    before = F.slice(tokens, F.lit(1), hit["at"] - 1)
+    ended_by = F.from_json(F.lit(json.dumps(ENDED_BY)), "map<string,array<string>>")
+    ranks = F.from_json(F.lit(json.dumps(END_RANKS)), "map<string,int>")
+
+    def is_empty(t: Column) -> Column:
+        return t["tag"].isin("", "!", "script", "style", *VOID_TAGS) | t["raw"].endswith("/>")
+
+    def is_open_around(name: Column) -> Column:
+        # only asked when an end tag fits nothing inside, so the walk from the top is rare
+        def walk(stack: Column, t: Column) -> Column:
+            def without(place: Column) -> Column:
+                return F.when(place > 0, F.slice(stack, F.lit(1), F.size(stack) - place)).otherwise(stack)
+
+            end = F.substring(t["tag"], 2, 100)
+            return (
+                F.when(t["tag"].startswith("/"), let(F.array_position(F.reverse(stack), end).cast("int"), without))
+                .when(is_empty(t), stack)
+                .otherwise(F.concat(stack, F.array(t["tag"])))
+            )
+
+        return F.array_contains(F.aggregate(before, nothing, walk), name)
+
+    def rank(name: Column) -> Column:
+        return F.coalesce(F.element_at(ranks, name), F.lit(OTHER_RANK))
 
     def step(state: Column, t: Column) -> Column:
-        opened = (t["tag"] == tag) & ~t["raw"].endswith("/>")
-        closed = t["tag"] == F.concat(F.lit("/"), tag)
-        depth = state["depth"] + opened.cast("int") - closed.cast("int")
-        if optional_ends:
-            depth = F.when((tag == "p") & t["tag"].isin(ENDS_PARAGRAPH), F.lit(0)).otherwise(depth)
-        return F.when(state["depth"] <= 0, state).otherwise(
-            F.struct(depth.alias("depth"), (state["n"] + 1).alias("n"))
+        stack = state["stack"]
+
+        def moved(stack=stack, strays=state["strays"], is_open=True) -> Column:
+            return F.struct(
+                F.lit(is_open).alias("is_open"),
+                (state["n"] + int(is_open)).alias("n"),
+                stack.alias("stack"),
+                strays.alias("strays"),
+            )
+
+        def ended(name: Column) -> Column:
+            def at(place: Column) -> Column:  # from the top of the stack, 0 if not in it
+                ends = (name == tag) | (~F.array_contains(state["strays"], name) & is_open_around(name))
+                known = F.array_union(state["strays"], F.array(name))
+                result = (
+                    F.when(place > 0, moved(F.slice(stack, F.lit(1), F.size(stack) - place)))
+                    .when(ends, moved(is_open=False))
+                    .otherwise(moved(strays=known))
+                )
+                if not lenient:
+                    return result
+                passed = F.when(place > 0, F.slice(F.reverse(stack), F.lit(1), place - 1)).otherwise(
+                    F.concat(stack, F.array(tag))
+                )
+                return F.when(F.exists(passed, lambda x: rank(x) > rank(name)), moved()).otherwise(result)
+
+            return let(F.array_position(F.reverse(stack), name).cast("int"), at)
+
+        def started(name: Column) -> Column:
+            pushed = moved(F.concat(stack, F.array(name)))
+            if not lenient:
+                return pushed
+
+            def over(x: Column) -> Column:
+                return F.coalesce(F.array_contains(F.element_at(ended_by, x), name), F.lit(False))
+
+            def kept(place: Column) -> Column:  # the topmost open element that stays open, 0 if none
+                left = F.concat(F.slice(stack, F.lit(1), F.size(stack) - place + 1), F.array(name))
+                return (
+                    F.when(place > 0, moved(left))
+                    .when(over(tag), moved(is_open=False))
+                    .otherwise(moved(F.array(name)))
+                )
+
+            staying = F.transform(F.reverse(stack), lambda x: ~over(x))
+            return let(F.array_position(staying, F.lit(True)).cast("int"), kept)
+
+        if lenient:  # an element without an end can still close what is open
+            closes = t["tag"].isin("hr", "col") & (tag == "p") & (F.size(stack) == 0)
+            empty_step = F.when(closes, moved(is_open=False)).otherwise(moved())
+        else:
+            empty_step = moved()
+        return (
+            F.when(~state["is_open"], state)
+            .when(t["tag"] == "", moved())
+            .when(t["tag"].startswith("/"), ended(F.substring(t["tag"], 2, 100)))
+            .when(is_empty(t), empty_step)
+            .otherwise(started(t["tag"]))
         )
 
-    alone = hit["raw"].endswith("/>").cast("int")
-    begin = F.struct((F.lit(1) - alone).alias("depth"), F.lit(0).alias("n"))
+    begin = F.struct(
+        (~hit["raw"].endswith("/>")).alias("is_open"),
+        F.lit(0).alias("n"),
+        nothing.alias("stack"),
+        nothing.alias("strays"),
+    )
     return F.slice(rest, F.lit(1), F.aggregate(rest, begin, step, lambda s: s["n"]))
 
 
@@ -311,7 +425,7 @@ def first_by_class(
     first_match_wins: bool = False,
     strip_each: bool = False,
     any_class: bool = False,
-    optional_ends: bool = True,
+    lenient: bool = True,
 ) -> Column:
     """Text of the first element that a selector finds, selectors tried in order.
 
@@ -322,7 +436,7 @@ def first_by_class(
         return F.lit(None).cast("string")
 
     def text(h: Column) -> Column:
-        inside = _inside(F.col("tokens"), h, optional_ends)
+        inside = _inside(F.col("tokens"), h, lenient)
         joined = _text(inside, strip_each)
         return joined if strip_each else strip(joined)
 
@@ -367,7 +481,7 @@ def page_title_v1(rules: RulesV1 = RulesV1()) -> Column:
             # present and not empty wins, even if only white space is in it
             tries.append(strip(blank_to_null(meta_content(s.property))))
         else:
-            tries.append(first_by_class([s], first_match_wins=True, any_class=True, optional_ends=False))
+            tries.append(first_by_class([s], first_match_wins=True, any_class=True, lenient=False))
     return blank_to_null(F.coalesce(*tries))
 
 
@@ -399,7 +513,7 @@ def page_description_v1(rules: RulesV1 = RulesV1()) -> Column:
     """The first matching element wins even if it is empty."""
     if rules.ignore_description:
         return F.lit(None).cast("string")
-    return first_by_class(rules.descriptions, first_match_wins=True, optional_ends=False)
+    return first_by_class(rules.descriptions, first_match_wins=True, lenient=False)
 
 
 @built_once
@@ -409,7 +523,7 @@ def page_price_text(rules: Rules = Rules()) -> Column:
 
 @built_once
 def page_price_text_v1(rules: RulesV1 = RulesV1()) -> Column:
-    return first_by_class(rules.prices, skip=rules.zero_prices, optional_ends=False)
+    return first_by_class(rules.prices, skip=rules.zero_prices, lenient=False)
 
 
 @built_once

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import random
 from dataclasses import replace
+from html.parser import HTMLParser
 
 import pytest
 from pyspark.sql import functions as F
@@ -249,3 +251,76 @@ def test_broken_pages_cost_no_stack(spark):
     for fields in (H.extract_fields(frame(spark, *broken)), H.extract_fields_v1(frame(spark, *broken))):
         fields.write.format("noop").mode("overwrite").save()  # every column of every row
     assert H.extract_links(frame(spark, *broken)).count() == 0
+
+
+class Tree(HTMLParser):
+    """A plain reading of HTML with a stack: text of the first element of each tag and class."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.stack, self.open, self.found = [], [], {}
+        self.feed(html)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        if tag in H.VOID_TAGS:
+            return
+        css = dict(attrs).get("class")
+        self.stack.append((tag, css))
+        if css and (tag, css) not in self.found:
+            self.found[tag, css] = ""
+            self.open.append((len(self.stack), tag, css))
+
+    def handle_startendtag(self, tag, attrs):
+        css = dict(attrs).get("class")
+        if css:
+            self.found.setdefault((tag, css), "")
+
+    def handle_endtag(self, tag):
+        if any(t == tag for t, _ in self.stack):
+            while self.stack.pop()[0] != tag:
+                pass
+            self.open = [o for o in self.open if o[0] <= len(self.stack)]
+
+    def handle_data(self, data):
+        for _, tag, css in self.open:
+            self.found[tag, css] += data
+
+
+def test_elements_end_where_a_stack_ends_them(spark):
+    rnd = random.Random(4)
+    tags = ["div", "span", "b"]
+    parts = [f"<{t}>" for t in tags] + [f"</{t}>" for t in tags] * 2 + ["</i>", "<br>", "<b/>", "x", "y", "z"]
+    htmls = []
+    for _ in range(400):
+        some = rnd.choices(parts, k=rnd.randint(0, 14))
+        for t in tags:
+            some.insert(rnd.randint(0, len(some)), f"<{t} class=c>")
+        htmls.append("".join(some))
+    columns = [
+        H.first_by_class((Selector(t, "c"),), first_match_wins=True, lenient=False).alias(t) for t in tags
+    ]
+    got = H.with_tokens(frame(spark, *htmls)).select("page_id", *columns).orderBy("page_id").collect()
+    wrong = []
+    for html, r in zip(htmls, got, strict=True):
+        want = tuple(Tree(html).found.get((t, "c")) for t in tags)
+        if tuple(r)[1:] != want:
+            wrong.append((html, tuple(r)[1:], want))
+    assert wrong == []
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ('<div><p class="price">1</div>2', "1"),  # the end of what is around it
+        ('<p class="price">1</div>2</p>3', "12"),  # no div is open: passed over
+        ('<p class="price">1<h2>2</h2>', "1"),
+        ('<p class="price">1<b>2<p>3', "12"),  # bold text ends with the paragraph
+        ('<p class="price">1<em>2<p>3</p></em>4</p>5', "1234"),  # other text holds it open
+        ('<p class="price">1<hr>2', "1"),
+        ('<div><p class="price">1<span>2</div>3', "12"),
+        ('<p class="price">1<em><div>2</em>3</div>4</em></p>5', "1234"),  # an end tag does not leave a div
+    ],
+)
+def test_lenient_paragraphs(spark, html, text):
+    assert field(spark, html, H.page_price_text()) == text
