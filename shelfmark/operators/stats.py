@@ -29,10 +29,14 @@ def batch_running_stats(batches: DataFrame, block: int = BLOCK) -> DataFrame:
     Input: crawl_id, batch_id, n_urls, seconds. A long crawl is cut into blocks of batch
     numbers: totals per block are combined before the shuffle, summed up over the blocks, and
     each block then adds its own batches to what came before it. So no task holds a whole
-    crawl. Seconds are summed as decimals: the result does not depend on the grouping.
+    crawl. Times are summed as whole microseconds: the result does not depend on the grouping.
     """
-    cut_up = batches.withColumn("seconds", F.col("seconds").cast("decimal(28,6)")).withColumn(
-        "block", F.floor(F.col("batch_id") / F.lit(block))
+    cut_up = batches.select(
+        "crawl_id",
+        "batch_id",
+        "n_urls",
+        F.round(F.col("seconds") * F.lit(1_000_000)).cast("bigint").alias("micros"),
+        F.floor(F.col("batch_id") / F.lit(block)).alias("block"),
     )
     earlier = Window.partitionBy("crawl_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
 
@@ -41,22 +45,22 @@ def batch_running_stats(batches: DataFrame, block: int = BLOCK) -> DataFrame:
 
     blocks = (
         cut_up.groupBy("crawl_id", "block")
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("n_urls").alias("urls"), F.sum("seconds").alias("secs"))
+        .agg(F.count(F.lit(1)).alias("n"), F.sum("n_urls").alias("urls"), F.sum("micros").alias("micros"))
         .select(
             "crawl_id",
             "block",
             before("n").alias("n0"),
             before("urls").alias("urls0"),
-            before("secs").alias("secs0"),
+            before("micros").alias("micros0"),
         )
     )
     here = Window.partitionBy("crawl_id", "block").orderBy("batch_id").rowsBetween(Window.unboundedPreceding, 0)
     number = F.col("n0") + F.count(F.lit(1)).over(here)
-    seconds = F.col("secs0") + F.sum("seconds").over(here)
+    micros = F.col("micros0") + F.sum("micros").over(here)
     return cut_up.join(blocks, ["crawl_id", "block"]).select(
         "crawl_id",
         "batch_id",
         number.alias("batch_number"),
         (F.col("urls0") + F.sum("n_urls").over(here)).alias("total_urls"),
-        (seconds.cast("double") / number).alias("mean_seconds"),
+        (micros / F.lit(1_000_000) / number).alias("mean_seconds"),
     )

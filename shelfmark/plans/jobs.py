@@ -73,7 +73,8 @@ def catalog_job(
     catalog_is_unique: bool = False,
 ) -> JobResult:
     """Pages to catalogue. ``select`` replaces the rule-based selection of product titles;
-    without it and without ``shop`` every page is a product."""
+    without it and without ``shop`` every page is a product. Pages whose ``status`` says that
+    they did not load are logged under it and are no products."""
     order = list(order_by)
     fields = extract_fields(pages, rules)
     if log is not None:
@@ -86,6 +87,8 @@ def catalog_job(
     fresh = absent(titled, "title", catalog, "name")
     if log is not None:
         fresh = exclude_processed_titles(fresh, log)
+    if "status" in fresh.columns:
+        fresh = fresh.filter("status = 200")
     if select is not None:
         chosen = select(fresh)
     else:

@@ -55,10 +55,18 @@ def read_stream_catalog(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(schema).parquet(folder)
 
 
-def upsert_batch(new: DataFrame, batch_id: int, folder: str, order_by: tuple[str, ...] = ("url",)) -> None:
-    """Write the products of one batch that earlier batches do not have."""
+def upsert_batch(
+    new: DataFrame,
+    batch_id: int,
+    folder: str,
+    order_by: tuple[str, ...] = ("url",),
+    base: DataFrame | None = None,
+) -> None:
+    """Write the products of one batch that neither earlier batches nor ``base`` have."""
     spark = new.sparkSession
-    earlier = read_stream_catalog(spark, folder).filter(F.col("batch") < batch_id)
+    earlier = read_stream_catalog(spark, folder).filter(F.col("batch") < batch_id).select("name")
+    if base is not None:
+        earlier = earlier.unionByName(base.select("name"))
     order = [c for c in order_by if c not in CATALOG_COLUMNS]
     first = dedupe_first(to_catalog(new, *order), "name", order_by, keep_null=False)
     fresh = absent(first.select(*CATALOG_COLUMNS), "name", earlier, "name")
@@ -71,15 +79,18 @@ def stream_upsert(
     folder: str,
     checkpoint: str,
     order_by: tuple[str, ...] = ("url",),
+    base: DataFrame | None = None,
 ) -> StreamingQuery:
     """Run ``to_products`` on every batch of pages and add the result to the catalogue.
 
+    ``base`` is a catalogue that the stream's own parts come on top of, such as what
+    ``compact`` has written of an earlier folder.
     ``checkpoint`` holds what was read: a query started again with it goes on where the last
     one ended.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert_batch(to_products(batch), batch_id, folder, order_by)
+        upsert_batch(to_products(batch), batch_id, folder, order_by, base)
 
     return (
         pages.writeStream.foreachBatch(write)
@@ -107,6 +118,10 @@ def run_until_target(
 
 
 def compact(spark: SparkSession, folder: str, target: str) -> None:
-    """Write a stream's catalogue as one table sorted by name."""
+    """Write a stream's catalogue as one table sorted by name.
+
+    After many batches, go on in a new folder with this table as ``base``: reading it is
+    cheaper than reading many small parts.
+    """
     held = read_stream_catalog(spark, folder).select(*CATALOG_COLUMNS)
     held.orderBy("name").write.mode("overwrite").parquet(target)

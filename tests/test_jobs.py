@@ -69,6 +69,13 @@ def test_catalog_job_runs_on_from_its_log(spark, rows):
     assert rows(second.catalog.select("name")) == [("A",), ("B",), ("C",)]
 
 
+def test_pages_that_did_not_load_are_logged_only(spark, rows):
+    stored = pages(spark, page("A"), page("B"), page("C")).withColumn("status", F.expr("if(page_id = 0, 200, 404)"))
+    result = J.catalog_job(stored, empty_table(spark, CATALOG_SCHEMA))
+    assert rows(result.catalog.select("name")) == [("A",)]
+    assert [r[1] for r in rows(result.log)] == ["A", "Status code: 404", "Title not found"]
+
+
 def test_selection_can_be_replaced_or_left_out(spark, rows):
     stored = pages(spark, page("Contacto"), page("B"))
     empty = empty_table(spark, CATALOG_SCHEMA)

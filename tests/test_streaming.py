@@ -47,7 +47,11 @@ def test_stream_equals_batch_after_a_restart(spark, pages, tmp_path):
     assert names(catalog()) == names(batch)
     assert R.run_until_target(start, catalog, 1_000_000) == held  # nothing new
     R.compact(spark, target, f"{tmp_path}/compact")
-    assert names(spark.read.parquet(f"{tmp_path}/compact")) == names(batch)
+    compacted = spark.read.parquet(f"{tmp_path}/compact")
+    assert names(compacted) == names(batch)
+    # on top of what was compacted, the same pages add nothing
+    R.upsert_batch(products(pages), 0, f"{tmp_path}/next", ("page_id",), compacted)
+    assert R.read_stream_catalog(spark, f"{tmp_path}/next").count() == 0
 
 
 def test_target_met_starts_nothing(spark, tmp_path):
