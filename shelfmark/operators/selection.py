@@ -28,11 +28,7 @@ INFO_TITLES = [
     "Información de Envíos",
 ]
 # Example titles of category pages.
-CATEGORY_TITLES = [
-    "TEXTIL HOGAR archivos - Pompas y Regalos",
-    "Ambientador Pulverizador archivos - Pompas y Regalos",
-    "Velas archivos - Pompas y Regalos",
-]
+CATEGORY_TITLES = ["PANTALONES LARGOS", "CAMISETAS LARGAS", "SUDADERAS COMFY"]
 # Keywords that a video must not get.
 BANNED_KEYWORDS = ["Kit Camper", "Kit Mueble", "Kit Mueblre Camper", "Camperizar", "Camperización"]
 

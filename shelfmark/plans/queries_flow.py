@@ -123,7 +123,7 @@ def _(spark, sf_dir):
 
 @query(
     "rule_select",
-    f"with {SHOP} select page_id, title from shop where title not in ('Contacto', 'Velas archivos - Pompas y Regalos')",
+    f"with {SHOP} select page_id, title from shop where title not in ('Contacto', 'SUDADERAS COMFY')",
 )
 def _(spark, sf_dir):
     return L.rule_select(shop_columns(spark, sf_dir, "page_id", "title"))
@@ -385,7 +385,7 @@ def _stream_catalog(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
 @query(
     "stream_upsert",
     f"with {SHOP}, c as ({SHOP_CATALOG}) select name, url from c "
-    "where name not in ('Contacto', 'Velas archivos - Pompas y Regalos') "
+    "where name not in ('Contacto', 'SUDADERAS COMFY') "
     "qualify row_number() over (partition by name order by page_id) = 1",
 )
 def _(spark, sf_dir):
@@ -406,7 +406,7 @@ _EMPTY = C.CATALOG_SCHEMA
     "catalog_job",
     f"with {SHOP}, c as (select page_id, title as name, description, {_PRICE} as price, url, image as image_url from shop) "
     "select name, description, price, url, image_url, name as keywords from c "
-    "where name not in ('Contacto', 'Velas archivos - Pompas y Regalos') "
+    "where name not in ('Contacto', 'SUDADERAS COMFY') "
     "qualify row_number() over (partition by name order by page_id) = 1",
 )
 def _(spark, sf_dir):
@@ -431,7 +431,7 @@ def _(spark, sf_dir):
 @query(
     "catalog_job_counts",
     f"with {SHOP}, t as (select * from shop qualify row_number() over (partition by title order by page_id) = 1), "
-    "s as (select * from t where title not in ('Contacto', 'Velas archivos - Pompas y Regalos')), "
+    "s as (select * from t where title not in ('Contacto', 'SUDADERAS COMFY')), "
     "l as (select * from s order by page_id limit 100) "
     "select 'read' as stage, count(*) as n_rows, count(distinct url) as n_urls from shop "
     "union all select 'titled', count(*), count(distinct url) from t "

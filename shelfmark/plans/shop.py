@@ -19,7 +19,7 @@ _COMMA = f"replace({_PRICE}, '.', ',')"
 
 _OG_TITLE = (
     "case when p_partkey % 19 = 0 then 'Contacto' "
-    "when p_partkey % 23 = 0 then 'Velas archivos - Pompas y Regalos' "
+    "when p_partkey % 23 = 0 then 'SUDADERAS COMFY' "
     "when p_partkey % 3 = 1 then concat(p_name, ' - ', p_brand, ' | Shop') "
     "when p_partkey % 3 = 2 then concat(p_name, ' & ', p_brand, ' | Shop') end"
 )
