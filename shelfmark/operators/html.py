@@ -265,7 +265,13 @@ def meta_content(name: str) -> Column:
 
 
 def _inside(tokens: Column, hit: Column, lenient: bool) -> Column:
-    """The tokens between the start tag of ``hit`` and its end.
+    """The tokens between the start tag of ``hit`` and its end."""
+    rest = F.slice(tokens, hit["at"] + 1, F.size(tokens))
+    return F.slice(rest, F.lit(1), _inner_size(tokens, hit, lenient))
+
+
+def _inner_size(tokens: Column, hit: Column, lenient: bool) -> Column:
+    """How many tokens lie between the start tag of ``hit`` (at, tag, raw) and its end.
 
     Open elements inside are kept on a stack. An end tag closes the innermost element of its
     name and what is open in that; it ends the element itself if it is its own, or that of an
@@ -368,7 +374,7 @@ def _inside(tokens: Column, hit: Column, lenient: bool) -> Column:
         nothing.alias("stack"),
         nothing.alias("strays"),
     )
-    return F.slice(rest, F.lit(1), F.aggregate(rest, begin, step, lambda s: s["n"]))
+    return F.aggregate(rest, begin, step, lambda s: s["n"])
 
 
 def _text(inside: Column, strip_each: bool = False) -> Column:
@@ -550,37 +556,27 @@ def html_title(html: Column) -> Column:
 @built_once
 def page_text_column() -> Column:
     """Plain text without ``nav`` and ``footer`` parts; blocks are set off by an empty line."""
-    dropped = ["nav", "footer"]
     t = F.col("tokens")
 
     def mark(x: Column, i: Column) -> Column:
-        delta = F.when(x["tag"].isin(dropped) & ~x["raw"].endswith("/>"), 1).when(
-            x["tag"].isin(["/" + d for d in dropped]), -1
-        )
-        return F.struct(i.alias("i"), F.coalesce(delta, F.lit(0)).alias("delta"))
+        hit = F.struct((i + 1).alias("at"), x["tag"].alias("tag"), x["raw"].alias("raw"))
+        return F.when(x["tag"].isin("nav", "footer"), hit)
 
-    marks = F.filter(F.transform(t, mark), lambda m: m["delta"] != 0)
-    begin = F.struct(
-        F.lit(0).alias("depth"),
-        F.lit(0).alias("start"),
-        F.array().cast("array<struct<start:int,len:int>>").alias("kept"),
-    )
+    def run(start: Column, end: Column) -> Column:
+        return F.array(F.struct(start.alias("start"), (end - start).alias("len")))
 
     def step(s: Column, m: Column) -> Column:
-        opens = (m["delta"] == 1) & (s["depth"] == 0)
-        closes = (m["delta"] == -1) & (s["depth"] == 1)
-        run = F.struct(s["start"].alias("start"), (m["i"] - s["start"]).alias("len"))
-        return F.struct(
-            F.greatest(s["depth"] + m["delta"], F.lit(0)).alias("depth"),
-            F.when(closes, m["i"] + 1).otherwise(s["start"]).alias("start"),
-            F.when(opens, F.concat(s["kept"], F.array(run))).otherwise(s["kept"]).alias("kept"),
+        left_out = F.struct(
+            (m["at"] + _inner_size(t, m, False)).alias("start"),
+            F.concat(s["kept"], run(s["start"], m["at"] - 1)).alias("kept"),
         )
+        return F.when(m["at"] <= s["start"], s).otherwise(left_out)  # else it lies in a part left out
 
-    def finish(s: Column) -> Column:
-        last = F.struct(s["start"].alias("start"), (F.size(t) - s["start"]).alias("len"))
-        return F.when(s["depth"] == 0, F.concat(s["kept"], F.array(last))).otherwise(s["kept"])
-
-    runs = F.aggregate(marks, begin, step, finish)
+    marks = F.filter(F.transform(t, mark), lambda m: m.isNotNull())
+    begin = F.struct(
+        F.lit(0).alias("start"), F.array().cast("array<struct<start:int,len:int>>").alias("kept")
+    )
+    runs = F.aggregate(marks, begin, step, lambda s: F.concat(s["kept"], run(s["start"], F.size(t))))
     kept = F.flatten(F.transform(runs, lambda r: F.slice(t, r["start"] + 1, r["len"])))
 
     def written(x: Column) -> Column:

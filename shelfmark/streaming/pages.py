@@ -39,6 +39,7 @@ def stream_dedupe(pages: DataFrame, key: str = "url", fetched: str | None = None
 
     With a fetch time the state is bounded: repeats are dropped ``within`` the watermark.
     Without one the state holds every key ever seen, because nothing says when to forget it.
+    Whole rows are shuffled by the key, so extract what is needed and drop the HTML before.
     """
     if fetched is None:
         return pages.dropDuplicates([key])

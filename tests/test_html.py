@@ -199,8 +199,9 @@ def test_page_text(spark):
         "<body>\n<nav>n<nav>m</nav>o</nav><h1>T</h1><p>a\n b<br>c</p>"
         "<footer><p>f</p></footer><script>s</script><div>d <a href=x>e</a></div></nav>z</body>"
     )
-    df = frame(spark, html, "<nav>never closed <p>x", None)
-    assert [r.text for r in H.page_text(df).orderBy("page_id").collect()] == ["T\n\na b\nc\n\nd e\n\nz", "", None]
+    df = frame(spark, html, "a<nav>never closed <p>x", None, "<header><nav>n</header><p>x</p><footer/>y")
+    got = [r.text for r in H.page_text(df).orderBy("page_id").collect()]
+    assert got == ["T\n\na b\nc\n\nd e\n\nz", "a", None, "x\n\ny"]
 
 
 def test_strict_og(spark):
