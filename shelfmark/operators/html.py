@@ -224,20 +224,19 @@ def metas(tokens: Column) -> Column:
 def with_tokens(pages: DataFrame) -> DataFrame:
     """Replace ``html`` by ``tokens`` and ``metas``, from which the field columns below read.
 
-    Each is a projection of its own, so that it is computed once a row.
+    Both are made by a generator that gives one row per page. The optimizer moves a filter on
+    a field below an ordinary projection and would have it cut every page up once more there;
+    it does not move one below a generator.
     """
-    cut_up = pages.withColumn("tokens", _tokens_of_html()).drop("html")
-    return cut_up.withColumn("metas", _metas_of_tokens())
+    rest = [c for c in pages.columns if c != "html"]
+    cut_up = pages.select(*rest, F.explode_outer(_cut_html()).alias("__cut"))
+    return cut_up.select(*rest, "__cut.tokens", "__cut.metas")
 
 
 @built_once
-def _tokens_of_html() -> Column:
-    return tokens(F.col("html"))
-
-
-@built_once
-def _metas_of_tokens() -> Column:
-    return metas(F.col("tokens"))
+def _cut_html() -> Column:
+    both = let(tokens(F.col("html")), lambda t: F.struct(t.alias("tokens"), metas(t).alias("metas")))
+    return F.array(both)
 
 
 def attribute(raw: Column, name: str) -> Column:
@@ -649,9 +648,9 @@ def extract_links(pages: DataFrame) -> DataFrame:
     hrefs = F.filter(
         F.transform(found, lambda r: decode_references(attribute(r, "href"))), lambda h: h.isNotNull()
     )
-    return pages.select("page_id", F.col("url").alias("src_url"), F.posexplode(hrefs).alias("pos", "href")).withColumn(
-        "pos", F.col("pos").cast("bigint")
-    )
+    # the outer form: for the inner one the optimizer adds a filter that finds the links twice
+    links = pages.select("page_id", F.col("url").alias("src_url"), F.posexplode_outer(hrefs).alias("pos", "href"))
+    return links.filter("pos is not null").withColumn("pos", F.col("pos").cast("bigint"))
 
 
 def meta_property(pages: DataFrame, name: str) -> DataFrame:

@@ -16,6 +16,7 @@ from shelfmark.operators.html import (
     extract_links,
     is_js_heavy,
     product_details,
+    strict_og,
 )
 from shelfmark.plans import jobs as J
 from shelfmark.plans import queries_tables as QT
@@ -180,6 +181,22 @@ def test_extraction_needs_no_exchange(spark, tmp_path):
         assert shuffled_columns(df) == set()
 
 
+def test_a_filter_on_a_field_does_not_cut_the_pages_up_again(spark, tmp_path):
+    pages(spark, page("A")).write.parquet(f"{tmp_path}/p")
+    read = spark.read.parquet(f"{tmp_path}/p")
+    fields = extract_fields(read)
+    for df in (
+        fields.filter("title is not null and price like '1%'"),
+        fields.select("url", "title"),
+        strict_og(read),
+        link_edges(read),
+        extract_links(read).filter("href <> ''"),
+    ):
+        plan = plan_of(df)
+        assert plan.count("regexp_extract_all(html") == 1
+        assert plan.count("FileScan") == 1
+
+
 def test_dedupe_combines_before_the_shuffle(spark):
     df = spark.range(10).selectExpr("id", "id % 3 as k")
     assert "partial_min_by" in plan_of(dedupe_first(df, "k", ["id"]))
