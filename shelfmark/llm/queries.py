@@ -6,18 +6,66 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..plans.registry import table
-from . import simhash
+from ..plans.registry import fresh_folder, table
+from . import bpe, embeddings, lines, mixing, quality, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def vocabulary() -> str:
+    """The tokenizer file of the contract."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = fresh_folder(spark)
+    warc.write(table(spark, sf_dir, "pages"), folder)
+    return warc.summary(warc.read(spark, folder))
+
+
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
+
+
 QUERIES: dict[str, Query] = {
+    "op1_mix": op1_mix,
+    "op3_quality": op3_quality,
+    "op4_embeddings": op4_embeddings,
+    "op5_warc": op5_warc,
+    "op6_lines": op6_lines,
     "op7_simhash": op7_simhash,
+    "op9_toxicity": op9_toxicity,
+    "op10_bpe": op10_bpe,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op1_mix": mixing.ORACLE,
+    "op4_embeddings": embeddings.ORACLE,
+    "op5_warc": warc.ORACLE,
+}
