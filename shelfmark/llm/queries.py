@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import fresh_folder, table
-from . import bpe, embeddings, lines, mixing, quality, simhash, toxicity, warc
+from . import bpe, embeddings, licenses, lines, mixing, quality, secrets, simhash, toxicity, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,6 +23,10 @@ def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,10 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,17 +63,20 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_mix": op1_mix,
+    "op2_licenses": op2_licenses,
     "op3_quality": op3_quality,
     "op4_embeddings": op4_embeddings,
     "op5_warc": op5_warc,
     "op6_lines": op6_lines,
     "op7_simhash": op7_simhash,
+    "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
 
 ORACLE: dict[str, str] = {
     "op1_mix": mixing.ORACLE,
+    "op2_licenses": licenses.oracle(),
     "op4_embeddings": embeddings.ORACLE,
     "op5_warc": warc.ORACLE,
 }
