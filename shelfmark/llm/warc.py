@@ -139,25 +139,21 @@ def parse(chunks: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         del held[: at + 8 + length]
 
 
-def unpacked(content: bytes, step: int = 1 << 20) -> Iterator[bytes]:
+def unpacked(content: bytes, step: int = 1 << 16) -> Iterator[bytes]:
     """The bytes of a gzip file of one or many members, or of a plain file, a piece at a time."""
-    if content[:2] != b"\x1f\x8b":
-        for at in range(0, len(content), step):
-            yield content[at : at + step]
-        return
-    view, at = memoryview(content), 0
-    machine = zlib.decompressobj(31)
-    while at < len(view) or machine.unconsumed_tail:
-        if machine.eof:
-            at -= len(machine.unused_data)
-            if at >= len(view):
-                return
-            machine = zlib.decompressobj(31)
-        piece = machine.unconsumed_tail or view[at : at + step]
-        if not machine.unconsumed_tail:
-            at += len(piece)
-        yield machine.decompress(piece, 8 * step)
-    yield machine.flush()
+    left = memoryview(content)
+    packed = content[:2] == b"\x1f\x8b"
+    while packed and left:
+        machine, at = zlib.decompressobj(31), 0
+        while not machine.eof and (machine.unconsumed_tail or at < len(left)):
+            piece = machine.unconsumed_tail
+            if not piece:
+                piece, at = left[at : at + step], at + min(step, len(left) - at)
+            yield machine.decompress(piece, 16 * step)
+        yield machine.flush()
+        left = left[at - len(machine.unused_data) :] if machine.eof else left[:0]
+    for at in range(0, len(left), step):
+        yield bytes(left[at : at + step])
 
 
 def fields_of(headers: dict[str, str], block: bytes) -> dict:
