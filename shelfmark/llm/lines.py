@@ -102,7 +102,15 @@ def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
     )
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with the text that is left, and all other columns."""
-    columns = [F.col("kept_text" if c == text else f"row.`{c}`").alias(c) for c in docs.columns]
-    return strip(docs, id_col, text).select(*columns)
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
+    """``docs`` with the text that is left, its length in the column ``length``, and all other columns."""
+
+    def column(name: str) -> Column:
+        if name == text:
+            return F.col("kept_text")
+        if name == length:
+            changed = F.when(F.col("n_dropped") > 0, F.length("kept_text").cast(docs.schema[name].dataType))
+            return F.coalesce(changed, F.col(f"row.`{name}`"))
+        return F.col(f"row.`{name}`")
+
+    return strip(docs, id_col, text).select(*[column(c).alias(c) for c in docs.columns])

@@ -22,7 +22,7 @@ def test_repeated_words():
     random.seed(3)
     for _ in range(300):
         words = [random.choice("ab") for _ in range(random.randint(0, 40))]
-        assert Q.repeated_words([w.encode() for w in words]) == repeated_words(words)
+        assert Q.repeated_words(Q.numbered([w.encode() for w in words])) == repeated_words(words)
 
 
 def test_estimate_finds_the_accuracies():
