@@ -32,7 +32,7 @@ VARIABLE = "<*>"
 
 def tokens(line: Column) -> Column:
     """Tokens of a line, those with a digit generalised."""
-    masked = F.regexp_replace(F.trim(line), r"[^ ]*[0-9][^ ]*", VARIABLE)
+    masked = F.regexp_replace(F.trim(line), r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", VARIABLE)
     return F.split(masked, r"[\s]+")
 
 
@@ -62,8 +62,7 @@ def recurring(docs: DataFrame) -> DataFrame:
     """For ``rid``, ``id``, ``text``: the lines whose template recurs, as ``rid``, ``place`` and whether
     the line is to be ``dropped``."""
     lines = docs.select("rid", "id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    keyed = templates(lines, ["rid", "id", "place"]).select("rid", "id", "place", F.explode("keys").alias("key"))
-    keyed = cut(keyed.select("rid", "id", "place", "key.h1", "key.h2"))
+    keyed = cut(templates(lines, ["rid", "id", "place"]).select("rid", "id", "place", F.inline_outer("keys")))  # outer: no filter that parses twice
     rank = F.struct(F.col("id").isNull().alias("missing"), "id")
     several = (
         keyed.groupBy("h1", "h2")
