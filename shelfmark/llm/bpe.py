@@ -1,42 +1,52 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split into words (the pieces that the tokenizer never merges across). Every distinct word
-of the corpus is encoded once, by the tokenizer. Ids come back to the texts by position in two ways
-with the same result: the ``frequent`` words, a bounded table that every task holds, are filled in
-while a text is read; the positions of all other words are joined with the table by word and put
-into the places that were left open. A word that is common enough to be a hot join key is in the
-bounded table. Decoding joins ids with the tokenizer's pieces, whose number the vocabulary bounds.
+Texts are split into words (the pieces that the tokenizer never merges across) and kept, in blocks of
+bounded size, as numbers: those of frequent words, a bounded table that every task holds, and those of
+the block's other words, each once. These meet by word, every distinct word is encoded once by the
+tokenizer, and its ids go back to the places that it came from; a block's ids follow from its numbers.
+A word common enough to be a hot key is in the bounded table. Decoding joins ids with the tokenizer's
+pieces, whose number the vocabulary bounds.
 
 Defined results: null and empty texts have no ids and decode to the empty text. Texts of special
 tokens are special tokens, as the tokenizer has it. Repeated rows give repeated rows; ids may be
-null or repeated, since rows are followed by a number of their own. An empty table gives an empty
+null or repeated, since ids are only carried along. An empty table gives an empty
 table.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import os
 import re
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from ..plans.registry import fresh_folder
 from ..session import cut
 from .common import bounded, map_batches
 
 # Words that every task holds with their ids; about 20 MB there, whatever the size of the corpus.
-FREQUENT = 200_000
-# Distinct words that a task counts before it passes them on.
-COUNTED = 400_000
+FREQUENT = 130_000
+# Texts from which these words are chosen.
+SAMPLE = 20_000
+# Bytes of text in a block, and documents for which there is one bucket of words.
+BLOCK = 4 << 20
+PER_BUCKET = 1000
 
 # Code points below U+0250 by their classes in the splitting pattern of byte-level BPE; these have not
 # changed since the first versions of Unicode. Texts with others are split by the tokenizer itself.
@@ -50,8 +60,9 @@ WORDS = re.compile(
 OTHER = re.compile("[^\u0000-ɏ]")
 
 
+@functools.cache
 def load(path: str):
-    """The tokenizer of a file. Imported in the task that uses it."""
+    """The tokenizer of a file, read once by a worker."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark has a task for each core
     from tokenizers import Tokenizer
 
@@ -83,122 +94,193 @@ def splitter(path: str) -> Callable[[str], list[str]]:
     return words
 
 
-def word_counts(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Every distinct word of the texts and how often it stands there."""
-    schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
+@dataclass
+class Frequent:
+    """The bounded table of words: a word's number, and the ids of all of them one after the other."""
+
+    number: dict[str, int]
+    ids: np.ndarray
+    ends: np.ndarray
+
+
+def frequent_words(docs: DataFrame, path: str, most: int, rows: int) -> Frequent:
+    """At most ``most`` words that stand often in a sample of about ``SAMPLE`` texts.
+
+    The sample decides which words every task holds, not what a text is encoded to. Counts of words are
+    summed by steps of a sixteenth of a power of two, so that no task sorts the words.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen = splitter(path), Counter()
+        words = splitter(path)
         for batch in batches:
             for small in bounded(batch):
+                seen = Counter()
                 for t in small.column(0).to_pylist():
                     seen.update(words(t or ""))
-                if len(seen) > COUNTED:
-                    yield pa.RecordBatch.from_arrays([pa.array(seen.keys()), pa.array(seen.values())], schema=schema)
-                    seen = Counter()
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys()), pa.array(seen.values())], schema=schema)
-
-    counted = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "word string, n long")
-    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+                arrays = [pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())]
+                yield pa.RecordBatch.from_arrays(arrays, names=["word", "n"])
 
-
-def word_table(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """Every distinct word with its count and its ids."""
-
-    def make():
-        tokenizer = load(path)
-
-        def work(columns):
-            found = tokenizer.encode_batch_fast(columns["word"].to_pylist(), add_special_tokens=False)
-            return {**columns, "ids": [x.ids for x in found]}
-
-        return work
-
-    return map_batches(word_counts(docs, path, text), make, "word string, n long, ids array<int>")
-
-
-def frequent_words(table: DataFrame, most: int) -> dict[str, list[int]]:
-    """The ids of the words that stand most often: all above a count that at most ``most`` words reach.
-
-    The counts of words are summed by steps of a sixteenth of a power of two, so that no task sorts
-    the words; the driver gets these sums and the words chosen, whose number is bounded.
-    """
+    sample = docs.sample(min(1.0, SAMPLE / max(1, rows)), seed=0) if rows > SAMPLE else docs
+    counted = sample.select("text").mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
     step = F.floor(16 * F.log2("n")).cast("int")
-    sums = sorted(table.groupBy(step.alias("step")).agg(F.count(F.lit(1))).collect(), reverse=True)
+    counted = cut(counted.withColumn("step", step))
     lowest, total = math.inf, 0
-    for at, words in sums:
+    for at, words in sorted(counted.groupBy("step").agg(F.count(F.lit(1))).collect(), reverse=True):
         total += words
         if total > most:
             break
         lowest = at
-    if lowest == math.inf:
-        return {}
-    return {r.word: r.ids for r in table.filter(step >= lowest).select("word", "ids").collect()}
+    chosen = counted.filter(F.col("step") >= (lowest if lowest < math.inf else 1 << 30))
+    found = encoded_words(chosen.select("word"), path).collect()  # ``most`` at most
+    ends = np.cumsum([0] + [len(r.ids) for r in found])
+    ids = np.fromiter((i for r in found for i in r.ids), np.int32, ends[-1])
+    return Frequent({r.word: k for k, r in enumerate(found)}, ids, ends)
 
 
-def encode_rows(rows: DataFrame, path: str, frequent: int = FREQUENT) -> DataFrame:
-    """For ``rid``, ``id``, ``text``: ``rid``, ``id`` and ``codes``, the ids as compressed 32-bit numbers."""
-    table = cut(word_table(rows, path))
-    held = rows.sparkSession.sparkContext.broadcast(frequent_words(table, frequent))
-    name = f"rid long, id {rows.schema['id'].dataType.simpleString()}"
+def encoded_words(words: DataFrame, path: str) -> DataFrame:
+    """The column ``word`` of ``words``, whose rows differ, and ``ids``."""
 
     def make():
-        words, ids = splitter(path), held.value
-        pack = zstandard.ZstdCompressor(level=1)
+        return lambda columns: {**columns, "ids": encoded(path, columns["word"].to_pylist())}
 
-        def fill(text: str) -> tuple[bytes, list]:
-            found = words(text)
-            known = [ids.get(w) for w in found]
-            late = [w for w, x in zip(found, known, strict=True) if x is None]
-            flat = [i for x in known for i in (OPEN if x is None else x)]
-            codes = pack.compress(np.array(flat, np.int32).tobytes())
-            return codes, [{"place": k, "word": w} for k, w in enumerate(late)]
+    return map_batches(words.select("word"), make, "word string, ids array<int>")
 
-        def work(columns):
-            made = [fill(t or "") for t in columns.pop("text").to_pylist()]
-            return {**columns, "codes": [m[0] for m in made], "open": [m[1] for m in made]}
 
-        return work
+def encoded(path: str, words: list[str], step: int = 10_000) -> list[list[int]]:
+    """The ids of each word."""
+    tokenizer, out = load(path), []
+    for at in range(0, len(words), step):
+        out += [x.ids for x in tokenizer.encode_batch_fast(words[at : at + step], add_special_tokens=False)]
+    return out
 
-    schema = f"{name}, codes binary, open array<struct<place: int, word: string>>"
-    filled = cut(map_batches(rows.select("rid", "id", "text"), make, schema))
-    late = (
-        filled.select("rid", F.explode("open").alias("o"))
-        .select("rid", "o.place", "o.word")
-        .join(table.select("word", "ids"), "word")
-        .groupBy("rid")
-        .agg(F.collect_list(F.struct("place", "ids")).alias("late"))
-    )
 
-    def close():
-        pack, unpack = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+def pack(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, their bytes by significance, compressed."""
+    planes = np.ascontiguousarray(numbers.astype(np.int32).view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=3).compress(planes.tobytes())
 
-        def whole(codes: bytes, late: list | None) -> bytes:
-            if not late:
-                return codes
-            parts = [np.array(x["ids"], np.int32) for x in sorted(late, key=lambda x: x["place"])]
-            flat = np.frombuffer(unpack.decompress(codes), np.int32)
-            known = np.split(flat, np.flatnonzero(flat < 0))
-            rest = [x for ids, k in zip(parts, known[1:], strict=True) for x in (ids, k[1:])]
-            return pack.compress(np.concatenate([known[0], *rest]).tobytes())
 
-        def work(columns):
-            pairs = zip(columns["codes"].to_pylist(), columns.pop("late").to_pylist(), strict=True)
-            return {**columns, "codes": [whole(*p) for p in pairs]}
+def unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.int32).ravel()
 
-        return work
 
-    both = filled.select("rid", "id", "codes").join(late, "rid", "left")
-    return map_batches(both, close, f"{name}, codes binary")
+def pack_words(words: list[bytes]) -> tuple[bytes, bytes]:
+    """The lengths of words, and the words, compressed."""
+    return pack(np.array([len(w) for w in words], np.int32)), zstandard.ZstdCompressor(level=3).compress(b"".join(words))
+
 
+def unpack_words(lengths: bytes, data: bytes) -> pa.StringArray:
+    offsets = np.concatenate([[0], np.cumsum(unpack(lengths))]).astype(np.int32)
+    whole = pa.py_buffer(zstandard.ZstdDecompressor().decompress(data))
+    return pa.StringArray.from_buffers(len(offsets) - 1, pa.py_buffer(offsets), whole)
 
-# Stands for a word whose ids are still open.
-OPEN = [-1]
 
+def blocks(docs: DataFrame, path: str, held: Broadcast, buckets: int) -> DataFrame:
+    """Texts in blocks of bounded size: the ids of the documents, how many words each has (``sizes``), the
+    words as numbers (``codes``), and ``late``, the block's other words, whose numbers follow the
+    frequent ones. They are ordered by a hash to ``buckets`` buckets, a piece of the list for each.
 
-def unpacked(codes: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(codes), np.int32)
+    The table is laid out by block, so that what is found for a block later comes to it.
+    """
+    spark = docs.sparkSession
+    kind = docs.schema["id"].dataType.simpleString()
+    piece = "bucket:int, start:int, lengths:binary, words:binary"
+    schema = f"block long, ids array<{kind}>, sizes array<int>, codes binary, late array<struct<{piece}>>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def late_pieces(late: list[str]) -> tuple[np.ndarray, list[dict]]:
+        """The new number of each word, and the words of each bucket."""
+        words = [w.encode() for w in late]
+        bucket = np.fromiter((zlib.crc32(w) % buckets for w in words), np.int64, len(words))
+        order = np.argsort(bucket, kind="stable")
+        place = np.empty(len(words), np.int64)
+        place[order] = np.arange(len(words))
+        edges = np.flatnonzero(np.diff(bucket[order], prepend=-1, append=buckets))
+        out = []
+        for lo, hi in zip(edges, edges[1:], strict=False):
+            lengths, data = pack_words([words[k] for k in order[lo:hi]])
+            out.append({"bucket": int(bucket[order[lo]]), "start": int(lo), "lengths": lengths, "words": data})
+        return place, out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, number = splitter(path), held.value.number
+        known = len(number)
+        block = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for small in bounded(batch, BLOCK):
+                late: dict[str, int] = {}
+                codes, sizes = [], []
+                for t in small.column("text").to_pylist():
+                    found = words(t or "")
+                    mine = [number.get(w, -1) for w in found]
+                    if -1 in mine:
+                        mine = [late.setdefault(w, known + len(late)) if k < 0 else k for w, k in zip(found, mine, strict=True)]
+                    sizes.append(len(found))
+                    codes.append(np.array(mine, np.int32))
+                place, parts = late_pieces(list(late))
+                numbers = np.concatenate([np.arange(known), known + place])[np.concatenate(codes)]
+                ids = pa.ListArray.from_arrays([0, small.num_rows], small.column("id"))
+                rest = [pa.array([x], f.type) for f, x in zip(list(arrow)[2:], (sizes, pack(numbers), parts), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), ids.cast(arrow.field(1).type), *rest], schema=arrow)
+                block += 1
+                pa.default_memory_pool().release_unused()
+
+    made = docs.select("id", "text").mapInArrow(run, schema)
+    name = f"bpe_blocks_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    made.write.bucketBy(parts, "block").option("path", fresh_folder(spark)).saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"drop table {name}")  # its files stay
+    return table
+
+
+def answers(table: DataFrame, path: str) -> DataFrame:
+    """For the pieces of the blocks' other words, their ids: ``block``, ``start``, and, compressed, the
+    ``counts`` of ids of the words and the ``ids``. Of a bucket every distinct word is encoded once."""
+
+    def encode_bucket(group: pa.Table) -> pa.Table:
+        pairs = zip(group["lengths"].to_pylist(), group["words"].to_pylist(), strict=True)
+        lists = [unpack_words(*p) for p in pairs]
+        coded = pa.concat_arrays(lists).dictionary_encode()
+        ids = pa.array(encoded(path, coded.dictionary.to_pylist()), pa.list_(pa.int32()))
+        counts, found, at = [], [], 0
+        for words in lists:
+            mine = ids.take(coded.indices.slice(at, len(words)))
+            at += len(words)
+            counts.append(pack(pc.list_value_length(mine).to_numpy()))
+            found.append(pack(mine.flatten().to_numpy()))
+        return pa.table({"block": group["block"], "start": group["start"], "counts": counts, "ids": found})
+
+    pieces_of = table.select("block", F.inline("late"))
+    return pieces_of.groupBy("bucket").applyInArrow(encode_bucket, "block long, start int, counts binary, ids binary")
+
+
+def encode_blocks(docs: DataFrame, path: str, finish: Callable, schema: str, frequent: int = FREQUENT) -> DataFrame:
+    """What ``finish`` makes of the ids of the documents (an array per ``id``) and their lists of tokens."""
+    rows = docs.count()
+    held = docs.sparkSession.sparkContext.broadcast(frequent_words(docs, path, frequent, rows))
+    table = blocks(docs, path, held, math.ceil(max(1, rows) / PER_BUCKET))
+
+    def fill(left: pa.Table, right: pa.Table) -> pa.Table:
+        known = held.value
+        parts = sorted(zip(*(right[c].to_pylist() for c in ("start", "counts", "ids")), strict=True))
+        flat = np.concatenate([known.ids, *(unpack(p[2]) for p in parts)])
+        lengths = np.concatenate([np.diff(known.ends), *(unpack(p[1]) for p in parts)]).astype(np.int64)
+        starts = np.cumsum(lengths) - lengths
+        codes, sizes = unpack(left["codes"][0].as_py()), left["sizes"].combine_chunks().flatten().to_numpy()
+        # the ids of all words one after the other: where each word's begin, and how far each id is from there
+        long = lengths[codes]
+        ends = np.cumsum(long)
+        at = np.repeat(starts[codes] - (ends - long), long) + np.arange(long.sum())
+        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
+        tokens = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(flat[at]))
+        out = finish(left["ids"].combine_chunks().flatten(), tokens)
+        pa.default_memory_pool().release_unused()
+        return out
+
+    late = answers(table, path).groupBy("block")
+    return table.select("block", "ids", "sizes", "codes").groupBy("block").cogroup(late).applyInArrow(fill, schema)
 
 
 def pieces(path: str) -> list[bytes]:
@@ -215,28 +297,26 @@ def pieces(path: str) -> list[bytes]:
     return [named.get(i, b"") for i in range(max(named, default=-1) + 1)]
 
 
-def numbered_rows(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    return docs.select(
-        F.monotonically_increasing_id().alias("rid"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text")
-    )
+def texts_of(docs: DataFrame, id_col: str, text: str) -> DataFrame:
+    return docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: its id and ``ids``, an array of ints."""
-    rows = numbered_rows(docs, id_col, text)
+    rows = texts_of(docs, id_col, text)
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>"
 
-    def make():
-        return lambda columns: {"id": columns["id"], "ids": [unpacked(c) for c in columns["codes"].to_pylist()]}
+    def finish(names: pa.Array, tokens: pa.ListArray) -> pa.Table:
+        return pa.table({"id": names, "ids": tokens})
 
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>"
-    return map_batches(encode_rows(rows, path), make, schema).withColumnRenamed("id", id_col)
+    return encode_blocks(rows, path, finish, schema).withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``, the text of its ids; null for null. Bytes that are no UTF-8
     become the replacement character, as with the tokenizer."""
     others = [c for c in encoded.columns if c != "decoded"]
-    schema = StructType([encoded.schema[c] for c in others]).add("decoded", "string")
+    schema = f"{ddl(StructType([encoded.schema[c] for c in others]))}, decoded string"
 
     def make():
         piece = pieces(path)
@@ -250,7 +330,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
 
         return work
 
-    return map_batches(encoded.select(*[F.col(f"`{c}`") for c in others]), make, ddl(schema))
+    return map_batches(encoded.select(*[F.col(f"`{c}`") for c in others]), make, schema)
 
 
 def ddl(schema: StructType) -> str:
@@ -260,29 +340,39 @@ def ddl(schema: StructType) -> str:
 def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each document: id, ``n_tokens``, ``ids_sha256`` of its ids and ``decoded_sha256`` of
     the text that they decode to."""
-    rows = numbered_rows(docs, id_col, text)
+    rows = texts_of(docs, id_col, text)
+    schema = (
+        f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    )
 
-    def make():
-        piece = pa.array(pieces(path), pa.binary())
-        names = pa.array([str(i) for i in range(len(piece))])
+    def finish(names: pa.Array, tokens: pa.ListArray) -> pa.Table:
+        piece = piece_table(path)
+        numbers = pa.array([str(i) for i in range(len(piece))])
+        flat = tokens.values
+
+        def digest(column: pa.Array, separator: str | bytes, clean: bool) -> list[str]:
+            joined = pc.binary_join(pa.ListArray.from_arrays(tokens.offsets, column.take(flat)), separator)
+            out = []
+            for x in joined:
+                data = x.as_buffer()
+                data = bytes(data).decode("utf-8", "replace").encode() if clean else data
+                out.append(hashlib.sha256(data).hexdigest())
+            return out
 
-        def joined(array: pa.Array, separator) -> bytes:
-            whole = pa.ListArray.from_arrays([0, len(array)], array)
-            return pc.binary_join(whole, separator)[0].as_buffer()
+        sizes = pc.list_value_length(tokens).cast(pa.int64())
+        return pa.table(
+            {
+                "id": names,
+                "n_tokens": sizes,
+                "ids_sha256": digest(numbers, ",", False),
+                "decoded_sha256": digest(piece, b"", True),
+            }
+        )
 
-        def work(columns):
-            out = {"id": columns["id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-            for c in columns["codes"].to_pylist():
-                ids = pa.array(unpacked(c))
-                out["n_tokens"].append(len(ids))
-                out["ids_sha256"].append(hashlib.sha256(joined(names.take(ids), ",")).hexdigest())
-                text = bytes(joined(piece.take(ids), b"")).decode("utf-8", "replace")
-                out["decoded_sha256"].append(hashlib.sha256(text.encode()).hexdigest())
-            return out
+    return encode_blocks(rows, path, finish, schema).withColumnRenamed("id", id_col)
 
-        return work
 
-    schema = (
-        f"id {rows.schema['id'].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    )
-    return map_batches(encode_rows(rows, path), make, schema).withColumnRenamed("id", id_col)
+@functools.cache
+def piece_table(path: str) -> pa.Array:
+    """``pieces`` as an array; read once by a worker."""
+    return pa.array(pieces(path), pa.binary())
