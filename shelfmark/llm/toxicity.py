@@ -28,12 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .common import bounded
 
 SAMPLE = 20_000
 # Lengths of the beginnings of words that may be learned, and the lower bound of the log odds.
 STEMS = (4, 5, 6)
-LEAST_ODDS = 2.0
+LEAST_ODDS = 2.4
 
 # The words of the other symbols.
 TARGETS = "you your yours he him his she her they them their du dich ihr sie vous tu te il elle usted tú él ella".split()
@@ -117,9 +118,9 @@ class Model:
     weights: list[float]
 
 
-def terms(word: str) -> list[str]:
-    """What the lexicon may hold of a word: itself and its beginnings."""
-    return [word, *(word[:k] + "*" for k in STEMS if len(word) > k)]
+def stems(word: str) -> list[str]:
+    """The beginnings of a word that the lexicon may hold."""
+    return [word[:k] + "*" for k in STEMS if len(word) > k]
 
 
 class Reader:
@@ -164,17 +165,23 @@ def held_out(doc_id: Column) -> Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
-    """``id``, ``text``, ``toxic`` of about ``most`` labelled documents, chosen by a hash of the id."""
+    """``id``, ``text``, ``toxic`` of about ``most`` labelled documents, chosen by a hash of the id.
+
+    Of texts with the same longest line only one counts: copies say nothing new of their words.
+    """
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, most / max(1, known.count()))
     known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    named = docs.select(F.col("doc_id").alias("id"), "text")
-    return named.join(F.broadcast(known.withColumnRenamed("doc_id", "id")), "id")  # bounded by ``most``
+    named = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = named.join(F.broadcast(known.withColumnRenamed("doc_id", "id")), "id")  # bounded by ``most``
+    longest = F.array_max(F.transform(F.split("text", "\n"), lambda x: F.struct(F.length(x), x)))
+    return cut(texts.groupBy(longest.alias("line")).agg(F.min(F.struct("id", "toxic", "text")).alias("one")).select("one.*"))
 
 
-def learn_lexicon(texts: DataFrame) -> dict[str, float]:
-    """Terms and their weights: the lower bound of the log odds of a term in toxic texts."""
+def learn_terms(texts: DataFrame, terms: Callable[[str], list[str]]) -> dict[str, float]:
+    """What ``terms`` makes of the words of ``texts``, with weights: the lower bounds of the log odds of
+    standing in a toxic text, where these are high."""
     schema = pa.schema([("term", pa.string()), ("toxic", pa.int64()), ("n", pa.int64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,13 +189,12 @@ def learn_lexicon(texts: DataFrame) -> dict[str, float]:
             for small in bounded(batch):
                 seen = Counter()
                 for text, toxic in zip(small.column(0).to_pylist(), small.column(1).to_pylist(), strict=True):
-                    words = set(WORD.findall((text or "").lower()))
+                    words = set(WORD.findall(text.lower()))
                     seen.update((t, toxic) for t in {t for w in words for t in terms(w)})
                 names, kinds = [k[0] for k in seen], [k[1] for k in seen]
                 yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(kinds), pa.array(seen.values())], schema=schema)
 
-    toxic = F.when(F.col("toxic") == 1, 1).otherwise(0).cast("long")
-    texts = texts.select("text", toxic.alias("toxic"))
+    texts = texts.select("text", (F.col("toxic") == 1).cast("long").alias("toxic"))
     sizes = dict(texts.groupBy("toxic").count().collect())
     if len(sizes) < 2:
         return {}
@@ -201,6 +207,12 @@ def learn_lexicon(texts: DataFrame) -> dict[str, float]:
     return dict(counted.select("term", low).filter(F.col("weight") > LEAST_ODDS).collect())
 
 
+def learn_lexicon(texts: DataFrame) -> dict[str, float]:
+    """Words, and beginnings of other words, with their weights."""
+    words = learn_terms(texts, lambda w: [w])
+    return learn_terms(texts, lambda w: [] if w in words else stems(w)) | words
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model of the labelled documents that are not held out; None if they are of one kind."""
     texts = sample(docs, labels)
@@ -213,8 +225,7 @@ def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
                 {"id": pdf["id"].astype(str), "toxic": pdf["toxic"], "x": [reader.features(t or "") for t in pdf["text"]]}
             )
 
-    rows = texts.mapInPandas(featured, "id string, toxic int, x array<double>")
-    rows = rows.groupBy("id").agg(F.max("toxic").alias("toxic"), F.max("x").alias("x")).orderBy("id").collect()
+    rows = texts.mapInPandas(featured, "id string, toxic int, x array<double>").orderBy("id").collect()
     toxic = np.array([r.toxic == 1 for r in rows], float)
     if not 0 < toxic.sum() < len(toxic):
         return None
