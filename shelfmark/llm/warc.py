@@ -232,9 +232,10 @@ def summary(found: DataFrame) -> DataFrame:
     ``refers_to``. A revisit has the length that its metadata tells."""
     text = F.col("metadata.fields")
     told = F.col("response.payload_digest")
-    return assemble(found).select(
+    sized = found.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
+    return assemble(sized.drop("payload")).select(  # payloads do not move
         field(text, "page_id").cast("long").alias("page_id"),
-        F.coalesce(F.octet_length("response.payload").cast("long"), field(text, "payload_bytes").cast("long")).alias("payload_bytes"),
+        F.coalesce("response.payload_bytes", field(text, "payload_bytes").cast("long")).alias("payload_bytes"),
         F.regexp_replace(told, "^sha256:", "").alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
         field(text, "refers_to_page").cast("long").alias("refers_to"),

