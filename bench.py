@@ -22,13 +22,26 @@ from shelfmark.operators import stats as A
 from shelfmark.plans import jobs as J
 from shelfmark.plans import registry
 from shelfmark.plans.queries_tables import page_titles, part_catalog
-from shelfmark.plans.queries_text import stored_pages
-from shelfmark.plans.shop import ROOT, shop_pages
+from shelfmark.plans import shop
+from shelfmark.plans.shop import ROOT
 from shelfmark.session import empty_table, local_session
 
 RUNS = 3
 
 
+def cores(spark: SparkSession) -> int:
+    """The tables lie in one file each; their rows are dealt to all cores."""
+    return spark.sparkContext.defaultParallelism
+
+
+def stored_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return registry.table(spark, sf, "pages").repartition(cores(spark), "page_id")
+
+
+def shop_pages(spark: SparkSession, sf: str) -> DataFrame:
+    return shop.shop_pages(spark, sf, parts=cores(spark))
+
+
 def upsert(spark: SparkSession, sf: str) -> DataFrame:
     parts = part_catalog(spark, sf)
     return C.upsert_catalog(parts.filter("ord % 2 = 0"), parts.filter("ord % 2 = 1"), ["url"])

@@ -21,8 +21,9 @@ def _plain(c: Column) -> Column:
 
 
 def _decimal(c: Column) -> Column:
-    """A number with two decimals, or NULL when the text is no number."""
-    return let(c, lambda v: F.when(v.rlike(_NUMBER), v.try_cast("decimal(28,8)").try_cast("decimal(18,2)")))
+    """A number with two decimals, rounded once from the whole text; NULL when the text is no number
+    or has more than 36 digits before the point."""
+    return let(c, lambda v: F.when(v.rlike(_NUMBER), v.try_cast("decimal(38,2)")))
 
 
 def price_amount(c: Column) -> Column:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import wraps
-from html.entities import name2codepoint
+from html.entities import html5, name2codepoint
 from weakref import WeakKeyDictionary
 
 from pyspark import SparkContext
@@ -92,28 +92,34 @@ def _code_point(number: Column) -> Column:
 def decode_references(c: Column) -> Column:
     """Replace ``&name;``, ``&#n;`` and ``&#xh;`` in one pass; unknown references stay.
 
-    Names are those of HTML 4, taken from Python's own table.
+    Names are those of HTML 4 and ``apos``. The semicolon may be missing after a number, and after the
+    names that have always done without one, unless a letter, a digit or ``=`` follows. The names
+    are taken from Python's own tables.
     """
-    table = "\x02".join(f"{name}\x01{chr(point)}" for name, point in name2codepoint.items())
+    points = {**name2codepoint, "apos": ord("'")}
+    table = "\x02".join(f"{name}\x01{chr(point)}" for name, point in points.items())
     names = F.str_to_map(F.lit(table), F.lit("\x02"), F.lit("\x01"))
+    open_names = [name for name in html5 if not name.endswith(";") and name in points]
 
     def numbered(ref: Column) -> Column:
-        digits = F.regexp_extract(ref, r"^#[xX]?([0-9a-fA-F]+)$", 1)
-        number = F.when(ref.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
+        digits = F.regexp_extract(ref, r"^#[xX]?0*([0-9a-fA-F]*)$", 1)
+        number = F.when(ref.rlike("^#[xX]"), F.conv(digits, 16, 10)).otherwise(digits).try_cast("bigint")
         valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
-        return F.when(valid, _code_point(number))
+        return F.when((F.length(digits) <= 7) & valid, _code_point(number))
 
     def one(piece: Column) -> Column:
         def replaced(ref: Column) -> Column:
+            after = F.substring(piece, F.length(ref) + 1, F.lit(1))
+            named = (after == ";") | (ref.isin(open_names) & (after != "="))
             char = (
                 F.when(ref == "", F.lit(None))
                 .when(ref.startswith("#"), numbered(ref))
-                .otherwise(F.element_at(names, ref))
+                .when(named, F.element_at(names, ref))
             )
-            tail = F.substring(piece, F.length(ref) + 2, F.length(piece))
+            tail = F.substring(piece, F.length(ref) + F.when(after == ";", 2).otherwise(1), F.length(piece))
             return F.coalesce(F.concat(char, tail), F.concat(F.lit("&"), piece))
 
-        ref = r"^(#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{0,30});"
+        ref = r"^(#[0-9]++|#[xX][0-9a-fA-F]++|[a-zA-Z][a-zA-Z0-9]*+)"
         return let(F.regexp_extract(piece, ref, 1), replaced)
 
     def decoded(pieces: Column) -> Column:

@@ -9,26 +9,32 @@ from pyspark.sql import functions as F
 
 from .html import SENTINELS
 
+# Rows of the input among which equal rows without a key are counted.
+PART = 65_536
+
 
 def dedupe_first(df: DataFrame, key: str, order_by: Sequence[str], keep_null: bool = True) -> DataFrame:
     """The first row of each key in the order of ``order_by``.
 
     ``min_by`` is combined before the shuffle, so a key that holds a third of all rows sends
     one row per task. Rows with a NULL key are kept as they are, or dropped with
-    ``keep_null=False``. Kept ones are grouped by the whole row, which spreads them over all
-    tasks without a second pass over the input, and repeated as often as they occurred.
+    ``keep_null=False``. Kept ones are grouped by the whole row and a part of the input of bounded
+    size, which spreads them over all tasks without a second pass over the input, and repeated
+    as often as they occurred there: at most ``PART`` times, also when all rows are equal.
     """
     row = F.struct(*df.columns)
     order = F.struct(*order_by)
     if not keep_null:
         best = df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("__key"))
         return best.agg(F.min_by(row, order).alias("__row")).select("__row.*")
-    whole = F.when(F.col(key).isNull(), row)
-    best = df.groupBy(F.col(key).alias("__key"), whole.alias("__whole")).agg(
-        F.min_by(row, order).alias("__row"), F.count(F.lit(1)).alias("__n")
+    part = F.floor(F.monotonically_increasing_id() / PART)
+    whole = F.when(F.col(key).isNull(), F.struct(row, part.alias("__part")))
+    parted = df.select(F.col(key).alias("__key"), whole.alias("__whole"), row.alias("__all"), order.alias("__order"))
+    best = parted.groupBy("__key", "__whole").agg(
+        F.min_by("__all", "__order").alias("__row"), F.count(F.lit(1)).alias("__n")
     )
     times = F.when(F.col("__key").isNull(), F.col("__n")).otherwise(1).cast("int")
-    return best.select(F.explode(F.array_repeat("__row", times)).alias("__row")).select("__row.*")
+    return best.select("__row", F.explode(F.sequence(F.lit(1), times))).select("__row.*")
 
 
 def distinct_urls(df: DataFrame, column: str = "url") -> DataFrame:

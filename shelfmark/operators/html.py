@@ -28,7 +28,7 @@ TOKEN = (
     r"(?is)<!--.*?(?:-->|\z)"
     rf"|<({_RAW})(?=[\s/>]){_ATTRS}>.*?(?:</\1\s*>|\z)"
     rf"|</?[a-z]{_ATTRS}>"
-    r"|<[!?][^>]*+>"
+    r"|<[!?][^>]*+(?:>|\z)"
     r"|(?:[^<]|<)(?:[^<]++|<(?![a-z/!?]))*+"
 )
 _ATTR = r"""[^\s"'<>/=][^\s>/=]*+\s*+(?:=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?"""
@@ -40,7 +40,8 @@ VOID_TAGS = [
 ]
 
 _HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
-# Fixed values of lenient reading: which start tags end an open element, by that element's tag.
+# Fixed values of lenient reading: which start tags end an open element, by that element's tag. They and
+# the ranks below are the rules of the lenient HTML 4 parser that the pages were first read with.
 ENDED_BY = {
     "p": [
         "address", "blockquote", "caption", "center", "col", "colgroup", "dd", "dir", "div", "dl", "dt", "fieldset",
@@ -294,7 +295,7 @@ def _inner_size(tokens: Column, hit: Column, lenient: bool) -> Column:
             def without(place: Column) -> Column:
                 return F.when(place > 0, F.slice(stack, F.lit(1), F.size(stack) - place)).otherwise(stack)
 
-            end = F.substring(t["tag"], 2, 100)
+            end = F.substring(t["tag"], F.lit(2), F.length(t["tag"]))
             return (
                 F.when(t["tag"].startswith("/"), let(F.array_position(F.reverse(stack), end).cast("int"), without))
                 .when(is_empty(t), stack)
@@ -362,7 +363,7 @@ def _inner_size(tokens: Column, hit: Column, lenient: bool) -> Column:
         return (
             F.when(~state["is_open"], state)
             .when(t["tag"] == "", moved())
-            .when(t["tag"].startswith("/"), ended(F.substring(t["tag"], 2, 100)))
+            .when(t["tag"].startswith("/"), ended(F.substring(t["tag"], F.lit(2), F.length(t["tag"]))))
             .when(is_empty(t), empty_step)
             .otherwise(started(t["tag"]))
         )
@@ -546,8 +547,15 @@ def status_title(status: Column, title: Column) -> Column:
 
 
 def html_title(html: Column) -> Column:
-    """Text of the first ``<title>``, taken from the HTML without cutting the whole page up."""
-    before = rf"(?:[^<]++|<!--.*?-->|<({_RAW})\b{_ATTRS}>.*?</\1\s*>|<(?!title[\s/>]))*+"
+    """Text of the first ``<title>``, taken from the HTML without cutting the whole page up.
+
+    Comments, raw blocks, declarations and tags are passed over as ``TOKEN`` cuts them, and like there
+    what does not end runs to the end of the page.
+    """
+    before = (
+        rf"(?:[^<]++|<!--.*?(?:-->|\z)|<({_RAW})(?=[\s/>]){_ATTRS}>.*?(?:</\1\s*>|\z)|<[!?][^>]*+(?:>|\z)"
+        rf"|</?(?!title[\s/>])[a-z]{_ATTRS}>|<(?!title[\s/>]))*+"
+    )
     found = F.regexp_extract(html, rf"(?is)\A{before}<title{_ATTRS}>(.*?)</title", 2)
     return decode_references(blank_to_null(found))
 
@@ -707,13 +715,30 @@ def strict_og(pages: DataFrame) -> DataFrame:
     return found.dropna(subset=["title", "image", "description"])
 
 
+def _only_loaded_html(pages: DataFrame) -> DataFrame:
+    """Without the HTML of pages whose ``status`` says that they did not load."""
+    if "status" not in pages.columns:
+        return pages
+    loaded = F.coalesce(F.col("status") == 200, F.lit(True))  # not told: it loaded
+    return pages.withColumn("html", F.when(loaded, F.col("html")))
+
+
+def extract_titles(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """All columns but the HTML, and the title, as ``extract_fields`` has it."""
+    read = with_tokens(_only_loaded_html(pages))
+    title = page_title(rules)
+    if "status" in pages.columns:
+        title = status_title(F.col("status"), title)
+    return read.select(*[c for c in read.columns if c not in ("tokens", "metas")], title.alias("title"))
+
+
 def extract_fields(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """All fields of every page in one pass: title, image, description, price, price_amount.
 
     Missing values are NULL. Pages with a ``status`` other than 200 get their status as title
     and no other field, as their HTML is not looked at.
     """
-    read = with_tokens(pages)
+    read = with_tokens(_only_loaded_html(pages))
     fields = {
         "title": page_title(rules),
         "image": page_image(rules),
@@ -721,10 +746,7 @@ def extract_fields(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
         "price_text": page_price_text(rules),
     }
     if "status" in pages.columns:
-        loaded = F.col("status") == 200
-        fields = {
-            n: status_title(F.col("status"), c) if n == "title" else F.when(loaded, c) for n, c in fields.items()
-        }
+        fields["title"] = status_title(F.col("status"), fields["title"])
     rest = [c for c in read.columns if c not in ("tokens", "metas")]
     found = read.select(*rest, *[c.alias(n) for n, c in fields.items()])
     return found.select(
@@ -764,9 +786,10 @@ def extract_fields_v1(pages: DataFrame, rules: RulesV1 = RulesV1()) -> DataFrame
 def product_details(pages: DataFrame, titles: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """url, title, image, description and price of the selected URLs.
 
-    Fields are read from the HTML where it lies; only the few extracted columns are joined.
+    Only their pages are cut up: the list is joined to the pages first, and broadcast if it is short.
     """
-    fields = extract_fields(pages, rules).drop("title")
+    wanted = pages.join(titles.select("url").distinct(), "url", "left_semi")
+    fields = extract_fields(wanted, rules).drop("title")
     return (
         titles.select("url", "title")
         .join(fields, "url")

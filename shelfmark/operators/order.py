@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-# Up to this many rows one task may sort and return a limit; beyond it rows are numbered.
-SMALL_LIMIT = 100_000
-
-
 def row_index(df: DataFrame, order_by: Sequence[str], name: str = "idx") -> DataFrame:
     """Number the rows 0, 1, 2, … in the order of ``order_by``, which must be total.
 
@@ -28,7 +24,7 @@ def numbered(df: DataFrame, order_by: Sequence[str], name: str) -> tuple[DataFra
     own = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     ranges = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     placed = cut(ranges.withColumn("__range", F.spark_partition_id()).withColumn("__own", own))
-    sizes = dict(placed.groupBy("__range").agg(F.count(F.lit(1))).collect())  # one entry per range
+    sizes = dict(placed.groupBy("__range").agg(F.count(F.lit(1))).collect())  # one number per range
     starts, total = [], 0
     for i in range(max(sizes, default=-1) + 1):
         starts.append(str(total))
@@ -39,12 +35,11 @@ def numbered(df: DataFrame, order_by: Sequence[str], name: str) -> tuple[DataFra
 
 
 def last_n(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
-    """The last ``n`` rows, last first."""
-    return df.orderBy(*[F.desc(c) for c in order_by]).limit(n)
+    """The last ``n`` rows; which rows these are is found like ``take_until``."""
+    placed, total = numbered(df, order_by, "__idx")
+    return placed.filter(F.col("__idx") >= total - n).orderBy(F.desc("__idx")).drop("__idx")
 
 
 def take_until(df: DataFrame, n: int, order_by: Sequence[str]) -> DataFrame:
-    """The first ``n`` rows; a large ``n`` is met by row numbers instead of one task's sort."""
-    if n <= SMALL_LIMIT:
-        return df.orderBy(*order_by).limit(n)
+    """The first ``n`` rows, found by row numbers: however large ``n`` is, no task sorts them alone."""
     return row_index(df, order_by, "__idx").filter(F.col("__idx") < n).drop("__idx")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -108,11 +109,11 @@ def parse_selection(responses: DataFrame) -> DataFrame:
     return responses.withColumn("urls", reply_urls(F.col("reply")))
 
 
-def first_valid_attempt(
-    batches: DataFrame, responses: DataFrame, max_attempts: int = MAX_ATTEMPTS
-) -> DataFrame:
-    """Per batch the first valid reply among the attempts allowed; none gives an empty list."""
-    valid = parse_selection(responses).filter((F.col("attempt") <= max_attempts) & F.col("urls").isNotNull())
+def first_valid_attempt(batches: DataFrame, responses: DataFrame, max_attempts: int | None = None) -> DataFrame:
+    """Per batch the first valid reply; none gives an empty list. ``max_attempts`` leaves later ones out."""
+    valid = parse_selection(responses).filter("urls is not null")
+    if max_attempts is not None:
+        valid = valid.filter(F.col("attempt") <= max_attempts)
     first = valid.groupBy("batch_id").agg(F.min_by("urls", "attempt").alias("urls"))
     empty = F.array().cast("array<string>")
     return (
@@ -130,8 +131,11 @@ def selected_urls(chosen: DataFrame) -> DataFrame:
 def rule_select(titles: DataFrame, shop: ShopProfile = ShopProfile()) -> DataFrame:
     """Keep pages that the prompt's rules do not name: a stand-in where no model is asked."""
     title = F.lower(strip(F.col("title")))
-    info = "|".join(t.lower() for t in shop.info_titles)
-    rejected = title.isin([t.lower() for t in shop.category_titles]) | title.rlike(rf"(?U)\b(?:{info})\b")
+    rejected = title.isin([t.lower() for t in shop.category_titles])
+    if shop.info_titles:
+        # as written, and not as a part of a longer word
+        info = "|".join(re.escape(t.lower()) for t in shop.info_titles)
+        rejected |= title.rlike(rf"(?U)(?<!\w)(?:{info})(?!\w)")
     return titles.filter(~F.coalesce(rejected, F.lit(False)))
 
 
@@ -150,13 +154,13 @@ def keyword_prompts(df: DataFrame, template: str = PRODUCT_TEMPLATE) -> DataFram
 
 
 def parse_keywords(responses: DataFrame, has_price: bool) -> DataFrame:
-    """``price, k1, …, k4`` or ``k1, …, k4`` to a price and an array of keywords."""
+    """``price, k1, …`` or ``k1, …`` to a price and an array of all keywords."""
     price_pattern = r"^\s*([0-9.,]*[0-9]\s*€)\s*,?"
     reply = F.col("reply")
     listed = F.regexp_replace(reply, price_pattern, "") if has_price else reply
     parts = F.filter(F.transform(F.split(listed, ","), strip), lambda k: k != "")
     price = F.nullif(F.regexp_extract(reply, price_pattern, 1), F.lit("")) if has_price else F.lit(None)
-    return responses.withColumns({"price": price.cast("string"), "keywords": F.slice(parts, 1, 4)})
+    return responses.withColumns({"price": price.cast("string"), "keywords": parts})
 
 
 def banned_keywords(df: DataFrame, banned: Sequence[str] = BANNED_KEYWORDS) -> DataFrame:

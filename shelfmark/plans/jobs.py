@@ -1,15 +1,18 @@
 """The jobs: from stored pages to the catalogue.
 
-HTML is read where it lies: each job cuts every page up once, keeps a few short columns, and
-only these are shuffled. What several outputs share is written as a table in between.
+Only pages that a job wants are cut up, as that costs most: which they are is decided from their
+addresses, and details are read of selected pages only. The list of them is a table of known size,
+so a short one is broadcast and HTML stays where it lies; a long one moves HTML once, which costs
+far less than cutting up what is not wanted. What several outputs share is written as a table.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -28,7 +31,7 @@ from ..operators.dedup import (
     with_missing_titles,
 )
 from ..operators.graph import link_edges, reachable
-from ..operators.html import Rules, RulesV1, extract_fields, extract_fields_v1
+from ..operators.html import Rules, RulesV1, extract_fields, extract_fields_v1, extract_titles
 from ..operators.order import take_until
 from ..operators.selection import (
     BATCH_SIZE,
@@ -42,15 +45,11 @@ from ..operators.selection import (
 from ..operators.stats import stage_counts
 from ..session import cut
 
-# Fixed value: URLs that the first version's crawl looks for.
-URL_LIMIT_V1 = 4000
-
-
 @dataclass(frozen=True)
 class JobResult:
     """The tables of a job's stages."""
 
-    read: DataFrame  # one row per URL, with all fields
+    read: DataFrame  # one row per URL, with its title
     titled: DataFrame  # first URL of each title
     log: DataFrame  # every URL with its title or the sentinel
     selected: DataFrame  # product pages among the new titles
@@ -76,10 +75,10 @@ def catalog_job(
     without it and without ``shop`` every page is a product. Pages whose ``status`` says that
     they did not load are logged under it and are no products."""
     order = list(order_by)
-    fields = extract_fields(pages, rules)
     if log is not None:
-        fields = exclude_processed_urls(fields, log)
-    read = dedupe_first(fields, "url", order, keep_null=False)
+        addresses = dedupe_first(pages.select("url", *[c for c in order if c != "url"]), "url", order, keep_null=False)
+        pages = only_wanted(pages, cut(exclude_processed_urls(addresses, log)))
+    read = dedupe_first(extract_titles(pages, rules), "url", order, keep_null=False)
     if materialize:
         read = cut(read)
     titled = dedupe_first(read.withColumn("title", strip(F.col("title"))), "title", order, keep_null=False)
@@ -88,17 +87,34 @@ def catalog_job(
     if log is not None:
         fresh = exclude_processed_titles(fresh, log)
     if "status" in fresh.columns:
-        fresh = fresh.filter("status = 200")
+        fresh = fresh.filter("coalesce(status, 200) = 200")  # not told: it loaded
     if select is not None:
         chosen = select(fresh)
     else:
         chosen = rule_select(fresh, shop) if shop is not None else fresh
     if target is not None:
         chosen = take_until(chosen, target, order)
-    saved = extend_catalog(catalog, chosen, catalog_is_unique)
+    chosen = cut(chosen)
+    detailed = with_details(chosen, only_wanted(pages, chosen, order), rules, order)
+    saved = extend_catalog(catalog, detailed, catalog_is_unique)
     return JobResult(read, titled, listed, chosen, saved)
 
 
+def only_wanted(pages: DataFrame, wanted: DataFrame, also: Sequence[str] = ()) -> DataFrame:
+    """``pages`` whose URL is in ``wanted``, and that agree with it in the columns ``also``."""
+    keys = ["url", *[c for c in also if c != "url"]]
+    same = reduce(Column.__and__, [pages[c].eqNullSafe(wanted[c]) for c in keys])
+    return pages.join(wanted, same, "left_semi")
+
+
+def with_details(titled: DataFrame, pages: DataFrame, rules: Rules, order: Sequence[str]) -> DataFrame:
+    """``titled`` with image, description and price, read from its ``pages``."""
+    fields = ["image", "description", "price", "price_amount"]
+    read = extract_fields(pages, rules).select("url", *fields, *[c for c in order if c != "url"])
+    details = dedupe_first(read, "url", order, keep_null=False).select("url", *fields)
+    return titled.join(details, "url")
+
+
 def fixed_urls_job(
     urls: DataFrame,
     pages: DataFrame,
@@ -108,10 +124,9 @@ def fixed_urls_job(
     catalog_is_unique: bool = False,
 ) -> JobResult:
     """The same for a given list of URLs, with no selection. URLs without a page are logged."""
-    wanted = urls.select("url").distinct()
-    fields = extract_fields(pages, rules).join(wanted, "url", "left_semi")
+    wanted = cut(urls.select("url").distinct())
     order = list(order_by)
-    read = dedupe_first(fields, "url", order, keep_null=False)
+    read = cut(dedupe_first(extract_fields(only_wanted(pages, wanted), rules), "url", order, keep_null=False))
     titled = dedupe_first(read.withColumn("title", strip(F.col("title"))), "title", order, keep_null=False)
     fresh = absent(titled, "title", catalog, "name")
     saved = extend_catalog(catalog, fresh, catalog_is_unique)
@@ -123,21 +138,26 @@ def catalog_job_v1(
     root: str,
     reply: Callable[[DataFrame], DataFrame],
     rules: RulesV1 = RulesV1(),
-    url_limit: int | None = URL_LIMIT_V1,
+    url_limit: int | None = None,
     batch_size: int = BATCH_SIZE,
+    max_attempts: int | None = None,
 ) -> DataFrame:
     """The first version: crawl from ``root``, ask about batches of titles, read the products.
 
     ``reply`` gets the batches (batch_id, place, url, title) and returns the replies
     (batch_id, attempt, reply).
     """
-    found = reachable(link_edges(pages, root), root, url_limit)
-    fields = cut(extract_fields_v1(pages, rules))
+    found = cut(reachable(link_edges(pages, root), root, url_limit))
+    # of several snapshots of a page the first counts
+    first = dedupe_first(pages.select("url", "page_id"), "url", ["page_id"], keep_null=False)
+    wanted = cut(first.join(found.select("url"), "url", "left_semi"))
+    fields = extract_fields_v1(only_wanted(pages, wanted, ["page_id"]), rules)
+    fields = cut(dedupe_first(fields, "url", ["page_id"], keep_null=False))
     titles = fields.filter("og_title is not null").select("url", F.col("og_title").alias("title"))
     listed = titles.join(found.select("url", "ord"), "url")
     unique = dedupe_first(listed, "title", ["ord"], keep_null=False)
     batches = cut(make_batches(unique, batch_size, ["ord"]))
-    chosen = selected_urls(first_valid_attempt(batches, reply(batches)))
+    chosen = selected_urls(first_valid_attempt(batches, reply(batches), max_attempts))
     kept = keep_selected(batches.select("url", "ord"), chosen)
     products = require_price(fields.join(kept, "url"), rules.allow_no_price).filter("cleaned_content <> ''")
     first = dedupe_first(products, "name", ["ord"], keep_null=False)

@@ -106,7 +106,7 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     batches = cut(title_batches(spark, sf_dir))
-    chosen = L.first_valid_attempt(batches, replies(batches))
+    chosen = L.first_valid_attempt(batches, replies(batches), L.MAX_ATTEMPTS)
     return chosen.select("batch_id", F.size("urls").cast("bigint").alias("n_urls"))
 
 
@@ -117,7 +117,7 @@ def _(spark, sf_dir):
 def _(spark, sf_dir):
     """Batches, replies, first valid attempt, and back to the titles."""
     batches = cut(title_batches(spark, sf_dir))
-    chosen = L.selected_urls(L.first_valid_attempt(batches, replies(batches)))
+    chosen = L.selected_urls(L.first_valid_attempt(batches, replies(batches), L.MAX_ATTEMPTS))
     return D.keep_selected(batches.select("page_id", "url", "title"), chosen)
 
 
@@ -509,5 +509,5 @@ _V1_PRICE = (
 )
 def _(spark, sf_dir):
     """The whole rows, crawl limited to 100 URLs, replies that are partly unusable."""
-    products = J.catalog_job_v1(shop_pages(spark, sf_dir), ROOT, replies, url_limit=100)
+    products = J.catalog_job_v1(shop_pages(spark, sf_dir), ROOT, replies, url_limit=100, max_attempts=L.MAX_ATTEMPTS)
     return products.fillna("none", ["image_url"])

@@ -11,7 +11,6 @@ from ..functions import urls as U
 from ..operators import html as H
 from ..operators import urls as UF
 from ..operators.catalog import reformat_prices, require_price
-from ..session import spread
 from .registry import query, table
 from .shop import shop_columns, shop_pages, shop_sql
 
@@ -19,7 +18,7 @@ SHOP = shop_sql()
 
 
 def stored_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spread(table(spark, sf_dir, "pages"), "page_id")
+    return table(spark, sf_dir, "pages")
 
 
 # ---------------------------------------------------------------- DuckDB fragments

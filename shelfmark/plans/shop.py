@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import spread
 
 ROOT = "https://shop.example/p/1"
 
@@ -87,13 +86,15 @@ def shop_sql() -> str:
     return f"shop as (select {listed} from part)"
 
 
-def shop_pages(spark: SparkSession, sf_dir: str, *extra: str) -> DataFrame:
-    """page_id, url, html (and, for inputs of other operators, further columns by name)."""
+def shop_pages(spark: SparkSession, sf_dir: str, *extra: str, parts: int | None = None) -> DataFrame:
+    """page_id, url, html (and, for inputs of other operators, further columns by name), in ``parts``
+    partitions, or as many as the table ``part`` has."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     count = part.count()
     columns = {**COLUMNS, "html": HTML}
     wanted = ["page_id", "url", "html", *extra]
-    return spread(part).selectExpr(*[f"{columns[c].format(T='string', N=count)} as {c}" for c in wanted])
+    part = part.repartition(parts) if parts else part
+    return part.selectExpr(*[f"{columns[c].format(T='string', N=count)} as {c}" for c in wanted])
 
 
 def shop_columns(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:

@@ -47,15 +47,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder once and read it back from there.
 
     What follows starts from that table: it survives lost executors, is computed once however
     often it is used, and its size on disk lets the optimizer choose or refuse a broadcast.
+    ``options`` are those of the Parquet writer.
     """
     spark = df.sparkSession
     folder = f"{checkpoint_dir(spark)}/shelfmark-{uuid.uuid4().hex}"
-    df.write.parquet(folder)
+    df.write.options(**options).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
@@ -63,15 +64,3 @@ def empty_table(spark: SparkSession, schema: str) -> DataFrame:
     """A table without rows whose size the optimizer knows."""
     fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
     return spark.range(0).select(*[F.lit(None).cast(t).alias(n) for n, t in fields])
-
-
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Use all cores for a small input that arrives in a few files.
-
-    Only a scan of at most 32 splits (4 GB by default), and less than half the cores, is
-    spread; a large scan never pays for a shuffle here.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > min(32, cores // 2):
-        return df
-    return df.repartition(cores, *keys)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..operators.catalog import to_catalog
+from ..operators.order import row_index
 
 PAGES_SCHEMA = "page_id bigint, url string, html string"
 RECORD_END = "-------\n"
@@ -15,7 +16,7 @@ RECORD_END = "-------\n"
 def only_loaded(pages: DataFrame) -> DataFrame:
     """Pages that loaded as HTML, where the snapshot says how they loaded."""
     if "status" in pages.columns:
-        pages = pages.filter("status = 200")
+        pages = pages.filter("coalesce(status, 200) = 200")
     if "content_type" in pages.columns:
         pages = pages.filter(F.col("content_type").contains("text/html"))
     return pages
@@ -44,9 +45,17 @@ def read_catalog(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFr
 def read_product_records(spark: SparkSession, path: str) -> DataFrame:
     """Text records by their end line: name (the first line), record, ord.
 
-    ``ord`` grows with the place in the file.
+    ``ord`` numbers the records of all files, by the files' names and the places in them, however the
+    files are dealt to tasks.
     """
     raw = spark.read.option("lineSep", RECORD_END).text(path)
-    record = raw.select(F.col("value").alias("record"), F.monotonically_increasing_id().alias("ord"))
+    # rows of a split follow each other in its task, so their own numbers are ordered
+    place = {
+        "__file": F.col("_metadata.file_path"),
+        "__block": F.col("_metadata.file_block_start"),
+        "__row": F.monotonically_increasing_id(),
+    }
+    placed = raw.select(F.col("value").alias("record"), *[c.alias(n) for n, c in place.items()])
+    record = row_index(placed.filter(strip(F.col("record")) != ""), list(place), "ord")
     name = strip(F.element_at(F.split(strip(F.col("record")), "\n"), 1))
-    return record.filter(strip(F.col("record")) != "").select(name.alias("name"), "record", "ord")
+    return record.select(name.alias("name"), "record", "ord")

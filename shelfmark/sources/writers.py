@@ -106,6 +106,11 @@ def run_config_row(spark: SparkSession, site: str, execution: int, config: Mappi
     )
 
 
+def append_run(spark: SparkSession, path: str, site: str, execution: int, config: Mapping[str, object]) -> None:
+    """Record a run in the table of runs."""
+    run_config_row(spark, site, execution, config).write.mode("append").parquet(path)
+
+
 def _setting(value: object) -> Column:
     if isinstance(value, list | tuple):
         return F.array(*[F.lit(v) for v in value])

@@ -1,15 +1,19 @@
 """Streams of page snapshots: source, deduplication, upsert, target, resume.
 
-The catalogue of a stream is a folder with one part per batch, ``batch=<id>``. A batch writes
-only the products that no earlier part holds, so its cost does not grow with the catalogue's
-rows, only with the names it is checked against. Running a batch again after a failure
-replaces its own part and gives the same result.
+The catalogue of a stream is a folder with one part per batch, ``stream=<s>/batch=<id>``. A batch
+writes only the products that no other part holds, so its cost does not grow with the
+catalogue's rows, only with the names it is checked against. Running a batch again after a failure
+replaces its own part and gives the same result. Streams with different checkpoints number their
+batches from 0 each, so ``<s>`` is made from the checkpoint: they may share a folder, one after the
+other, and lose nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,6 +24,13 @@ from ..session import empty_table
 from ..sources.readers import PAGES_SCHEMA
 
 
+TARGET_MET = "the catalogue holds its target of"
+
+
+class TargetMet(Exception):
+    """Ends a stream whose catalogue is large enough."""
+
+
 def stream_pages(
     spark: SparkSession,
     folder: str,
@@ -47,10 +58,10 @@ def stream_dedupe(pages: DataFrame, key: str = "url", fetched: str | None = None
 
 
 def read_stream_catalog(spark: SparkSession, folder: str) -> DataFrame:
-    """The catalogue that a stream has written; empty before its first batch."""
+    """The catalogue that streams have written; empty before the first batch."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    schema = f"{CATALOG_SCHEMA}, batch bigint"
+    schema = f"{CATALOG_SCHEMA}, stream string, batch bigint"
     if not files.exists(path):
         return empty_table(spark, schema)
     return spark.read.schema(schema).parquet(folder)
@@ -62,16 +73,18 @@ def upsert_batch(
     folder: str,
     order_by: tuple[str, ...] = ("url",),
     base: DataFrame | None = None,
+    stream: str = "0",
 ) -> None:
-    """Write the products of one batch that neither earlier batches nor ``base`` have."""
+    """Write the products of one batch that neither other batches nor ``base`` have."""
     spark = new.sparkSession
-    earlier = read_stream_catalog(spark, folder).filter(F.col("batch") < batch_id).select("name")
+    own = (F.col("stream") == stream) & (F.col("batch") == batch_id)
+    earlier = read_stream_catalog(spark, folder).filter(~own).select("name")
     if base is not None:
         earlier = earlier.unionByName(base.select("name"))
     order = [c for c in order_by if c not in CATALOG_COLUMNS]
     first = dedupe_first(to_catalog(new, *order), "name", order_by, keep_null=False)
     fresh = absent(first.select(*CATALOG_COLUMNS), "name", earlier, "name")
-    fresh.write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+    fresh.write.mode("overwrite").parquet(f"{folder}/stream={stream}/batch={batch_id}")
 
 
 def stream_upsert(
@@ -81,17 +94,26 @@ def stream_upsert(
     checkpoint: str,
     order_by: tuple[str, ...] = ("url",),
     base: DataFrame | None = None,
+    target: int | None = None,
 ) -> StreamingQuery:
     """Run ``to_products`` on every batch of pages and add the result to the catalogue.
 
+    With ``target``, no batch is begun when the catalogue holds that many products: the query ends
+    with ``TargetMet``, keeps the whole of the batch that met it, and leaves later input to the
+    next run.
+
     ``base`` is a catalogue that the stream's own parts come on top of, such as what
     ``compact`` has written of an earlier folder.
     ``checkpoint`` holds what was read: a query started again with it goes on where the last
     one ended.
     """
 
+    stream = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert_batch(to_products(batch), batch_id, folder, order_by, base)
+        if target is not None and read_stream_catalog(batch.sparkSession, folder).count() >= target:
+            raise TargetMet(f"{TARGET_MET} {target}")
+        upsert_batch(to_products(batch), batch_id, folder, order_by, base, stream)
 
     return (
         pages.writeStream.foreachBatch(write)
@@ -104,17 +126,21 @@ def stream_upsert(
 def run_until_target(
     start: Callable[[], StreamingQuery], catalog: Callable[[], DataFrame], target: int
 ) -> int:
-    """Start the query until the target is met or a run adds nothing; returns the product count.
+    """Start the query until the target is met or a run finds no input; returns the product count.
 
-    Each run of ``start`` handles what is available and ends.
+    Each run of ``start`` handles what is available, at most up to its own target, and ends.
     """
     held = catalog().count()
     while held < target:
-        start().awaitTermination()
-        now = catalog().count()
-        if now == held:
+        query = start()
+        try:
+            query.awaitTermination()
+        except StreamingQueryException as e:
+            if TARGET_MET not in str(e):
+                raise
+        held = catalog().count()
+        if not any(p["numInputRows"] for p in query.recentProgress):
             break
-        held = now
     return held
 
 

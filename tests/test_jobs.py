@@ -152,7 +152,31 @@ def shuffled_columns(df):
     return moved
 
 
-def test_html_is_never_shuffled(spark, tmp_path):
+def below(plan, upper, lower):
+    """Whether the first ``lower`` of a plan's text stands below its first ``upper``."""
+    return 0 <= plan.find(upper) < plan.find(lower)
+
+
+def test_only_wanted_pages_are_cut_up(spark, tmp_path):
+    pages(spark, page("A"), page("B")).write.parquet(f"{tmp_path}/p")
+    read = spark.read.parquet(f"{tmp_path}/p")
+    wanted = spark.createDataFrame([("https://a.es/1", "t")], "url string, title string")
+    wanted.write.parquet(f"{tmp_path}/w")
+    wanted = spark.read.parquet(f"{tmp_path}/w")
+    for threshold in ("10MB", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            details = product_details(read, wanted)
+            fields = extract_fields(J.only_wanted(read, wanted))
+            for df in (details, fields):
+                assert below(plan_of(df), "Generate explode", "LeftSemi")
+            if threshold != "-1":  # a short list is broadcast: HTML stays
+                assert not shuffled_columns(fields) & {"html", "tokens", "metas"} - {"url"}
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tokens_are_never_shuffled(spark, tmp_path):
     pages(spark, page("A"), page("B")).write.parquet(f"{tmp_path}/p")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as if every table were large
     try:
@@ -165,7 +189,7 @@ def test_html_is_never_shuffled(spark, tmp_path):
         for df in (result.catalog, result.log, fixed.catalog, fixed.log, details, link_edges(read, ignore=log)):
             moved = shuffled_columns(df)
             assert moved
-            assert not moved & {"html", "tokens", "metas"}
+            assert not moved & {"tokens", "metas"}
             plan = plan_of(df)
             assert "CartesianProduct" not in plan
             assert "BroadcastNestedLoopJoin" not in plan

@@ -39,15 +39,17 @@ def test_first_valid_attempt(spark, rows):
         (1, 1, "no"),
         (1, 3, '["c", "c"]'),
         (2, 1, "no"),
-        (2, 4, '["d"]'),  # a fourth attempt is not made
+        (2, 4, '["d"]'),
         (3, 1, "[]"),
         (3, 2, '["e"]'),
     ]
     responses = spark.createDataFrame(replies, "batch_id bigint, attempt int, reply string")
     batches = spark.range(5).withColumnRenamed("id", "batch_id")
-    got = {r.batch_id: r.urls for r in L.first_valid_attempt(batches, responses).collect()}
-    assert got == {0: ["a"], 1: ["c", "c"], 2: [], 3: [], 4: []}
-    assert rows(L.selected_urls(L.first_valid_attempt(batches, responses))) == [("a",), ("c",), ("c",)]
+    three = L.first_valid_attempt(batches, responses, L.MAX_ATTEMPTS)  # a fourth attempt is not made
+    assert {r.batch_id: r.urls for r in three.collect()} == {0: ["a"], 1: ["c", "c"], 2: [], 3: [], 4: []}
+    assert rows(L.selected_urls(three)) == [("a",), ("c",), ("c",)]
+    every = L.first_valid_attempt(batches, responses)
+    assert {r.batch_id: r.urls for r in every.collect()} == {0: ["a"], 1: ["c", "c"], 2: ["d"], 3: [], 4: []}
 
 
 def test_batches_and_prompts(spark):
@@ -81,6 +83,14 @@ def test_rule_select(spark):
     assert kept == {i for i, (_, wanted) in enumerate(cases) if wanted}
 
 
+def test_rule_select_takes_titles_as_written(spark):
+    shop = L.ShopProfile(info_titles=("Who are we? (about)", "C++"), category_titles=())
+    titles = ["Who are we? (about)", "Who are w about", "Learn C++ now", "C", "Kite"]
+    df = spark.createDataFrame([(t,) for t in titles], "title string")
+    assert sorted(r.title for r in L.rule_select(df, shop).collect()) == ["C", "Kite", "Who are w about"]
+    assert L.rule_select(df, L.ShopProfile(info_titles=(), category_titles=())).count() == 5
+
+
 def test_keyword_prompts(spark):
     df = spark.createDataFrame([("T {description}", None)], "title string, description string")
     product = L.keyword_prompts(df).first().prompt
@@ -94,7 +104,7 @@ def test_keyword_prompts(spark):
         ("9,95€, k1, k2, k3, k4", True, "9,95€", ["k1", "k2", "k3", "k4"]),
         ("1.234,50 €,k1", True, "1.234,50 €", ["k1"]),
         ("k1, k2", True, None, ["k1", "k2"]),
-        ("Jumpy, Expert,Vivaro , Proace, Fifth", False, None, ["Jumpy", "Expert", "Vivaro", "Proace"]),
+        ("Jumpy, Expert,Vivaro , Proace, Fifth", False, None, ["Jumpy", "Expert", "Vivaro", "Proace", "Fifth"]),
         ("Batería", False, None, ["Batería"]),
     ],
 )

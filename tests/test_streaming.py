@@ -54,6 +54,37 @@ def test_stream_equals_batch_after_a_restart(spark, pages, tmp_path):
     assert R.read_stream_catalog(spark, f"{tmp_path}/next").count() == 0
 
 
+def test_two_streams_share_a_folder(spark, pages, tmp_path):
+    target = f"{tmp_path}/catalog"
+    for n, part in enumerate(("page_id < 30", "page_id >= 20")):
+        pages.filter(part).write.parquet(f"{tmp_path}/pages{n}")
+        source = R.stream_pages(spark, f"{tmp_path}/pages{n}")
+        R.stream_upsert(source, products, target, f"{tmp_path}/state{n}", ("page_id",)).awaitTermination()
+    batch = upsert_catalog(empty_table(spark, CATALOG_SCHEMA), products(pages), ["page_id"])
+    assert names(R.read_stream_catalog(spark, target)) == names(batch)
+
+
+def test_a_stream_ends_with_the_batch_that_meets_its_target(spark, pages, tmp_path):
+    source, folder = f"{tmp_path}/pages", f"{tmp_path}/catalog"
+    for n in range(4):  # a batch for each file
+        pages.filter(f"page_id div 15 = {n}").coalesce(1).write.mode("append").parquet(source)
+
+    def start(target):
+        stream = R.stream_pages(spark, source, 1)
+        return lambda: R.stream_upsert(stream, products, folder, f"{tmp_path}/state", ("page_id",), target=target)
+
+    def catalog():
+        return R.read_stream_catalog(spark, folder)
+
+    first = R.run_until_target(start(2), catalog, 2)
+    assert first >= 2
+    assert {r.batch for r in catalog().select("batch").collect()} == {0}
+    assert R.run_until_target(start(2), catalog, 2) == first
+    every = R.run_until_target(start(None), catalog, 1_000_000)
+    assert names(catalog()) == names(upsert_catalog(empty_table(spark, CATALOG_SCHEMA), products(pages), ["page_id"]))
+    assert every > first
+
+
 def test_target_met_starts_nothing(spark, tmp_path):
     def start():
         raise AssertionError("not needed")

@@ -140,11 +140,12 @@ def test_row_index_is_the_sorted_position(spark):
     assert O.row_index(df.filter("k < 0"), ["k", "i"]).count() == 0
 
 
-def test_limits(spark, monkeypatch):
+def test_limits(spark):
     df = spark.range(1000)
     assert [r.id for r in O.last_n(df, 5, ["id"]).collect()] == [999, 998, 997, 996, 995]
     assert sorted(r.id for r in O.take_until(df, 7, ["id"]).collect()) == list(range(7))
-    monkeypatch.setattr(O, "SMALL_LIMIT", 10)  # the way for large limits
+    assert O.take_until(df, 0, ["id"]).count() == 0
+    assert O.last_n(df, 2000, ["id"]).count() == 1000
     assert sorted(r.id for r in O.take_until(df, 600, ["id"]).collect()) == list(range(600))
 
 
