@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..session import cut
+from ..session import cut, cut_by
 from .dedup import dedupe_first
 from .html import extract_links
 from .order import numbered
@@ -76,7 +76,8 @@ def reachable(edges: DataFrame, root: str, max_urls: int | None = None, ordered:
         raise ValueError("a limit needs the order")
     spark = edges.sparkSession
     # copies of a page repeat its links: combined before the shuffle, each link is kept once
-    links = cut(edges.groupBy("src_url", "dst_url").agg(F.min("pos").alias("pos")))
+    # and laid out by their source, by which every level joins them
+    links = cut_by(edges.groupBy("src_url", "dst_url").agg(F.min("pos").alias("pos")), "src_url")
     frontier = spark.range(1).select(F.lit(root).alias("url"), F.lit(0).alias("depth"), F.col("id").alias("ord"))
     levels = [frontier]
     count, depth = 1, 0

@@ -121,6 +121,22 @@ def _(spark, sf_dir):
     return D.keep_selected(batches.select("page_id", "url", "title"), chosen)
 
 
+@query("rule_select_plain", f"with {SHOP} select page_id, title from shop where title <> 'SUDADERAS COMFY'")
+def _(spark, sf_dir):
+    """No titles of information pages are given."""
+    return L.rule_select(shop_columns(spark, sf_dir, "page_id", "title"), L.ShopProfile(info_titles=()))
+
+
+@query(
+    "first_valid_attempt_urls",
+    f"with {TITLES_CTE}, {BATCHES_CTE} select batch_id, url from batches where batch_id % 4 <> 3 and place % 2 = 0",
+)
+def _(spark, sf_dir):
+    batches = cut(title_batches(spark, sf_dir))
+    chosen = L.first_valid_attempt(batches, replies(batches), L.MAX_ATTEMPTS)
+    return chosen.select("batch_id", F.explode("urls").alias("url"))
+
+
 @query(
     "rule_select",
     f"with {SHOP} select page_id, title from shop where title not in ('Contacto', 'SUDADERAS COMFY')",
@@ -173,6 +189,19 @@ def _(spark, sf_dir):
     return parsed.select("key", "price", F.array_join("keywords", "|").alias("keywords"))
 
 
+@query(
+    "parse_keywords_many",
+    "select cast(p_partkey as varchar) as key, p_name || '|' || p_type || '|' || p_brand || '|four|five|six' as keywords from part",
+)
+def _(spark, sf_dir):
+    """All keywords of a reply, however many."""
+    replies = table(spark, sf_dir, "part").selectExpr(
+        "cast(p_partkey as string) as key", "concat(p_name, ', ', p_type, ', ', p_brand, ',four,five , six') as reply"
+    )
+    parsed = L.parse_keywords(replies, has_price=False)
+    return parsed.select("key", F.array_join("keywords", "|").alias("keywords"))
+
+
 @query("banned_keywords", "select cast(p_partkey as varchar) as key, p_name || '|' || p_type || '|' || p_brand as keywords from part")
 def _(spark, sf_dir):
     parsed = L.parse_keywords(keyword_replies(spark, sf_dir), has_price=True)
@@ -314,7 +343,7 @@ def page_files(spark: SparkSession, pages: DataFrame) -> str:
     """The pages in several files, and the first part of them a second time."""
     folder = fresh_folder(spark)
     pages.repartition(_FILES, "page_id").write.parquet(folder)
-    pages.filter("page_id % 2 = 0").coalesce(1).write.mode("append").parquet(folder)
+    pages.filter("page_id % 2 = 0").write.mode("append").parquet(folder)
     return folder
 
 
@@ -375,9 +404,9 @@ def _stream_catalog(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
     half = "page_id < (select avg(page_id) from p)"
     pages.createOrReplaceTempView("p")
     lower = spark.sql(f"select * from p where {half}")
-    lower.coalesce(1).write.parquet(folder)
+    lower.write.parquet(folder)
     R.run_until_target(start, catalog, 1)
-    spark.sql(f"select * from p where not {half}").coalesce(1).write.mode("append").parquet(folder)
+    spark.sql(f"select * from p where not {half}").write.mode("append").parquet(folder)
     spark.catalog.dropTempView("p")
     return target, R.run_until_target(start, catalog, 1_000_000_000)
 
@@ -393,6 +422,49 @@ def _(spark, sf_dir):
     return R.read_stream_catalog(spark, target).select("name", "url")
 
 
+_FIRST_PRODUCTS = (
+    "where name not in ('Contacto', 'SUDADERAS COMFY') qualify row_number() over (partition by name order by page_id) = 1"
+)
+
+
+@query("stream_two_writers", f"with {SHOP}, c as ({SHOP_CATALOG}) select name, url from c {_FIRST_PRODUCTS}")
+def _(spark, sf_dir):
+    """A second stream with a checkpoint of its own goes on in the folder of the first; nothing is lost."""
+    pages, target = shop_pages(spark, sf_dir), fresh_folder(spark)
+    middle = pages.agg(F.avg("page_id")).first()[0]
+    for part in (F.col("page_id") < middle, F.lit(True)):
+        folder = fresh_folder(spark)
+        pages.filter(part).write.parquet(folder)
+        _upsert(spark, folder, target, fresh_folder(spark)).awaitTermination()
+    return R.read_stream_catalog(spark, target).select("name", "url")
+
+
+def _upsert(spark, folder, target, state, goal=None):
+    def products(batch: DataFrame) -> DataFrame:
+        return L.rule_select(H.extract_fields(batch).filter("title is not null"))
+
+    return R.stream_upsert(R.stream_pages(spark, folder, 1), products, target, state, ("page_id",), target=goal)
+
+
+@query(
+    "stream_target",
+    f"with {SHOP}, c as ({SHOP_CATALOG}) select name, url, 0 as run from c where page_id <= (select count(*) / 4 from part) "
+    f"and {_FIRST_PRODUCTS.removeprefix('where ')} union all select name, url, 1 from c {_FIRST_PRODUCTS}",
+)
+def _(spark, sf_dir):
+    """The run ends with the batch that meets the target and keeps all of it; the next one goes on."""
+    pages = shop_pages(spark, sf_dir)
+    count = table(spark, sf_dir, "part").count()
+    folder, target, state = fresh_folder(spark), fresh_folder(spark), fresh_folder(spark)
+    for part in range(4):  # a folder's files are read in the order in which they came
+        some = pages.filter((F.col("page_id") > part * count / 4) & (F.col("page_id") <= (part + 1) * count / 4))
+        some.write.mode("append").parquet(folder)
+    R.run_until_target(lambda: _upsert(spark, folder, target, state, 1), lambda: R.read_stream_catalog(spark, target), 1)
+    first = cut(R.read_stream_catalog(spark, target).select("name", "url", F.lit(0).alias("run")))
+    _upsert(spark, folder, target, state).awaitTermination()
+    return first.unionByName(R.read_stream_catalog(spark, target).select("name", "url", F.lit(1).alias("run")))
+
+
 # ---------------------------------------------------------------- jobs
 
 _PRICE = (

@@ -11,6 +11,7 @@ from ..operators import dedup as D
 from ..operators import html as H
 from ..operators import order as O
 from ..operators import stats as A
+from ..session import empty_table
 from ..sources import readers as R
 from ..sources import writers as W
 from .queries_text import HTML_TITLE, LINKS_CTE, stored_pages
@@ -100,26 +101,32 @@ _SHOP_TEXT = _PRODUCT_TEXT.format(name="title", price="price_text", description=
 
 @query(
     "read_product_records",
-    f"with {SHOP}, r as (select title as name, trim({_SHOP_TEXT}, chr(10)) as record from shop) select name, record from r",
+    f"with {SHOP}, r as (select title as name, trim({_SHOP_TEXT}, chr(10)) as record, "
+    "row_number() over (order by title, page_id) - 1 as ord from shop) select name, record, ord from r",
 )
 def _(spark, sf_dir):
+    """Records of several files of different sizes, in the order of the files and the places in them."""
     folder = fresh_folder(spark)
-    W.write_product_text(C.to_catalog(shop_products(spark, sf_dir)), folder)
+    products = shop_products(spark, sf_dir)
+    products = products.repartitionByRange(5, "title", "page_id").sortWithinPartitions("title", "page_id")
+    W.write_product_text(C.to_catalog(products), folder)
     records = R.read_product_records(spark, folder)
-    return records.select("name", F.regexp_replace("record", r"^\n+|\n+$", "").alias("record"))
+    return records.select("name", F.regexp_replace("record", r"^\n+|\n+$", "").alias("record"), "ord")
 
 
 @query(
     "write_catalog",
     f"with {SHOP} select name, description, price, url, image_url, keywords, "
-    f"row_number() over (order by name, url) - 1 as place from ({SHOP_CATALOG})",
+    "row_number() over (order by name, description nulls first, price nulls first, url, image_url nulls first) - 1 as place "
+    f"from ({SHOP_CATALOG})",
 )
 def _(spark, sf_dir):
     """Written sorted: the rows of the files, in file order, are the rows in order of name."""
     folder = fresh_folder(spark)
     ordered = C.to_catalog(shop_products(spark, sf_dir)).select("name", "url", *C.CATALOG_COLUMNS[1:3], "image_url", "keywords")
     W.write_catalog(ordered, folder)
-    return O.row_index(spark.read.parquet(folder), ["name", "url"], "place")
+    place = {"file": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index")}
+    return O.row_index(spark.read.parquet(folder).select("*", *[c.alias(n) for n, c in place.items()]), list(place), "place").drop(*place)
 
 
 @query("to_product_text", f"with {SHOP} select {_SHOP_TEXT} || '-------' || chr(10) || chr(10) as value from shop")
@@ -440,3 +447,30 @@ def _(spark, sf_dir):
     """Pages per site."""
     pages = table(spark, sf_dir, "pages").select(U.netloc(F.col("url")).alias("netloc"))
     return pages.groupBy("netloc").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "dedupe_first_equal_rows",
+    "with t as (select case when p_partkey % 3 <> 0 then p_brand end as title, p_type as m from part) "
+    "select title, min(m) as m from t where title is not null group by title union all select * from t where title is null",
+)
+def _(spark, sf_dir):
+    """Rows without a title stay, also those that are equal in every column."""
+    rows = table(spark, sf_dir, "part").selectExpr("if(p_partkey % 3 <> 0, p_brand, null) as title", "p_type as m")
+    return D.dedupe_first(rows, "title", ["m"])
+
+
+@query(
+    "append_run",
+    "select 'https://shop' as site, cast(n as integer) as execution, '{\"pages\":' || (select count(*) from pages) || '}' as config_json "
+    "from range(1, 4) t(n)",
+)
+def _(spark, sf_dir):
+    """Three runs, each numbered after those in the table."""
+    folder = fresh_folder(spark)
+    count = table(spark, sf_dir, "pages").count()
+    runs = empty_table(spark, W.RUNS_SCHEMA)
+    for _run in range(3):
+        W.append_run(spark, folder, "https://shop", W.execution_number(runs, "https://shop"), {"pages": count})
+        runs = spark.read.schema(W.RUNS_SCHEMA).parquet(folder)
+    return runs

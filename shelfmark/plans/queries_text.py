@@ -465,3 +465,25 @@ def _(spark, sf_dir):
         "'end !y[a](b)![](c)') as text",
     )
     return raw.select("p_partkey", T.clean_text(F.col("text")).alias("text"))
+
+
+@query(
+    "price_eur_long",
+    "select p_partkey, case when p_partkey % 2 = 0 then '9' || p_partkey || '12345678901234567.50€' else '0.00€' end as price from part",
+)
+def _(spark, sf_dir):
+    """Long amounts, and one that rounding twice would raise."""
+    prices = table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "if(p_partkey % 2 = 0, concat('9', p_partkey, '12345678901234567,5 €'), '0,0049999999999 €') as price"
+    )
+    return reformat_prices(prices, "eur")
+
+
+@query(
+    "decode_references",
+    "select p_partkey, 'it''s © ' || p_name || ' café é é &copy=1 &copyx &bogus; &' as text from part",
+)
+def _(spark, sf_dir):
+    """References without a semicolon, with leading zeros, and what only looks like one."""
+    text = F.concat(F.lit("it&apos;s &copy "), F.col("p_name"), F.lit(" caf&eacute &#00000233; &#xE9 &copy=1 &copyx &bogus; &amp"))
+    return table(spark, sf_dir, "part").select("p_partkey", T.decode_references(text).alias("text"))

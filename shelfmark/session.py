@@ -60,6 +60,18 @@ def cut(df: DataFrame, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def cut_by(df: DataFrame, key: str) -> DataFrame:
+    """``cut``, laid out by ``key``: joins and groups on it do not move the table again."""
+    spark = df.sparkSession
+    name = f"shelfmark_{uuid.uuid4().hex}"
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.repartition(parts, key).write.bucketBy(parts, key)
+    writer.option("path", f"{checkpoint_dir(spark)}/{name}").saveAsTable(name)
+    table = spark.table(name)
+    spark.sql(f"drop table {name}")  # the name only: the files stay
+    return table
+
+
 def empty_table(spark: SparkSession, schema: str) -> DataFrame:
     """A table without rows whose size the optimizer knows."""
     fields = [f.strip().rsplit(" ", 1) for f in schema.split(",")]
