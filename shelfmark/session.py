@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,6 +50,25 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_run_folder: ContextVar[str | None] = ContextVar("run_folder", default=None)
+
+
+@contextmanager
+def run_folder(spark: SparkSession) -> Iterator[str]:
+    """A folder below the shared one for all that ``cut`` writes inside; removed at the end.
+
+    What reads from these tables has to be written or collected before.
+    """
+    folder = f"{checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
+    token = _run_folder.set(folder)
+    try:
+        yield folder
+    finally:
+        _run_folder.reset(token)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def cut(df: DataFrame, **options: str) -> DataFrame:
     """Write ``df`` as a table in the checkpoint folder once and read it back from there.
 
@@ -55,7 +77,7 @@ def cut(df: DataFrame, **options: str) -> DataFrame:
     ``options`` are those of the Parquet writer.
     """
     spark = df.sparkSession
-    folder = f"{checkpoint_dir(spark)}/shelfmark-{uuid.uuid4().hex}"
+    folder = f"{_run_folder.get() or checkpoint_dir(spark)}/shelfmark-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
@@ -66,7 +88,7 @@ def cut_by(df: DataFrame, key: str) -> DataFrame:
     name = f"shelfmark_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = df.repartition(parts, key).write.bucketBy(parts, key)
-    writer.option("path", f"{checkpoint_dir(spark)}/{name}").saveAsTable(name)
+    writer.option("path", f"{_run_folder.get() or checkpoint_dir(spark)}/{name}").saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"drop table {name}")  # the name only: the files stay
     return table

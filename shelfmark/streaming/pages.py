@@ -13,7 +13,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.errors import StreamingQueryException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -59,12 +59,13 @@ def stream_dedupe(pages: DataFrame, key: str = "url", fetched: str | None = None
 
 def read_stream_catalog(spark: SparkSession, folder: str) -> DataFrame:
     """The catalogue that streams have written; empty before the first batch."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     schema = f"{CATALOG_SCHEMA}, stream string, batch bigint"
-    if not files.exists(path):
+    try:
+        return spark.read.schema(schema).parquet(folder)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return empty_table(spark, schema)
-    return spark.read.schema(schema).parquet(folder)
 
 
 def upsert_batch(

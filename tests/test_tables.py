@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from shelfmark.operators import dedup as D
 from shelfmark.operators import order as O
 from shelfmark.operators import stats as A
 from shelfmark.operators import urls as UF
-from shelfmark.session import empty_table
+from shelfmark.session import cut, cut_by, empty_table, run_folder
 
 TITLES = "url string, title string, ord bigint"
 
@@ -140,6 +141,15 @@ def test_row_index_is_the_sorted_position(spark):
     assert O.row_index(df.filter("k < 0"), ["k", "i"]).count() == 0
 
 
+def test_a_run_folder_is_removed(spark):
+    with run_folder(spark) as folder:
+        assert cut(spark.range(3)).count() == 3
+        assert cut_by(spark.range(3), "id").count() == 3
+        assert len(list(Path(folder).iterdir())) == 2
+    assert not Path(folder).exists()
+    assert cut(spark.range(3)).count() == 3
+
+
 def test_limits(spark):
     df = spark.range(1000)
     assert [r.id for r in O.last_n(df, 5, ["id"]).collect()] == [999, 998, 997, 996, 995]
