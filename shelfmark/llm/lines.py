@@ -63,12 +63,12 @@ def recurring(docs: DataFrame) -> DataFrame:
     the line is to be ``dropped``."""
     lines = docs.select("rid", "id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
     keyed = cut(templates(lines, ["rid", "id", "place"]).select("rid", "id", "place", F.inline_outer("keys")))  # outer: no filter that parses twice
-    rank = F.struct(F.col("id").isNull().alias("missing"), "id")
+    # rows without id are one document, the last
     several = (
         keyed.groupBy("h1", "h2")
-        .agg(F.min(rank).alias("first"), F.max(rank).alias("last"))
-        .filter(F.col("first") != F.col("last"))
-        .select("h1", "h2", F.col("first.id").alias("first"))
+        .agg(F.min("id").alias("first"), F.max("id").alias("last"), F.max(F.col("id").isNull()).alias("nameless"))
+        .filter((F.col("first") != F.col("last")) | (F.col("nameless") & F.col("first").isNotNull()))
+        .select("h1", "h2", "first")
     )
     found = keyed.join(several, ["h1", "h2"]).groupBy("rid", "place")
     return found.agg(F.max(~F.col("id").eqNullSafe(F.col("first"))).alias("dropped"))
@@ -77,20 +77,26 @@ def recurring(docs: DataFrame) -> DataFrame:
 def strip(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """``row`` (all columns of ``docs``), ``n_lines``, ``n_recurring``, ``n_dropped`` and ``kept_text``."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    held = cut(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("rid")))
+    held = cut(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("rid")), compression="zstd")
     named = held.select("rid", F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text}`").alias("text"))
     marks = recurring(named).groupBy("rid").agg(
         F.count(F.lit(1)).alias("n_recurring"), F.collect_list(F.when(F.col("dropped"), F.col("place"))).alias("places")
     )
-    lines = F.split(F.col(f"row.`{text}`"), "\n")
-    places = F.coalesce("places", F.array().cast("array<int>"))
-    left = F.filter(lines, lambda _, k: ~F.array_contains(F.col("places"), k))
-    return held.join(marks.hint("shuffle_hash"), "rid", "left").select(
+    none = F.array().cast("array<int>")
+    marked = held.join(marks.hint("shuffle_hash"), "rid", "left").select(
         "row",
-        F.coalesce(F.size(lines), F.lit(0)).cast("long").alias("n_lines"),
+        F.split(F.col(f"row.`{text}`"), "\n").alias("lines"),
         F.coalesce("n_recurring", F.lit(0)).cast("long").alias("n_recurring"),
-        F.size(places).cast("long").alias("n_dropped"),
-        F.when(F.size(places) == 0, F.col(f"row.`{text}`")).otherwise(F.array_join(left, "\n")).alias("kept_text"),
+        F.coalesce("places", none).alias("places"),
+    )
+    every = F.sequence(F.lit(0), F.size("lines") - 1)
+    left = F.transform(F.array_except(every, F.col("places")), lambda k: F.get("lines", k))
+    return marked.select(
+        "row",
+        F.coalesce(F.size("lines"), F.lit(0)).cast("long").alias("n_lines"),
+        "n_recurring",
+        F.size("places").cast("long").alias("n_dropped"),
+        F.when(F.size("places") == 0, F.col(f"row.`{text}`")).otherwise(F.array_join(left, "\n")).alias("kept_text"),
     )
 
 
@@ -113,3 +119,23 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: s
         return F.col(f"row.`{name}`")
 
     return strip(docs, id_col, text).select(*[column(c).alias(c) for c in docs.columns])
+
+
+ORACLE = r"""
+with d as (select row_number() over () as rid, doc_id as id, text, string_split(text, chr(10)) as lines from documents),
+l as (select rid, id, unnest(lines) as line, unnest(range(len(lines))) as place from d where text is not null),
+w as (select rid, id, place, regexp_split_to_array(array_to_string(list_transform(string_split(trim(line, ' '), ' '),
+    lambda t: case when regexp_matches(t, '[0-9]') then '<*>' else t end), ' '), '[ \t\n\x0B\f\r]+') as words from l),
+p as (select rid, id, place, words, len(words) as n, len(words) - 2 as size from w where len(words) >= 5),
+q as (select rid, id, place, n, array_to_string(words[1:2], ' ') as lead, array_to_string(words[3:2 + size // 3], ' ') as a,
+    array_to_string(words[3 + size // 3:2 + size * 2 // 3], ' ') as b, array_to_string(words[3 + size * 2 // 3:], ' ') as c from p),
+k as (select rid, id, place, unnest(case when n >= 12 then [[n::varchar, lead, '<*>', b, c], [n::varchar, lead, a, '<*>', c],
+    [n::varchar, lead, a, b, '<*>']] else [[n::varchar, lead, a, b, c]] end) as key from q),
+s as (select key, min(id) as first from k group by key having min(id) <> max(id) or (bool_or(id is null) and min(id) is not null)),
+f as (select rid, place, bool_or(id is distinct from first) as dropped from k join s using (key) group by rid, place),
+m as (select rid, count(*) as n, coalesce(list(place) filter (dropped), []) as places from f group by rid)
+select d.id as doc_id, coalesce(len(lines), 0)::bigint as n_lines, coalesce(n, 0)::bigint as n_recurring,
+    coalesce(len(places), 0)::bigint as n_dropped, case when coalesce(len(places), 0) = 0 then text else coalesce(array_to_string(
+    list_transform(list_filter(range(len(lines)), lambda i: not list_contains(places, i)), lambda i: lines[i + 1]), chr(10)), '') end as text
+from d left join m using (rid)
+"""

@@ -204,7 +204,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius
     """``docs`` with one document of each component: that with the smallest id, of several such rows
     one. All columns are kept."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    held = cut(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("rid")))
+    held = cut(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("rid")), compression="zstd")
     named = held.select("rid", F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text}`").alias("text"))
     slim = cut(fingerprints(named, ["rid", "id"]))
     order = F.struct(F.col("id").isNull().alias("missing"), "id", "rid")
