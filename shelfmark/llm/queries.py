@@ -79,4 +79,6 @@ ORACLE: dict[str, str] = {
     "op2_licenses": licenses.oracle(),
     "op4_embeddings": embeddings.ORACLE,
     "op5_warc": warc.ORACLE,
+    "op6_lines": lines.ORACLE,
+    "op8_secrets": secrets.oracle(),
 }

@@ -215,3 +215,55 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
         F.sha2(joined(F.filter(whole, lambda s: s["kind"] != random)).cast("binary"), 256).alias("base_sha256"),
         joined(whole).alias("spans"),
     )
+
+
+def oracle() -> str:
+    """The same rows in DuckDB."""
+    patterns = {**PATTERNS, "hex": PATTERNS["hex"].split(")", 1)[1], "random": TOKEN.split(")", 1)[1]}
+    quoted = {kind: p.replace("'", "''") for kind, p in patterns.items()}
+    value = {kind: 1 if kind == "assign" else 0 for kind in KINDS}
+    matches = " union all ".join(
+        f"select rid, {n} as kind, regexp_split_to_array(text, '{quoted[k]}') as before, regexp_extract_all(text, '{quoted[k]}', 0) as match, "
+        f"regexp_extract_all(text, '{quoted[k]}', {value[k]}) as value from d"
+        for n, k in enumerate(KINDS)
+    )
+    alphabet = " ".join(f"when regexp_matches(core, '{p}') then '{letters}'" for p, letters in ENCODINGS.values())
+    names = ", ".join(f"'{k}'" for k in KINDS)
+    counts = ", ".join(f"count(*) filter (kind = {n}) as n_{k}" for n, k in enumerate(KINDS[:-1]))
+    columns = ", ".join(f"coalesce(n_{k}, 0)::bigint as n_{k}" for k in KINDS[:-1])
+    two, three = f"{SAME_TWO}::double", f"{SAME_THREE}::double"
+    return f"""
+with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+m as ({matches}),
+u as (select rid, kind, unnest(range(len(match))) as pos, unnest(before[1:len(match)]) as b, unnest(match) as m, unnest(value) as v from m),
+p as (select rid, kind, len(m) as size, v, sum(len(b) + len(m)) over (partition by rid, kind order by pos) as stop from u),
+s as (select rid, kind, (stop - size)::bigint as start, stop::bigint as stop, v from p
+    where not (kind = 0 and len(v) < {SECRET}) and not (kind = 1 and size < 18)),
+t1 as (select rid, start, stop, regexp_replace(v, '=+$', '') as core from s where kind = 3),
+t2 as (select *, len(core)::double as n, case {alphabet} end as alphabet from t1),
+t3 as (select *, len(alphabet)::double as k, list_transform(string_split(core, ''), lambda c: strpos(alphabet, c)::double) as vs,
+    list_sum(list_transform(string_split(alphabet, ''), lambda c: pow(n - len(replace(core, c, '')), 2))) as squares from t2),
+t4 as (select *, list_sum(vs) / n as mean, list_transform(vs, lambda x: x > k / 2) as high from t3),
+t5 as (select *, list_sum(list_transform(high, lambda x: x::double)) as above,
+    list_sum(list_transform(range(1, len(vs)), lambda i: (high[i] <> high[i + 1])::double)) as changes,
+    list_sum(list_transform(vs, lambda x: (x - mean) * (x - mean))) as spread,
+    list_sum(list_transform(range(1, len(vs)), lambda i: (vs[i] - mean) * (vs[i + 1] - mean))) as products from t4),
+t6 as (select *, 1 + 2 * above * (n - above) / n as expected from t5),
+t7 as (select *, (expected - 1) * (expected - 2) / (n - 1) as variance,
+    (n + n * (n - 1) * {two} - squares) / sqrt(4 * n * n * n * ({three} - {two} * {two}) + 2 * n * n * {two} * {two}) as gap from t6),
+t8 as (select rid, start, stop, k, n, case when variance > 0 then (1 + changes - expected) / sqrt(variance) else 1e9 end as runs,
+    case when spread > 0 then (products / spread + 1 / n) * sqrt(n) else 1e9 end as serial,
+    case when gap > 0 then gap * gap / 2 + ln(2.0::double) else 0.0::double end as logs from t7),
+t9 as (select *, least(floor((logs + ln(n / avg(n) over ())) * {STEP}), {STEPS})::int as step, count(*) over () as m from t8),
+h as (select step, m, sum(count(*)) over (order by step desc) as above from t9 where step >= 0 group by step, m),
+f as (select rid, 3 as kind, start, stop from t9 where step >= (select coalesce(min(step), {STEPS + 1}) from h
+    where m * exp(-step / {STEP}::double) <= {RATE}::double * above) and abs(runs) <= {AGAINST} and abs(serial) <= {AGAINST} and k > 10),
+e as (select rid, kind, start, stop from s where kind < 3 union all select * from f),
+o as (select *, max(case when kind < 3 then stop end) over (partition by rid order by start) as earlier,
+    min(case when kind < 3 then start end) over (partition by rid order by start desc) as later from e),
+g as (select rid, kind, start, stop, [{names}][kind + 1] || ':' || start || ':' || stop as name from o
+    where kind < 3 or (coalesce(earlier, -1) <= start and coalesce(later, stop) >= stop)),
+l as (select rid, {counts}, string_agg(name, ',' order by start, kind, stop) filter (kind < 3) as base,
+    string_agg(name, ',' order by start, kind, stop) as spans from g group by rid)
+select doc_id, {columns}, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans from d left join l using (rid)
+"""
