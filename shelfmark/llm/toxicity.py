@@ -34,7 +34,7 @@ from .common import bounded
 SAMPLE = 20_000
 # Lengths of the beginnings of words that may be learned, and the lower bound of the log odds.
 STEMS = (4, 5, 6)
-LEAST_ODDS = 2.4
+LEAST_ODDS = 2.0
 
 # The words of the other symbols.
 TARGETS = "you your yours he him his she her they them their du dich ihr sie vous tu te il elle usted tú él ella".split()
