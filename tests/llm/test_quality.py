@@ -34,11 +34,13 @@ def test_estimate_finds_how_far_rules_are_right():
     votes[rng.random((60_000, 6)) < 0.1] = 0
     patterns, place, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     model = Q.estimate(patterns, counts.astype(float))
-    assert abs(model.share[0] - 0.8) < 0.06  # the class of the rule that votes at random takes some
+    assert abs(model.share[0] - 0.8) < 0.06
     wrong = model.vote[:, 0, 0] / (model.vote[:, 0, 0] + model.vote[:, 0, 2])
-    assert np.abs(wrong - chance[0]).max() < 0.03
+    assert abs(wrong[5] - 0.1) < 0.01  # no better than chance, as the data say
+    assert wrong[:5].max() < 0.05
     kept = Q.classes(Q.as_seen(patterns), model)[place, 0] >= 0.5
-    assert (kept == (kind == 0)).mean() > 0.97
+    assert kept[kind == 0].mean() > 0.92
+    assert kept[kind != 0].mean() < 0.05
 
 
 def test_base_rules_hold_and_labels_agree(spark):
