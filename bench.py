@@ -101,6 +101,7 @@ def rows(df: DataFrame) -> int:
 
 def main() -> None:
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
+    registry.load()
     spark = local_session(os.environ.get("BENCH_CPUS", "8"), "bench")
     spark.sparkContext.setLogLevel("ERROR")
     times, counts = {}, {}
