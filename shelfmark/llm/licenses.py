@@ -1,17 +1,19 @@
 """License scans by an exact set-similarity join of text blocks with license templates.
 
-Blocks are the lines of a text, as sets of words. Tokens are ordered by the number of blocks of the
+Blocks are the lines of a text, as sets of words, and runs of successive words as long as the template,
+so that a notice wrapped over several lines is found too. For lines, tokens are ordered by the number of blocks of the
 corpus that hold them, rare ones first. A block that holds at least ``ceil(t * n)`` of a template's ``n``
 words must hold one of the template's first ``n - ceil(t * n) + 1`` words in that order (prefix filter),
 must hold enough template words at all (length filter), and from the place where the two first meet
 enough must be left in both (positional filter). What passes is counted exactly. No pair that meets
-the threshold is lost, and few others are looked at.
+the threshold is lost, and few others are looked at. Runs are looked at in texts that hold enough of a
+template's words at all, from each of its words on.
 
 Beside the templates, phrases are looked for anywhere in the text, also across lines.
 
 The templates are a parameter; only their words are counted, so what the driver gets is bounded by
-them. Texts are read once and never move: what stays of a text is its counts and the template words
-of its lines.
+them. Texts are read once and never move: what stays of a text is its counts, the template words
+of its lines, and labels and scores of the runs.
 
 Defined results: null counts as empty; a text without words has no labels, null places and score 0.
 Repeated rows give repeated rows; ids may be null. An empty table gives an empty table.
@@ -68,9 +70,37 @@ def literal_rows(spark: SparkSession, rows: list[tuple], names: list[str]) -> Da
     return spark.range(1).select(F.inline(F.array(*made)))
 
 
-def scanned(docs: DataFrame, vocabulary: list[str], phrases: dict[str, str], id_col: str, text: str) -> DataFrame:
-    """Per document: id, a number of its own, places of phrases, and ``blocks``, for each line that holds
-    any its words out of ``vocabulary``."""
+def wrapped(lines: Column, held: Column, templates: list[tuple[str, str]], threshold: float) -> Column:
+    """``label`` and ``score`` of every template and run of words, across the ends of ``lines``, whose
+    containment meets the threshold: of each template the best. ``held`` has the template words of the text."""
+    sets = [(label, sorted(set(t.split())), len(t.split())) for label, t in templates]
+    known = F.array(
+        *[F.struct(F.lit(label).alias("label"), strings(w).alias("words"), F.lit(n).alias("run")) for label, w, n in sets]
+    )
+    enough = F.filter(known, lambda t: F.size(F.array_intersect(t["words"], held)) / F.size(t["words"]) >= threshold)
+    words = F.filter(F.flatten(lines), lambda w: w != "")
+
+    def best(t: Column) -> Column:
+        placed = F.transform(words, lambda w, at: F.struct(at.alias("at"), w.alias("word")))
+        hits = F.filter(placed, lambda h: F.array_contains(t["words"], h["word"]))
+
+        def share(h: Column, k: Column) -> Column:
+            run = F.filter(F.slice(hits, k + 1, t["run"]), lambda x: x["at"] < h["at"] + t["run"])
+            return F.size(F.array_distinct(run["word"])) / F.size(t["words"])
+
+        return F.struct(t["label"].alias("label"), F.array_max(F.transform(hits, share)).alias("score"))
+
+    # a text of one line has no run that its line does not hold
+    found = F.filter(F.transform(enough, best), lambda x: x["score"] >= threshold)
+    return F.when((F.size(lines) > 1) & (F.size(enough) > 0), found)
+
+
+def scanned(
+    docs: DataFrame, templates: list[tuple[str, str]], phrases: dict[str, str], threshold: float, id_col: str, text: str
+) -> DataFrame:
+    """Per document: id, a number of its own, places of phrases, ``blocks``, for each line that holds
+    any its words out of the templates, and ``runs``, what runs of words match."""
+    vocabulary = sorted({w for _, t in templates for w in t.split()})
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), lower_ascii(F.col(f"`{text}`")).alias("text"))
     rows = rows.select("*", F.transform(F.split("text", "\n"), lambda x: F.split(x, f"[{GAP}]+")).alias("lines"))
     vocabulary_set = strings(vocabulary)
@@ -79,10 +109,12 @@ def scanned(docs: DataFrame, vocabulary: list[str], phrases: dict[str, str], id_
     n_words = F.aggregate("lines", F.lit(0).cast("long"), lambda n, x: n + F.size(F.filter(x, lambda w: w != "")))
     pattern = "|".join(p.replace(" ", f"[{GAP}]+") for p in phrases)
     pattern = f"(?<![^{GAP}])(?:{pattern})(?![^{GAP}])"
-    rows = rows.select("id", "text", n_words.alias("n_words"), held.alias("blocks"), F.col("text").rlike(pattern).alias("any"))
+    rows = rows.select("id", "text", "lines", n_words.alias("n_words"), held.alias("blocks"), F.col("text").rlike(pattern).alias("any"))
     places = F.when(F.col("any"), F.regexp_extract_all("text", F.lit(f"({pattern})")))
     around = F.when(F.col("any"), F.split("text", pattern))
-    rows = rows.select("id", "n_words", "blocks", places.alias("places"), around.alias("around"))
+    rows = rows.select("id", "lines", F.array_distinct(F.flatten("blocks")).alias("held"), "n_words", "blocks", places.alias("places"), around.alias("around"))
+    runs = wrapped(F.col("lines"), F.col("held"), templates, threshold) if templates else F.lit(None).cast("array<struct<label:string,score:double>>")
+    rows = rows.select("id", "n_words", "blocks", "places", "around", runs.alias("runs"))
     words = rf"[^{GAP}]+"
     phrase_words = F.regexp_count(F.element_at("places", -1), F.lit(words))
     # phrases as written in the list: single spaces
@@ -95,6 +127,7 @@ def scanned(docs: DataFrame, vocabulary: list[str], phrases: dict[str, str], id_
         "id",
         "n_words",
         "blocks",
+        "runs",
         F.coalesce(F.size("places"), F.lit(0)).cast("long").alias("n_base"),
         F.regexp_count(F.get("around", F.lit(0)), F.lit(words)).cast("long").alias("first_word"),
         (F.col("n_words") - F.regexp_count(F.element_at("around", -1), F.lit(words)) - phrase_words).cast("long").alias("last_word"),
@@ -145,12 +178,11 @@ def scan(
 ) -> DataFrame:
     """One row for each document: id, ``n_words``, ``n_base``, ``first_word``, ``last_word``, ``base_labels``,
     ``labels`` and ``score``, the largest containment (1 where a phrase stands)."""
-    vocabulary = sorted({w for _, t in templates for w in t.split()})
-    rows = cut(scanned(docs, vocabulary, phrases, id_col, text))
+    rows = cut(scanned(docs, templates, phrases, threshold, id_col, text))
     found = matched(rows.select("rid", F.explode("blocks").alias("words")), templates, threshold)
     found = found.groupBy("rid").agg(F.collect_set("label").alias("found"), F.max("score").alias("best"))
     none = F.array().cast("array<string>")
-    labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("found", none))))
+    labels = F.array_sort(F.array_distinct(F.concat("base", F.coalesce("found", none), F.coalesce("runs.label", none))))
     return rows.join(found, "rid", "left").select(
         F.col("id").alias(id_col),
         "n_words",
@@ -159,12 +191,12 @@ def scan(
         "last_word",
         F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"),
         F.array_join(labels, ",").alias("labels"),
-        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("best", F.lit(0.0))).alias("score"),
+        F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce(F.greatest("best", F.array_max("runs.score")), F.lit(0.0))).alias("score"),
     )
 
 
 def oracle(templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> str:
-    """The same rows by comparing every line with every template."""
+    """The same rows by comparing every line with every template; for texts without wrapped notices."""
     known = ", ".join(f"('{label}', ['{"', '".join(sorted(set(t.split())))}'])" for label, t in templates)
     rows = ", ".join(f"('{label}', string_split('{p}', ' '))" for p, label in phrases.items())
     low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import textwrap
 
 from plain import lower
 
@@ -56,5 +57,39 @@ def test_against_plain(spark, docs):
     assert sorted((tuple(r) for r in got), key=key) == sorted(((r.doc_id, *plain(r.text)) for r in texts), key=key)
 
 
+def runs(text):
+    """Labels and the best score of all runs of words as long as a template."""
+    words, found = WORD.findall(lower(text)), {}
+    for label, t in licenses.TEMPLATES:
+        known, size = set(t.split()), len(t.split())
+        score = max(len(known & set(words[i : i + size])) / len(known) for i in range(len(words) or 1))
+        if score >= licenses.THRESHOLD:
+            found[label] = max(score, found.get(label, 0.0))
+    return found
+
+
+def wrap(text, width, before):
+    return "\n".join(before + x for x in textwrap.wrap(text, width))
+
+
+def test_wrapped_notices(spark):
+    made, want = [], []
+    own = "Some other words stand here and have nothing to do with any notice of the list."
+    for label, t in licenses.TEMPLATES:
+        for width, before in ((72, ""), (40, "# "), (24, " * ")):
+            made.append(f"{own}\n{wrap(t.capitalize(), width, before)}\n{own}")
+            want.append(label)
+    scattered = " ".join("permission is hereby granted free of charge to any person obtaining a copy of this software".split()[::-1]).replace(" ", " or\nnot ")
+    made += [scattered, f"{own}\n{own}", "\n\n", "permission is hereby granted free of charge\nto any person obtaining a copy"]
+    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = {r.doc_id: r for r in licenses.scan(rows).collect()}
+    for i, text in enumerate(made):
+        found, by_line = runs(text), plain(text)
+        assert got[i].labels == ",".join(sorted({*found, *filter(None, by_line[5].split(","))})), text
+        assert got[i].score == max([by_line[6], *found.values()])
+    assert all(label in got[i].labels.split(",") for i, label in enumerate(want))
+    assert not any(got[i].labels for i in range(len(want), len(made)))
+
+
 def test_nothing(no_docs):
     assert licenses.scan(no_docs).count() == 0
