@@ -12,7 +12,8 @@ documents are a minimum and a maximum, which are partly taken before anything mo
 move with the keys.
 
 Defined results: a null text stays null, an empty one empty. Lines of fewer than ``LEAST`` tokens are
-never dropped. Rows of the same id are one document, rows without id are one too, the last. All
+never dropped by the query; the pipeline's stage (``dedup``) drops them if they recur exactly and have
+``EXACT`` characters at least, so that short notices go, and paragraphs of scripts without spaces. Rows of the same id are one document, rows without id are one too, the last. All
 else of a text, with the order of its lines, stays. An empty table gives an empty table.
 """
 
@@ -24,6 +25,7 @@ from pyspark.sql import functions as F
 from ..session import cut
 
 LEAST = 5  # tokens of a line that is parsed
+EXACT = 16  # characters of a shorter line that is compared as it is; below are brackets, rules, single words
 LEADING = 2  # leading tokens, the inner levels of the tree
 LONG = 12  # tokens of a line that may have a variable stretch
 STRETCHES = 3
@@ -41,8 +43,9 @@ def key(*parts: Column | str) -> Column:
     return F.struct(F.xxhash64(*parts).alias("h1"), F.xxhash64(F.lit(1), *parts).alias("h2"))
 
 
-def templates(lines: DataFrame, keep: list[str]) -> DataFrame:
-    """Columns ``keep`` and ``keys``, the templates that ``line`` may belong to; none for a short line."""
+def templates(lines: DataFrame, keep: list[str], exact: bool = False) -> DataFrame:
+    """Columns ``keep`` and ``keys``, the templates that ``line`` may belong to; none for a short line, or
+    with ``exact`` the line itself."""
     n, rest = F.size("words"), F.greatest(F.size("words") - LEADING, F.lit(0))
     bounds = [F.floor(rest * k / STRETCHES).cast("int") for k in range(STRETCHES + 1)]
     parts = [
@@ -50,19 +53,23 @@ def templates(lines: DataFrame, keep: list[str]) -> DataFrame:
     ]
     lead = F.concat_ws(" ", F.slice("words", 1, LEADING))
     names = [f"part{k}" for k in range(STRETCHES)]
-    parsed = lines.select(*keep, tokens(F.col("line")).alias("words")).filter(n >= LEAST)
+    whole = F.trim("line")
+    parsed = lines.select(*keep, tokens(F.col("line")).alias("words"), F.when(F.lit(exact), whole).alias("whole"))
+    parsed = parsed.filter((n >= LEAST) | (F.length("whole") >= EXACT))
     # a step of its own for what several keys are made of, so that it is computed once
-    parsed = parsed.select(*keep, n.alias("n"), lead.alias("lead"), *[p.alias(x) for x, p in zip(names, parts, strict=True)])
+    parsed = parsed.select(*keep, n.alias("n"), F.when(n < LEAST, F.col("whole")).alias("whole"), lead.alias("lead"), *[p.alias(x) for x, p in zip(names, parts, strict=True)])
     open_ = [key("n", "lead", *[F.lit(VARIABLE) if k == j else F.col(x) for k, x in enumerate(names)]) for j in range(STRETCHES)]
     keys = F.when(F.col("n") >= LONG, F.array(*open_)).otherwise(F.array(key("n", "lead", *names)))
+    if exact:
+        keys = F.when(F.col("n") < LEAST, F.array(key("n", "whole"))).otherwise(keys)
     return parsed.select(*keep, keys.alias("keys"))
 
 
-def recurring(docs: DataFrame) -> DataFrame:
+def recurring(docs: DataFrame, exact: bool = False) -> DataFrame:
     """For ``rid``, ``id``, ``text``: the lines whose template recurs, as ``rid``, ``place`` and whether
     the line is to be ``dropped``."""
     lines = docs.select("rid", "id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    keyed = cut(templates(lines, ["rid", "id", "place"]).select("rid", "id", "place", F.inline_outer("keys")))  # outer: no filter that parses twice
+    keyed = cut(templates(lines, ["rid", "id", "place"], exact).select("rid", "id", "place", F.inline_outer("keys")))  # outer: no filter that parses twice
     # rows without id are one document, the last
     several = (
         keyed.groupBy("h1", "h2")
@@ -74,12 +81,12 @@ def recurring(docs: DataFrame) -> DataFrame:
     return found.agg(F.max(~F.col("id").eqNullSafe(F.col("first"))).alias("dropped"))
 
 
-def strip(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+def strip(docs: DataFrame, id_col: str = "doc_id", text: str = "text", exact: bool = False) -> DataFrame:
     """``row`` (all columns of ``docs``), ``n_lines``, ``n_recurring``, ``n_dropped`` and ``kept_text``."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     held = cut(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("rid")), compression="zstd")
     named = held.select("rid", F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text}`").alias("text"))
-    marks = recurring(named).groupBy("rid").agg(
+    marks = recurring(named, exact).groupBy("rid").agg(
         F.count(F.lit(1)).alias("n_recurring"), F.collect_list(F.when(F.col("dropped"), F.col("place"))).alias("places")
     )
     none = F.array().cast("array<int>")
@@ -108,7 +115,8 @@ def report(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: str | None = None) -> DataFrame:
-    """``docs`` with the text that is left, its length in the column ``length``, and all other columns."""
+    """``docs`` with the text that is left, its length in the column ``length``, and all other columns;
+    short lines that recur exactly go too."""
 
     def column(name: str) -> Column:
         if name == text:
@@ -118,7 +126,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: s
             return F.coalesce(changed, F.col(f"row.`{name}`"))
         return F.col(f"row.`{name}`")
 
-    return strip(docs, id_col, text).select(*[column(c).alias(c) for c in docs.columns])
+    return strip(docs, id_col, text, exact=True).select(*[column(c).alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -72,3 +72,18 @@ def test_columns_stay(docs, no_docs):
     assert out.count() == docs.count()
     assert lines.report(no_docs).count() == 0
     assert lines.dedup(no_docs).columns == no_docs.columns
+
+
+def test_short_lines_that_recur_exactly_go_from_the_stage(spark):
+    han = "漢字之書不用空格故一行即一詞也然其文甚長而屢見於諸書之中"
+    made = [
+        (1, f"All rights reserved.\n{han}\nwords of one\n}}"),
+        (2, f"  All rights reserved. \nwords of two\n{han}\n}}"),
+        (3, f"All rights reserved!\n{han}書\nwords of three, 3 at least\n}}"),
+        (4, "All rights reserved!\nAll rights reserved!\nVersion 1.2 of January\nVersion 1.3 of January"),
+    ]
+    got = {r.doc_id: r.text for r in lines.dedup(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert got[1] == made[0][1]
+    assert got[2] == "words of two\n}"
+    assert got[3] == made[2][1]
+    assert got[4] == "Version 1.2 of January\nVersion 1.3 of January"
