@@ -84,11 +84,15 @@ def wrapped(lines: Column, held: Column, templates: list[tuple[str, str]], thres
         placed = F.transform(words, lambda w, at: F.struct(at.alias("at"), w.alias("word")))
         hits = F.filter(placed, lambda h: F.array_contains(t["words"], h["word"]))
 
-        def share(h: Column, k: Column) -> Column:
-            run = F.filter(F.slice(hits, k + 1, t["run"]), lambda x: x["at"] < h["at"] + t["run"])
-            return F.size(F.array_distinct(run["word"])) / F.size(t["words"])
+        def score(hits: Column) -> Column:
+            def share(h: Column, k: Column) -> Column:
+                run = F.filter(F.slice(hits, k + 1, t["run"]), lambda x: x["at"] < h["at"] + t["run"])
+                return F.size(F.array_distinct(run["word"])) / F.size(t["words"])
 
-        return F.struct(t["label"].alias("label"), F.array_max(F.transform(hits, share)).alias("score"))
+            return F.array_max(F.transform(hits, share))
+
+        # an array of one, so that the hits are computed once and not for each of them
+        return F.struct(t["label"].alias("label"), F.get(F.transform(F.array(hits), score), F.lit(0)).alias("score"))
 
     # a text of one line has no run that its line does not hold
     found = F.filter(F.transform(enough, best), lambda x: x["score"] >= threshold)
