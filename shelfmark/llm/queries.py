@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import fresh_folder, table
-from . import bpe, embeddings, licenses, lines, mixing, quality, secrets, simhash, toxicity, warc
+from . import bpe, embeddings, exact, licenses, lines, mixing, quality, secrets, simhash, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,14 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact.dedup(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_mix": op1_mix,
     "op2_licenses": op2_licenses,
@@ -72,6 +80,8 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op12_exact": op12_exact,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE: dict[str, str] = {
@@ -81,4 +91,5 @@ ORACLE: dict[str, str] = {
     "op5_warc": warc.ORACLE,
     "op6_lines": lines.ORACLE,
     "op8_secrets": secrets.oracle(),
+    "op12_exact": exact.ORACLE,
 }
