@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..plans.registry import fresh_folder, table
-from . import bpe, embeddings, exact, licenses, lines, mixing, quality, secrets, simhash, toxicity, warc, whitening
+from . import bpe, embeddings, exact, licenses, lines, merkle, mixing, quality, secrets, simhash, toxicity, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(table(spark, sf_dir, "documents"))
+
+
 def op12_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.dedup(table(spark, sf_dir, "documents"))
 
@@ -80,6 +84,7 @@ QUERIES: dict[str, Query] = {
     "op8_secrets": op8_secrets,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op11_merkle": op11_merkle,
     "op12_exact": op12_exact,
     "op13_whitening": op13_whitening,
 }
@@ -91,5 +96,6 @@ ORACLE: dict[str, str] = {
     "op5_warc": warc.ORACLE,
     "op6_lines": lines.ORACLE,
     "op8_secrets": secrets.oracle(),
+    "op11_merkle": merkle.oracle(),
     "op12_exact": exact.ORACLE,
 }
