@@ -24,12 +24,20 @@ from ..functions.text import blank_to_null, built_once, clean_text, decode_refer
 # so broken HTML costs neither stack nor backtracking.
 _ATTRS = r"""(?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?)*+"""
 _RAW = r"(?:script|style)"
+_COMMENT = r"<!--.*?(?:-->|\z)"
+_RAW_BLOCK = rf"<({_RAW})(?=[\s/>]){_ATTRS}>.*?(?:</\1\s*>|\z)"
+# The same where only some tags are cut out: an unclosed one is passed over whole.
+_HIDING = rf"<({_RAW})(?=[\s/>]){_ATTRS}(?:>.*?(?:</\1\s*>|\z))?+"
+# What is no markup, up to the next tag.
+_ON = r"(?:[^<]++|<(?![a-z/!?]))*+"
+# A tag that does not close takes all that was read for it, and the text after that: nothing is read again
+# from within it, so the cost of a page grows with its length whatever it holds.
 TOKEN = (
-    r"(?is)<!--.*?(?:-->|\z)"
-    rf"|<({_RAW})(?=[\s/>]){_ATTRS}>.*?(?:</\1\s*>|\z)"
-    rf"|</?[a-z]{_ATTRS}>"
+    rf"(?is){_COMMENT}"
+    rf"|{_RAW_BLOCK}"
+    rf"|</?[a-z]{_ATTRS}(?:>|{_ON})"
     r"|<[!?][^>]*+(?:>|\z)"
-    r"|(?:[^<]|<)(?:[^<]++|<(?![a-z/!?]))*+"
+    rf"|(?:[^<]|<){_ON}"
 )
 _ATTR = r"""[^\s"'<>/=][^\s>/=]*+\s*+(?:=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]*+))?"""
 
@@ -41,7 +49,7 @@ VOID_TAGS = [
 
 _HEADINGS = ["h1", "h2", "h3", "h4", "h5", "h6"]
 # Fixed values of lenient reading: which start tags end an open element, by that element's tag. They and
-# the ranks below are the rules of the lenient HTML 4 parser that the pages were first read with.
+# the ranks below are the rules of the HTML 4 parser of libxml2, as of its version 2.9.
 ENDED_BY = {
     "p": [
         "address", "blockquote", "caption", "center", "col", "colgroup", "dd", "dir", "div", "dl", "dt", "fieldset",
@@ -553,8 +561,8 @@ def html_title(html: Column) -> Column:
     what does not end runs to the end of the page.
     """
     before = (
-        rf"(?:[^<]++|<!--.*?(?:-->|\z)|<({_RAW})(?=[\s/>]){_ATTRS}>.*?(?:</\1\s*>|\z)|<[!?][^>]*+(?:>|\z)"
-        rf"|</?(?!title[\s/>])[a-z]{_ATTRS}>|<(?!title[\s/>]))*+"
+        rf"(?:[^<]++|{_COMMENT}|{_RAW_BLOCK}|<[!?][^>]*+(?:>|\z)"
+        rf"|</?(?!title[\s/>])[a-z]{_ATTRS}>?+|<title(?=[\s/]){_ATTRS}(?!>)|<(?!title[\s/>]))*+"
     )
     found = F.regexp_extract(html, rf"(?is)\A{before}<title{_ATTRS}>(.*?)</title", 2)
     return decode_references(blank_to_null(found))
@@ -647,12 +655,10 @@ def elements(pages: DataFrame) -> DataFrame:
 def extract_links(pages: DataFrame) -> DataFrame:
     """Every ``<a href>`` in document order: page_id, src_url, pos, href."""
     # only anchors (and what may hide one) are cut out
-    only_anchors = (
-        r"(?is)<!--.*?(?:-->|\z)"
-        rf"|<({_RAW})(?=[\s/>]){_ATTRS}>.*?(?:</\1\s*>|\z)"
-        rf"|<a(?=[\s/]){_ATTRS}>"
+    only_anchors = rf"(?is){_COMMENT}|{_HIDING}|<a(?=[\s/]){_ATTRS}>?+"
+    found = F.filter(
+        F.regexp_extract_all("html", F.lit(only_anchors), F.lit(0)), lambda r: r.rlike(r"(?i)^<a[\s/]") & r.endswith(">")
     )
-    found = F.filter(F.regexp_extract_all("html", F.lit(only_anchors), F.lit(0)), lambda r: r.rlike(r"(?i)^<a[\s/]"))
     hrefs = F.filter(
         F.transform(found, lambda r: decode_references(attribute(r, "href"))), lambda h: h.isNotNull()
     )
@@ -669,12 +675,10 @@ def meta_property(pages: DataFrame, name: str) -> DataFrame:
 
 def script_stats(pages: DataFrame) -> DataFrame:
     """Per page: scripts with a source, characters of the others."""
-    only_scripts = (
-        r"(?is)<!--.*?(?:-->|\z)"
-        rf"|<({_RAW})(?=[\s/>]){_ATTRS}>.*?(?:</\1\s*>|\z)"
-    )
+    only_scripts = rf"(?is){_COMMENT}|{_HIDING}"
+    # the start tag has closed, so that there is a script
     scripts = F.filter(
-        F.regexp_extract_all("html", F.lit(only_scripts), F.lit(0)), lambda r: r.rlike(r"(?i)^<script")
+        F.regexp_extract_all("html", F.lit(only_scripts), F.lit(0)), lambda r: r.rlike(rf"(?is)^<script{_ATTRS}>")
     )
 
     def measured(raw: Column) -> Column:

@@ -261,6 +261,22 @@ def _(spark, sf_dir):
     return rows.groupBy("kind", "tag").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "elements_rows",
+    f"with t as (select page_id, {_TAG_TOKENS.replace("<![^>]*>'", "<![^>]*>|[^<]+'")} as raws from pages), "
+    "u as (select page_id, unnest(range(len(raws))) as pos, unnest(raws) as raw from t), "
+    r"k as (select *, case when raw like '<!%' then 'comment' when regexp_matches(raw, '(?i)^<(script|style)\b') then 'raw' "
+    r"when raw like '</%' then 'close' when raw like '<%' then 'open' else 'text' end as kind from u) "
+    "select page_id, pos, kind, case when kind in ('open', 'close', 'raw') then "
+    r"lower(regexp_extract(raw, '^</?([a-zA-Z][^\s/>]*)', 1)) end as tag, "
+    r"case when kind in ('open', 'raw') then trim(regexp_extract(raw, '^<[a-zA-Z][^\s/>]*([^>]*)>', 1)) end as attrs, "
+    f"case when kind = 'text' then {decoded('raw')} "
+    r"when kind = 'raw' then regexp_extract(raw, '(?is)^<[^>]*>(.*)</(?:script|style)\s*>$', 1) end as text from k",
+)
+def _(spark, sf_dir):
+    return H.elements(stored_pages(spark, sf_dir))
+
+
 @query(
     "elements_text",
     "select page_id, "
@@ -352,6 +368,25 @@ def _(spark, sf_dir):
     return heavy.select("page_id", "external_scripts", "js_heavy")
 
 
+_SCRIPTED = (
+    "concat('<html><head>', case when p_partkey % 9 = 1 then '<div data-reactid=1></div>' when p_partkey % 9 = 4 then '<p ng-app>' "
+    "when p_partkey % 9 = 7 then '<p v-model=\"x\">' else '<p>' end, repeat('<script src=/s.js></script>', cast(p_partkey % 8 as int)), "
+    "'<script>', repeat('x', cast((p_partkey * 97) % 25000 as int)), '</script><!-- <script src=a></script> -->')"
+)
+
+
+@query(
+    "is_js_heavy_all",
+    "select p_partkey as page_id, p_partkey % 8 as external_scripts, (p_partkey * 97) % 25000 as inline_chars, "
+    "p_partkey % 9 in (1, 4, 7) as framework, "
+    "p_partkey % 9 in (1, 4, 7) or p_partkey % 8 > 5 or (p_partkey * 97) % 25000 > 20000 as js_heavy from part",
+)
+def _(spark, sf_dir):
+    """Pages of all branches: marks of three frameworks, many scripts, long ones, and their limits."""
+    pages = table(spark, sf_dir, "part").selectExpr("p_partkey as page_id", "'https://a.example/' as url", f"{_SCRIPTED} as html")
+    return H.is_js_heavy(pages).drop("url")
+
+
 # ---------------------------------------------------------------- fields of shop pages
 
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import random
+import time
 from dataclasses import replace
 from html.parser import HTMLParser
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import html as H
@@ -310,3 +312,63 @@ def test_lenient_paragraphs(spark):
         ('<p class="price">1<em><div>2</em>3</div>4</em></p>5', "1234"),  # an end tag does not leave a div
     ]
     check(spark, cases, H.page_price_text())
+
+
+def broken(n):
+    """A page of each kind of token that does not close, with ``n`` beginnings of another inside."""
+    return {
+        "double quotes": "<a " + '="<a "' * n,
+        "single quotes": "<a " + "='<a '" * n,
+        "end tags": "</a " + '="</a "' * n,
+        "scripts": "<script " + '="<script "' * n,
+        "open scripts": "<script>" + "</script " * n,
+        "titles": "<title " + '="<title "' * n,
+        "comments": "<!--" * n,
+        "declarations": "<!x " * n,
+        "bare": "<a <b " * n,
+        "last quote": "<a " + "=x" * n + '="',
+    }
+
+
+READERS = {
+    "elements": lambda pages: H.elements(pages),
+    "extract_links": lambda pages: H.extract_links(pages),
+    "script_stats": lambda pages: H.script_stats(pages),
+    "html_title": lambda pages: pages.select(H.html_title(F.col("html")).alias("t")),
+}
+
+
+@pytest.mark.parametrize("name", READERS)
+def test_cost_grows_with_the_length_of_a_page(spark, name):
+    def seconds(html):
+        pages = frame(spark, html)
+        READERS[name](pages).write.format("noop").mode("overwrite").save()
+        started = time.perf_counter()
+        READERS[name](pages).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - started
+
+    small, large = broken(10_000), broken(40_000)
+    for kind in small:
+        before, after = seconds(small[kind]), seconds(large[kind])
+        # sixteen times as long if what was read is read again; some tenths of a second are the job itself
+        assert after < 6 * before + 1.0, (kind, before, after)
+
+
+def test_what_an_unclosed_tag_takes(spark):
+    cases = {
+        '<a x="1 <b>2" <i>t</i>': ["a", "i", None, "i"],  # the quoted value belongs to the tag that did not close
+        "<a href=x <b>t</b>": ["a", "b", None, "b"],
+        "<p <p>t": ["p", "p", None],
+        "a < b <i>c": [None, "i", None],
+        "<script x <b>": ["script", "b"],
+    }
+    got = H.elements(frame(spark, *cases)).groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "tag"))).alias("t"))
+    found = {r.page_id: [x.tag for x in r.t] for r in got.collect()}
+    assert [found[k] for k in sorted(found)] == list(cases.values())
+    titles = {'<a x="<title>no</title>" <title>yes</title>': "yes", "<title <title>t</title>": "t", "<title x": None}
+    read = frame(spark, *titles).orderBy("page_id").select(H.html_title(F.col("html")).alias("t")).collect()
+    assert [r.t for r in read] == list(titles.values())
+    links = {'<a x="<a href=no>" <a href=yes>': ["yes"], "<script <a href=in>": ["in"], "<a href=x": []}
+    pages = frame(spark, *links)
+    for page, want in zip(sorted(r.page_id for r in pages.select("page_id").collect()), links.values(), strict=True):
+        assert [r.href for r in H.extract_links(pages.filter(F.col("page_id") == page)).collect()] == want
