@@ -12,15 +12,18 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
 from ..operators.catalog import (
     CATALOG_COLUMNS_V1,
+    CATALOG_SCHEMA,
     extend_catalog,
     require_price,
     select_available,
+    to_catalog,
 )
 from ..operators.dedup import (
     absent,
@@ -30,7 +33,7 @@ from ..operators.dedup import (
     keep_selected,
     with_missing_titles,
 )
-from ..operators.graph import link_edges, reachable
+from ..operators.graph import Crawl, link_edges, reachable
 from ..operators.html import Rules, RulesV1, extract_fields, extract_fields_v1, extract_titles
 from ..operators.order import take_until
 from ..operators.selection import (
@@ -43,7 +46,7 @@ from ..operators.selection import (
     video_catalog,
 )
 from ..operators.stats import stage_counts
-from ..session import cut
+from ..session import cut, cut_by, empty_table, shared_folder
 
 @dataclass(frozen=True)
 class JobResult:
@@ -54,6 +57,7 @@ class JobResult:
     log: DataFrame  # every URL with its title or the sentinel
     selected: DataFrame  # product pages among the new titles
     catalog: DataFrame  # the catalogue after the run
+    added: DataFrame  # what the run has added to it
 
     def counts(self) -> DataFrame:
         return stage_counts(read=self.read, titled=self.titled, selected=self.selected, saved=self.catalog)
@@ -97,7 +101,7 @@ def catalog_job(
     chosen = cut(chosen)
     detailed = with_details(chosen, only_wanted(pages, chosen, order), rules, order)
     saved = extend_catalog(catalog, detailed, catalog_is_unique)
-    return JobResult(read, titled, listed, chosen, saved)
+    return JobResult(read, titled, listed, chosen, saved, to_catalog(detailed))
 
 
 def only_wanted(pages: DataFrame, wanted: DataFrame, also: Sequence[str] = ()) -> DataFrame:
@@ -130,7 +134,81 @@ def fixed_urls_job(
     titled = dedupe_first(read.withColumn("title", strip(F.col("title"))), "title", order, keep_null=False)
     fresh = absent(titled, "title", catalog, "name")
     saved = extend_catalog(catalog, fresh, catalog_is_unique)
-    return JobResult(read, titled, with_missing_titles(wanted, titled), fresh, saved)
+    return JobResult(read, titled, with_missing_titles(wanted, titled), fresh, saved, to_catalog(fresh))
+
+
+@dataclass(frozen=True)
+class CrawlResult:
+    """What a crawl has made; ``batch`` is the level that a row comes from."""
+
+    catalog: DataFrame  # catalogue columns and batch
+    log: DataFrame  # url, title (or the sentinel) and batch
+    visited: DataFrame  # url, depth and ord of all URLs found
+    products: int
+
+
+def batch_parts(spark: SparkSession, folder: str, schema: str, before: int) -> DataFrame:
+    """The parts of a crawl's batches below ``before``; empty where none is written."""
+    schema = f"{schema}, batch int"
+    try:
+        return spark.read.schema(schema).parquet(folder).filter(F.col("batch") < before)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return empty_table(spark, schema)
+
+
+def crawl_until_target(
+    pages: DataFrame,
+    root: str,
+    target: int,
+    rules: Rules = Rules(),
+    shop: ShopProfile | None = ShopProfile(),
+    select: Callable[[DataFrame], DataFrame] | None = None,
+    order_by: Sequence[str] = ("page_id",),
+    base: str = "root",
+    ignore: DataFrame | None = None,
+    needle: str = "",
+    state: str | None = None,
+) -> CrawlResult:
+    """A crawl that feeds the catalogue batch by batch until it holds ``target`` products.
+
+    A batch is a level of the crawl: the pages of the frontier are read, their products go into the
+    catalogue, their links make the next frontier. No page is cut up before the crawl comes to it, so
+    what lies beyond the target costs nothing; the batch that meets the target is kept whole. Of products
+    of one name the first in the order of the crawl counts, over all batches. Ends too when a level
+    finds nothing new.
+
+    With ``state``, a folder, a crawl that was stopped goes on: it holds visited URLs and frontier (see
+    ``Crawl``), and a part of catalogue and log for each batch. A batch that was broken off is done again
+    and replaces its part.
+    """
+    spark, order = pages.sparkSession, list(order_by)
+    crawl = Crawl(spark, root, state)
+    folder = state or shared_folder(spark, "crawl")
+    # of several snapshots of a page the first counts; laid out by URL like the frontier
+    addresses = pages.select("url", *[c for c in order if c != "url"])
+    addresses = cut_by(dedupe_first(addresses, "url", order, keep_null=False), "url")
+    log_schema = "url string, title string"
+    held = batch_parts(spark, f"{folder}/products", CATALOG_SCHEMA, crawl.depth).count()
+    while held < target and not crawl.done:
+        wanted = cut(crawl.frontier.join(addresses, "url"))
+        same = reduce(Column.__and__, [pages[c].eqNullSafe(wanted[c]) for c in dict.fromkeys(["url", *order])])
+        wave = cut(pages.join(wanted, same).select(*[pages[c] for c in pages.columns], wanted["ord"]))
+        known = batch_parts(spark, f"{folder}/products", CATALOG_SCHEMA, crawl.depth)
+        job = catalog_job(wave, known, None, rules, shop, select, order_by=["ord"], catalog_is_unique=True)
+        for part, rows in (("products", job.added), ("log", job.log)):
+            rows.write.mode("overwrite").parquet(f"{folder}/{part}/batch={crawl.depth}")
+        held = batch_parts(spark, f"{folder}/products", CATALOG_SCHEMA, crawl.depth + 1).count()
+        if held >= target:
+            break
+        crawl.advance(link_edges(wave, root, base, ignore, needle))
+    return CrawlResult(
+        batch_parts(spark, f"{folder}/products", CATALOG_SCHEMA, crawl.depth + 1),
+        batch_parts(spark, f"{folder}/log", log_schema, crawl.depth + 1),
+        crawl.found(),
+        held,
+    )
 
 
 def catalog_job_v1(

@@ -328,6 +328,18 @@ _QUEUE = (
 )
 
 
+# Levels after which a queue over the shop has found everything: a page links to twice its number and the next.
+_ALL_LEVELS = "(select cast(2 * ceil(log2(count(*))) as integer) from part)"
+
+
+@query("reachable_resumed", f"with recursive {_QUEUE.replace('{levels}', _ALL_LEVELS)} select url, depth, ord from queue")
+def _(spark, sf_dir):
+    """A crawl that is stopped after two levels and goes on from its folder, in order."""
+    edges, state = G.link_edges(shop_pages(spark, sf_dir), ROOT), fresh_folder(spark)
+    G.reachable(edges, ROOT, state=state, max_levels=2)
+    return G.reachable(edges, ROOT, state=state)
+
+
 @query("reachable_limited", f"with recursive {_QUEUE.replace('{levels}', '5')} select url, depth, ord from queue where ord < 20")
 def _(spark, sf_dir):
     """The first URLs of the crawl in the order in which a queue would find them."""
@@ -487,6 +499,22 @@ def _(spark, sf_dir):
     return C.sort_by_name(result.catalog)
 
 
+@query(
+    "crawl_until_target",
+    f"with recursive {_QUEUE.replace('{levels}', _ALL_LEVELS)}, "
+    f"n as (select title as name, description, {_PRICE} as price, url, image as image_url, title as keywords, depth from shop "
+    "join queue using (url) where title not in ('Contacto', 'SUDADERAS COMFY') "
+    "qualify row_number() over (partition by title order by ord) = 1), "
+    "held as (select depth, sum(count(*)) over (order by depth) as n from n group by depth) "
+    "select name, description, price, url, image_url, keywords, depth as batch from n "
+    "where depth <= (select coalesce(min(depth), 1000) from held where n >= (select count(*) // 4 from part))",
+)
+def _(spark, sf_dir):
+    """Batches whose pages feed the next one, until there is a product for every fourth part."""
+    pages, target = shop_pages(spark, sf_dir), table(spark, sf_dir, "part").count() // 4
+    return J.crawl_until_target(pages, ROOT, target).catalog
+
+
 @query(
     "catalog_job_log",
     f"with {SHOP}, k as (select page_id, url, title from shop where page_id % 6 <> 0 "
@@ -534,25 +562,6 @@ def _(spark, sf_dir):
     return J.fixed_urls_job(urls, shop_pages(spark, sf_dir), held).catalog
 
 
-@query(
-    "catalog_job_v1",
-    # the reply takes every page of a batch
-    f"with recursive {SHOP}, {SHOP_EDGES}, walk(url, depth) as (select '{ROOT}', 0 union "
-    "select e.dst_url, w.depth + 1 from walk w join shop_edges e on e.src_url = w.url where w.depth < 60), "
-    "found as (select distinct url from walk), p as (select s.* from shop s join found using (url) where og_title is not null "
-    "and coalesce(price_text_v1, script_price) is not null) select count(distinct regexp_split_to_array(og_title, '\\s[-|]\\s')[1]) as names from p",
-)
-def _(spark, sf_dir):
-    """Names of the first version's products, when the model takes every title."""
-
-    def reply(batches: DataFrame) -> DataFrame:
-        every = batches.groupBy("batch_id").agg(F.to_json(F.collect_list("url")).alias("reply"))
-        return every.withColumn("attempt", F.lit(1))
-
-    products = J.catalog_job_v1(shop_pages(spark, sf_dir), ROOT, reply, url_limit=None)
-    return products.agg(F.count_distinct("name").alias("names"))
-
-
 # the price as the first version prints it: two decimals, comma, thousands set off by a comma
 _V1_PRICE = (
     "case when p like 'El precio actual%' or p like '%€ ' then p "
@@ -562,24 +571,35 @@ _V1_PRICE = (
 )
 
 
-@query(
-    "catalog_job_v1_limited",
-    f"with recursive {_QUEUE.replace('{levels}', '8')}, "
-    "t as (select s.*, q.ord from shop s join queue q using (url) where q.ord < 100 and og_title is not null "
-    "qualify row_number() over (partition by og_title order by q.ord) = 1), "
-    "b as (select *, (row_number() over (order by ord) - 1) // 30 as batch_id, "
-    "(row_number() over (order by ord) - 1) % 30 as place from t), "
-    "c as (select b.*, p_name, p_type, p_size, p_brand, coalesce(case when price_text_v1 like '%El precio actual es: %' "
-    "then split_part(price_text_v1, 'El precio actual es: ', 2) else price_text_v1 end, script_price) as p from b join part "
-    "on p_partkey = page_id where batch_id % 4 <> 3 and place % 2 = 0), "
-    "d as (select *, regexp_split_to_array(og_title, '\\s[-|]\\s')[1] as name from c where p is not null "
-    "qualify row_number() over (partition by name order by ord) = 1) "
-    "select name, url, p_name || ' of ' || p_brand as description, coalesce(og_image, 'none') as image_url, name as keywords, "
-    f"case when regexp_matches(p, '^[0-9]+[.,][0-9][0-9]( ?€)?$') then {_V1_PRICE} else price_text_v1 end as price, "
-    "p_name || chr(10) || price_text || chr(10) || p_type || ' size' || chr(10) || p_size || chr(10) || p_name || ' of ' "
-    "|| p_brand || chr(10) || 'nextmore' as cleaned_content from d",
-)
+def v1_sql(levels: str, limit: str) -> str:
+    """The first version's products of a crawl of so many levels, of the URLs that ``limit`` lets through."""
+    return (
+        f"with recursive {_QUEUE.replace('{levels}', levels)}, "
+        f"t as (select s.*, q.ord from shop s join queue q using (url) where {limit} and og_title is not null "
+        "qualify row_number() over (partition by og_title order by q.ord) = 1), "
+        "b as (select *, (row_number() over (order by ord) - 1) // 30 as batch_id, "
+        "(row_number() over (order by ord) - 1) % 30 as place from t), "
+        "c as (select b.*, p_name, p_type, p_size, p_brand, coalesce(case when price_text_v1 like '%El precio actual es: %' "
+        "then split_part(price_text_v1, 'El precio actual es: ', 2) else price_text_v1 end, script_price) as p from b join part "
+        "on p_partkey = page_id where batch_id % 4 <> 3 and place % 2 = 0), "
+        "d as (select *, regexp_split_to_array(og_title, '\\s[-|]\\s')[1] as name from c where p is not null "
+        "qualify row_number() over (partition by name order by ord) = 1) "
+        "select name, url, p_name || ' of ' || p_brand as description, coalesce(og_image, 'none') as image_url, name as keywords, "
+        f"case when regexp_matches(p, '^[0-9]+[.,][0-9][0-9]( ?€)?$') then {_V1_PRICE} else price_text_v1 end as price, "
+        "p_name || chr(10) || price_text || chr(10) || p_type || ' size' || chr(10) || p_size || chr(10) || p_name || ' of ' "
+        "|| p_brand || chr(10) || 'nextmore' as cleaned_content from d"
+    )
+
+
+@query("catalog_job_v1", v1_sql(_ALL_LEVELS, "true"))
+def _(spark, sf_dir):
+    """The whole rows of the whole crawl; replies are partly unusable."""
+    products = J.catalog_job_v1(shop_pages(spark, sf_dir), ROOT, replies, max_attempts=L.MAX_ATTEMPTS)
+    return products.fillna("none", ["image_url"])
+
+
+@query("catalog_job_v1_limited", v1_sql("8", "q.ord < 100"))
 def _(spark, sf_dir):
-    """The whole rows, crawl limited to 100 URLs, replies that are partly unusable."""
+    """The same with the first version's limit on URLs, here 100."""
     products = J.catalog_job_v1(shop_pages(spark, sf_dir), ROOT, replies, url_limit=100, max_attempts=L.MAX_ATTEMPTS)
     return products.fillna("none", ["image_url"])

@@ -77,18 +77,23 @@ def cut(df: DataFrame, **options: str) -> DataFrame:
     ``options`` are those of the Parquet writer.
     """
     spark = df.sparkSession
-    folder = f"{_run_folder.get() or checkpoint_dir(spark)}/shelfmark-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "shelfmark")
     df.write.options(**options).parquet(folder)
     return spark.read.schema(df.schema).parquet(folder)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for ``name`` where ``cut`` writes its tables."""
+    return f"{_run_folder.get() or checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def cut_by(df: DataFrame, key: str) -> DataFrame:
     """``cut``, laid out by ``key``: joins and groups on it do not move the table again."""
     spark = df.sparkSession
     name = f"shelfmark_{uuid.uuid4().hex}"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = df.repartition(parts, key).write.bucketBy(parts, key)
-    writer.option("path", f"{_run_folder.get() or checkpoint_dir(spark)}/{name}").saveAsTable(name)
+    writer.option("path", shared_folder(spark, name)).saveAsTable(name)
     table = spark.table(name)
     spark.sql(f"drop table {name}")  # the name only: the files stay
     return table

@@ -49,6 +49,51 @@ def test_order_does_not_depend_on_partitions(spark, graph, monkeypatch):
     assert sorted((r.url, r.depth) for r in plain.collect()) == sorted(r[:2] for r in ordered)
 
 
+@pytest.mark.parametrize("ordered", [True, False])
+def test_a_stopped_crawl_goes_on(spark, graph, tmp_path, monkeypatch, ordered):
+    monkeypatch.setattr(G, "MERGE_EVERY", 2)
+    edges = spark.createDataFrame(graph, "src_url string, pos bigint, dst_url string")
+    state = f"file://{tmp_path}/state"
+    want = [r if ordered else (r[0], r[1], r[1]) for r in crawl(graph, "n1")]
+    for _ in range(4):  # each call takes some levels more
+        part = G.reachable(edges, "n1", ordered=ordered, state=state, max_levels=4)
+    assert sorted(tuple(r) for r in part.collect()) == sorted(want)
+    assert G.Crawl.saved(spark, state).done
+    assert sorted(tuple(r) for r in G.reachable(edges, "n1", state=state).collect()) == sorted(want)
+
+
+def test_a_broken_off_level_is_not_read(spark, graph, tmp_path):
+    edges = spark.createDataFrame(graph, "src_url string, pos bigint, dst_url string")
+    state = f"file://{tmp_path}/state"
+    half = G.Crawl(spark, "n1", state)
+    half.advance(edges)
+    # the next level comes into the table, its row of the manifest does not
+    save, half.save = half.save, lambda: None
+    half.advance(edges)
+    half.add(spark.createDataFrame([("wrong", half.depth, 99, half.depth)], "url string, depth int, ord bigint, wave int"))
+    half.found()
+    got = G.reachable(edges, "n1", state=state)
+    assert sorted((tuple(r) for r in got.collect()), key=lambda r: r[2]) == crawl(graph, "n1")
+
+
+def test_a_level_moves_neither_links_nor_visited(spark, graph):
+    edges = spark.createDataFrame(graph, "src_url string, pos bigint, dst_url string")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = G.cut_by(edges, "src_url")
+        crawl_ = G.Crawl(spark, "n1")
+        crawl_.advance(links)
+        level = G.expand_frontier(crawl_.frontier, links, crawl_.visited)
+        plan = level._jdf.queryExecution().sparkPlan().toString()
+        physical = level._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert plan.count("FileScan") == 3
+    assert physical.count("Exchange hashpartitioning") == 1  # the targets that the level finds
+    assert "Bucketed: false" not in physical
+
+
 def test_a_limit_needs_the_order(spark, graph):
     edges = spark.createDataFrame(graph, "src_url string, pos bigint, dst_url string")
     with pytest.raises(ValueError, match="order"):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators.catalog import CATALOG_COLUMNS, CATALOG_COLUMNS_V1, CATALOG_SCHEMA, to_catalog
@@ -224,3 +225,63 @@ def test_a_filter_on_a_field_does_not_cut_the_pages_up_again(spark, tmp_path):
 def test_dedupe_combines_before_the_shuffle(spark):
     df = spark.range(10).selectExpr("id", "id % 3 as k")
     assert "partial_min_by" in plan_of(dedupe_first(df, "k", ["id"]))
+
+
+def shop_page(i, links, title, price="1,00 €"):
+    anchors = "".join(f'<a href="/{k}">x</a>' for k in links)
+    return (i, f"https://a.es/{i}", f'<meta property="og:title" content="{title}"><p class="price">{price}</p>{anchors}')
+
+
+CRAWLED = [
+    shop_page(0, [1, 2], "Start"),
+    shop_page(1, [3, 0], "Lamp"),
+    shop_page(2, [4], "Table"),
+    shop_page(3, [5], "Chair"),
+    shop_page(4, [6, 7], "Lamp"),  # a name that an earlier batch has
+    shop_page(5, [], "Shelf"),
+    shop_page(6, [8], "Door"),
+    shop_page(7, [], "Desk"),
+    shop_page(8, [], "Roof"),
+    shop_page(9, [], "Out of reach"),
+]
+
+
+def crawled(spark, target, **how):
+    pages = spark.createDataFrame([*CRAWLED, (90, *CRAWLED[1][1:])], "page_id bigint, url string, html string")
+    return J.crawl_until_target(pages, "https://a.es/0", target, shop=None, **how)
+
+
+@pytest.mark.parametrize(("target", "batches", "products"), [(2, 2, 3), (99, 5, 8)])
+def test_a_crawl_feeds_itself_until_the_target(spark, target, batches, products):
+    result = crawled(spark, target)
+    found = {r.name: r.batch for r in result.catalog.collect()}
+    assert (result.products, len(found), max(found.values()) + 1) == (products, products, batches)
+    levels = [["Start"], ["Lamp", "Table"], ["Chair"], ["Shelf", "Door", "Desk"], ["Roof"]]
+    assert found == {n: b for b, names in enumerate(levels[:batches]) for n in names}
+    logged = {r.url: r.title for r in result.log.collect()}
+    assert logged.get("https://a.es/4") == ("Lamp" if batches > 2 else None)
+
+
+def test_pages_beyond_the_target_are_not_read(spark, monkeypatch):
+    seen = []
+    links = J.link_edges
+    monkeypatch.setattr(J, "link_edges", lambda wave, *a: seen.append(wave.count()) or links(wave, *a))
+    crawled(spark, 4)
+    assert seen == [1, 2]  # the third batch meets the target, so its links are not read
+
+
+def test_a_stopped_crawl_keeps_its_products(spark, tmp_path):
+    state = f"file://{tmp_path}/state"
+    assert crawled(spark, 2, state=state).products == 3
+    result = crawled(spark, 99, state=state)
+    want = crawled(spark, 99)
+    for table in ("catalog", "log", "visited"):
+        got, all_ = (sorted(map(tuple, getattr(r, table).collect())) for r in (result, want))
+        assert got == all_, table
+    assert crawled(spark, 99, state=state).products == 8  # nothing is left to find
+
+
+def test_a_crawl_without_pages(spark):
+    pages = spark.createDataFrame([], "page_id bigint, url string, html string")
+    result = J.crawl_until_target(pages, "https://a.es/0", 3)
+    assert (result.products, result.catalog.count(), result.log.count(), result.visited.count()) == (0, 0, 0, 1)
