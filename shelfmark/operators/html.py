@@ -230,6 +230,21 @@ def metas(tokens: Column) -> Column:
     return F.filter(pairs, lambda m: m["property"].isNotNull())
 
 
+def page_metas(html: Column) -> Column:
+    """``metas`` without cutting the page up: everything between two ``<meta>`` tags is passed over as ``TOKEN``
+    cuts it, in one scan."""
+    passed = (
+        rf"(?:[^<]++|{_COMMENT}|{_RAW_BLOCK}|<[!?][^>]*+(?:>|\z)"
+        rf"|</?(?!meta[\s/>])[a-z]{_ATTRS}>?+|<(?!meta[\s/>]))*+"
+    )
+    tags = F.regexp_extract_all(html, F.lit(rf"(?is)\G{passed}(<meta(?=[\s/>]){_ATTRS}(?:>|{_ON}))"), F.lit(2))
+    return metas(F.transform(tags, lambda raw: F.struct(F.lit("meta").alias("tag"), raw.alias("raw"))))
+
+
+def _first_content(metas: Column, name: str) -> Column:
+    return F.get(F.filter(metas, lambda m: m["property"] == name), F.lit(0))["content"]
+
+
 def with_tokens(pages: DataFrame) -> DataFrame:
     """Replace ``html`` by ``tokens`` and ``metas``, from which the field columns below read.
 
@@ -269,7 +284,7 @@ def attribute(raw: Column, name: str) -> Column:
 
 def meta_content(name: str) -> Column:
     """``content`` of the first ``<meta property=name>``; '' when it is there but empty."""
-    return F.get(F.filter(F.col("metas"), lambda m: m["property"] == name), F.lit(0))["content"]
+    return _first_content(F.col("metas"), name)
 
 
 def _inside(tokens: Column, hit: Column, lenient: bool) -> Column:
@@ -399,37 +414,45 @@ def inner_text(tokens: Column) -> Column:
     return _text(tokens)
 
 
+# Stands for the classes of an element that has none.
+_NO_CLASS = "\0"
+
+
 def _matches(tokens: Column, selectors: Sequence[Selector], any_class: bool = False) -> Column:
-    """For each selector, in order, its first element as (at, tag, raw); no match, no entry."""
+    """For each selector, in order, its first element as (at, tag, raw); no match, no entry.
+
+    One walk over the tokens, however many selectors there are: an element's tag with its whole class and
+    with each of its classes are looked up in the places of the selectors.
+    """
     tags = sorted({s.tag for s in selectors})
 
-    def candidate(t: Column, i: Column) -> Column:
+    def key(s: Selector) -> str:
+        return s.tag if any_class else f"{s.tag} {_NO_CLASS if s.css is None else s.css}"
+
+    places = {key(s): n for n, s in reversed(list(enumerate(selectors)))}
+    index = F.create_map(*[F.lit(x) for pair in places.items() for x in pair])
+
+    def names(t: Column) -> Column:
+        if any_class:
+            return F.array(t["tag"])
+
+        def of(css: Column) -> Column:
+            every = F.array_distinct(F.concat(F.array(css), F.split(css, " ")))
+            return F.transform(every, lambda c: F.concat(t["tag"], F.lit(" "), c))
+
         css = strip(F.regexp_replace(attribute(t["raw"], "class"), r"(?U)\s+", " "))
-        found = F.struct(
-            (i + 1).alias("at"),
-            t["tag"].alias("tag"),
-            t["raw"].alias("raw"),
-            (F.lit(None).cast("string") if any_class else css).alias("css"),
-        )
-        return F.when(t["tag"].isin(tags), found)
-
-    def hit(wanted: Column, found: Column) -> Column:
-        def same(c: Column) -> Column:
-            if any_class:
-                return c["tag"] == wanted["tag"]
-            by_class = F.when(wanted["css"].isNull(), c["css"].isNull()).otherwise(
-                (c["css"] == wanted["css"]) | F.array_contains(F.split(c["css"], " "), wanted["css"])
-            )
-            return (c["tag"] == wanted["tag"]) & F.coalesce(by_class, F.lit(False))
+        return let(F.coalesce(css, F.lit(_NO_CLASS)), of)
 
-        return F.get(F.filter(found, same), F.lit(0))
+    def candidate(t: Column, i: Column) -> Column:
+        found = F.filter(F.transform(names(t), lambda n: F.element_at(index, n)), lambda p: p.isNotNull())
+        hit = F.struct((i + 1).alias("at"), t["tag"].alias("tag"), t["raw"].alias("raw"))
+        return F.when(t["tag"].isin(tags), F.transform(found, lambda p: F.struct(p.alias("place"), hit.alias("hit"))))
 
-    wanted = F.array(
-        *[F.struct(F.lit(s.tag).alias("tag"), F.lit(s.css).cast("string").alias("css")) for s in selectors]
-    )
-    found = F.filter(F.transform(tokens, candidate), lambda c: c.isNotNull())
-    hits = let(found, lambda f: F.transform(wanted, lambda w: hit(w, f)))
-    return F.filter(hits, lambda h: h.isNotNull())
+    def firsts(hits: Column) -> Column:
+        return F.filter(hits, lambda h, i: (i == 0) | (F.get(hits, i - 1)["place"] != h["place"]))
+
+    hits = F.flatten(F.filter(F.transform(tokens, candidate), lambda c: c.isNotNull()))
+    return F.transform(let(F.array_sort(hits), firsts), lambda h: h["hit"])
 
 
 def first_by_class(
@@ -480,12 +503,24 @@ def image_by_class(classes: Sequence[str], first_match_wins: bool = False) -> Co
 @built_once
 def page_title(rules: Rules = Rules()) -> Column:
     """og:title as it stands, else the first title element's text, pieces stripped."""
-    by_tag = blank_to_null(first_by_class(rules.titles, first_match_wins=True, strip_each=True))
+    by_tag = _title_by_tag(rules)
     if not rules.use_og_title:
         return by_tag
     return F.coalesce(blank_to_null(meta_content("og:title")), by_tag)
 
 
+def _title_by_tag(rules: Rules) -> Column:
+    return blank_to_null(first_by_class(rules.titles, first_match_wins=True, strip_each=True))
+
+
+@built_once
+def _cut_title() -> Column:
+    """(og, tokens): og:title from a scan for meta tags; the page is cut up only where there is none."""
+    og = blank_to_null(_first_content(page_metas(F.col("html")), "og:title"))
+    both = let(og, lambda t: F.struct(t.alias("og"), F.when(t.isNull(), tokens(F.col("html"))).alias("tokens")))
+    return F.array(both)
+
+
 @built_once
 def page_title_v1(rules: RulesV1 = RulesV1()) -> Column:
     """Selectors in order; an og entry needs a content, a tag entry counts whatever its class."""
@@ -669,8 +704,9 @@ def extract_links(pages: DataFrame) -> DataFrame:
 
 def meta_property(pages: DataFrame, name: str) -> DataFrame:
     """page_id and the content of the named meta property; empty and absent are NULL."""
-    found = blank_to_null(meta_content(name))
-    return with_tokens(pages).select("page_id", found.alias("content")).filter("content is not null")
+    found = blank_to_null(_first_content(page_metas(F.col("html")), name))
+    # a generator, so that the filter on what is found does not find it once more
+    return pages.select("page_id", F.explode(F.array(found)).alias("content")).filter("content is not null")
 
 
 def script_stats(pages: DataFrame) -> DataFrame:
@@ -728,12 +764,20 @@ def _only_loaded_html(pages: DataFrame) -> DataFrame:
 
 
 def extract_titles(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """All columns but the HTML, and the title, as ``extract_fields`` has it."""
-    read = with_tokens(_only_loaded_html(pages))
-    title = page_title(rules)
+    """All columns but the HTML, and the title, as ``extract_fields`` has it.
+
+    A page whose og:title counts is not cut up for it.
+    """
+    pages = _only_loaded_html(pages)
+    rest = [c for c in pages.columns if c != "html"]
+    if rules.use_og_title:
+        read = pages.select(*rest, F.explode_outer(_cut_title()).alias("__cut")).select(*rest, "__cut.og", "__cut.tokens")
+        title = F.coalesce("og", _title_by_tag(rules))
+    else:
+        read, title = with_tokens(pages), page_title(rules)
     if "status" in pages.columns:
         title = status_title(F.col("status"), title)
-    return read.select(*[c for c in read.columns if c not in ("tokens", "metas")], title.alias("title"))
+    return read.select(*rest, title.alias("title"))
 
 
 def extract_fields(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -372,3 +372,23 @@ def test_what_an_unclosed_tag_takes(spark):
     pages = frame(spark, *links)
     for page, want in zip(sorted(r.page_id for r in pages.select("page_id").collect()), links.values(), strict=True):
         assert [r.href for r in H.extract_links(pages.filter(F.col("page_id") == page)).collect()] == want
+
+
+def test_titles_from_a_scan_are_those_of_the_tokens(spark):
+    pages = [
+        '<meta property="og:title" content="A &amp; B">',
+        '<!-- <meta property="og:title" content="no"> --><META content=one property=og:title />',
+        '<div x="<meta property=og:title content=no>"><meta property="og:title" content=""><h1 class="h1 page-title">tag</h1>',
+        '<script>"<meta property=og:title content=no>"</script><h1 class="h1 page-title"> a <b>b</b></h1>',
+        '<meta property="og:image" content="i"><metas property="og:title"><meta property="og:title" content="1"><meta property="og:title" content="2">',
+        '<a x="<meta property=og:title content=in>" <meta property=og:title content=out>',
+        '<meta property="og:title" content="open"',
+        *broken(50).values(),
+        None,
+        "",
+    ]
+    whole = {r.page_id: r.title for r in H.extract_fields(frame(spark, *pages)).collect()}
+    assert {r.page_id: r.title for r in H.extract_titles(frame(spark, *pages)).collect()} == whole
+    assert [whole[k] for k in range(7)] == ["A & B", "one", "tag", "ab", "1", "out", "open"]
+    both = H.with_tokens(frame(spark, *pages).withColumn("kept", F.col("html"))).select("metas", H.page_metas(F.col("kept")).alias("scan"))
+    assert all(r.metas == r.scan for r in both.collect())
