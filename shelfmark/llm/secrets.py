@@ -1,12 +1,21 @@
 """Secret scans: patterns of known secrets, and tokens that a battery of randomness tests finds.
 
-Tokens are runs of at least ``LEAST`` characters of encodings. Of each, the encoding is inferred and
-three tests are made: chi-squared of the counts of its characters against uniformity, the runs above
-and below the middle of the alphabet, and the serial correlation of neighbours. Text is far from
-uniform, the more clearly the longer it is: the chi-squared value is compared with what text of that
-length would give, and its p-value bounds how often text looks as random. Over all tokens of the
-corpus the false discovery rate is held at ``RATE`` (Benjamini and Hochberg), p-values weighted by
-length. A token is a find if it passes and neither of the other two tests speaks against randomness.
+Tokens are runs of at least ``LEAST`` characters of encodings. Of each, the encoding is inferred, and the
+battery is made against its alphabet: chi-squared of the counts of its characters against uniformity, the
+runs above and below the middle of the alphabet, and the serial correlation of neighbours.
+
+Chi-squared decides in two ways. What is no secret, words or numbers written in the encoding, repeats its
+characters more often than uniform ones, which makes the value larger, the more clearly the longer the
+token: the p-value of a token is how often such writing of its length gives as small a value. Each encoding
+has its own null model, the chance that two or three of its characters are the same: decimal numbers for
+the two hexadecimal ones, whose letters alone make no words, and text for the others. The value's repeated
+part is a sum of positive parts, so it is taken as gamma distributed (by its cube root). The three tests
+together then ask whether the token is uniform and random: the smallest of their p-values, corrected for
+being the smallest of three, divides the p-value; below ``RATE`` the token fails the battery and is no find
+however little it looks like text.
+
+Over all tokens of the corpus the false discovery rate is held at ``RATE`` (Benjamini and Hochberg), with
+p-values weighted by length.
 
 Everything is column functions. Texts are read once and do not move; what is found keeps its place by
 summing the lengths of what stands before it. The rate needs the number of tokens by steps of their
@@ -60,10 +69,9 @@ ENCODINGS = {
     "base64url": ("^[A-Za-z0-9_-]+$", UPPER + LOWER + DIGIT + "-_"),
     "mixed": (".", UPPER + LOWER + DIGIT + "+/-_"),
 }
-# Text: the chance that two, or three, of its characters are the same.
-SAME_TWO, SAME_THREE = 0.065, 0.0055
-# Against randomness speak values beyond this many standard deviations.
-AGAINST = 3.29
+# The chance that two, or three, characters are the same. Text as English has it; decimals.
+TEXT_ALIKE, NUMBER_ALIKE = (0.065, 0.0055), (0.1, 0.01)
+NUMBERS = ("hex", "hex_upper")  # encodings in which numbers, not words, are what is no secret
 RATE = 0.01
 STEP, STEPS = 20, 2000  # steps of a unit of -log p, and their number
 
@@ -114,18 +122,24 @@ def spans(rows: DataFrame) -> DataFrame:
 
 
 def tested(tokens: DataFrame) -> DataFrame:
-    """Columns of ``tokens`` and, of ``token``: its ``n`` characters, ``gap`` to text by the chi-squared test,
-    ``runs`` and ``serial`` in standard deviations."""
+    """Columns of ``tokens`` and, of ``token``: its ``n`` characters, the size ``k`` of its alphabet, ``chi_squared``;
+    in standard deviations, ``unlike``, by which it is smaller than other writing gives, and the three tests of
+    uniform randomness, ``uneven``, ``runs`` and ``serial``."""
     core = F.regexp_replace("token", "=+$", "")
-    alphabet, size = F.lit(""), F.lit(0)
-    for pattern, letters in reversed(ENCODINGS.values()):
-        fits = core.rlike(pattern)
+    alphabet, size, two, three = F.lit(""), F.lit(0), F.lit(0.0), F.lit(0.0)
+    for name, (pattern, letters) in reversed(ENCODINGS.items()):
+        fits, alike = core.rlike(pattern), NUMBER_ALIKE if name in NUMBERS else TEXT_ALIKE
         alphabet, size = F.when(fits, F.lit(letters)).otherwise(alphabet), F.when(fits, F.lit(len(letters))).otherwise(size)
+        two, three = F.when(fits, F.lit(alike[0])).otherwise(two), F.when(fits, F.lit(alike[1])).otherwise(three)
     columns = tokens.columns
-    rows = tokens.select("*", core.alias("core"), alphabet.alias("alphabet"), size.cast("double").alias("k"))
+    model = [size.cast("double").alias("k"), two.alias("two"), three.alias("three")]
+    rows = tokens.select("*", core.alias("core"), alphabet.alias("alphabet"), *model)
+    kept = [*columns, "k", "two", "three", "n"]
     rows = rows.select(
         *columns,
         "k",
+        "two",
+        "three",
         F.length("core").cast("double").alias("n"),
         F.col("core"),
         "alphabet",
@@ -140,7 +154,7 @@ def tested(tokens: DataFrame) -> DataFrame:
     high = F.transform("values", lambda v: (v > F.col("k") / 2).cast("double"))
     nexts = F.slice("values", 2, F.greatest(F.size("values") - 1, F.lit(0)))
     mean = F.aggregate("values", F.lit(0.0), lambda a, v: a + v) / F.col("n")
-    rows = rows.select(*columns, "k", "n", "values", nexts.alias("nexts"), squares.alias("squares"), high.alias("high"), mean.alias("mean"))
+    rows = rows.select(*kept, "values", nexts.alias("nexts"), squares.alias("squares"), high.alias("high"), mean.alias("mean"))
     above = F.aggregate("high", F.lit(0.0), lambda a, v: a + v)
     nexts_high = F.slice("high", 2, F.greatest(F.size("high") - 1, F.lit(0)))
     changes = F.aggregate(
@@ -152,39 +166,55 @@ def tested(tokens: DataFrame) -> DataFrame:
         F.lit(0.0),
         lambda a, v: a + v,
     )
-    rows = rows.select(*columns, "k", "n", "squares", above.alias("above"), changes.alias("changes"), spread.alias("spread"), products.alias("products"))
-    n, k = F.col("n"), F.col("k")
-    # chi-squared = k / n * squares - n; of text: mean and standard deviation of the squares
-    text_mean = n + n * (n - 1) * SAME_TWO
-    text_spread = F.sqrt(4 * n * n * n * (SAME_THREE - SAME_TWO**2) + 2 * n * n * SAME_TWO**2)
+    n, k, two, three = F.col("n"), F.col("k"), F.col("two"), F.col("three")
+    chi_squared = F.greatest(k / n * F.col("squares") - n, F.lit(0.0))
+    # of other writing: mean and variance of n / k times the repeated part of chi-squared, in pairs of equal characters
+    pairs = n * (n - 1) * two
+    variance = 4 * n * (n - 1) * (n - 2) * (three - two * two) + 2 * n * (n - 1) * (two - two * two)
+    rows = rows.select(
+        *kept,
+        chi_squared.alias("chi_squared"),
+        pairs.alias("pairs"),
+        (pairs * pairs / variance).alias("shape"),
+        above.alias("above"),
+        changes.alias("changes"),
+        spread.alias("spread"),
+        products.alias("products"),
+    )
     expected = 1 + 2 * F.col("above") * (n - F.col("above")) / n
     variance = (expected - 1) * (expected - 2) / (n - 1)
+    repeated = F.greatest((F.col("chi_squared") + n - k) * n / k, F.lit(0.0))
+    third, ninth, free = F.lit(1 / 3), 9 * F.col("shape"), 9 * (k - 1) / 2
     return rows.select(
         *columns,
         "k",
         "n",
-        (k / n * F.col("squares") - n).alias("chi_squared"),
-        ((text_mean - F.col("squares")) / text_spread).alias("gap"),
+        "chi_squared",
+        ((1 - 1 / ninth - F.pow(repeated / F.col("pairs"), third)) * F.sqrt(ninth)).alias("unlike"),
+        ((F.pow(F.col("chi_squared") / (k - 1), third) - 1 + 1 / free) * F.sqrt(free)).alias("uneven"),
         F.when(variance > 0, (1 + F.col("changes") - expected) / F.sqrt(variance)).otherwise(F.lit(1e9)).alias("runs"),
         F.when(F.col("spread") > 0, (F.col("products") / F.col("spread") + 1 / n) * F.sqrt(n)).otherwise(F.lit(1e9)).alias("serial"),
     )
 
 
 def passing(tokens: DataFrame, rate: float = RATE) -> DataFrame:
-    """The finds among ``tokens`` by all tests, at the false discovery rate ``rate``."""
+    """The finds among ``tokens`` at the false discovery rate ``rate``."""
     sums = tokens.agg(F.count(F.lit(1)).alias("m"), F.avg("n").alias("mean")).first()
     if not sums.m:
         return tokens
-    # text looks as random with a chance of at most exp(-gap ** 2 / 2) / 2
-    logs = F.when(F.col("gap") > 0, F.col("gap") * F.col("gap") / 2 + math.log(2)).otherwise(F.lit(0.0))
-    step = F.least(F.floor((logs + F.log(F.col("n") / sums.mean)) * STEP), F.lit(STEPS)).cast("int")
+    # minus the logarithms of p-values: a tail beyond z standard deviations has at most exp(-z ** 2 / 2), one side half of it
+    unlike = F.when(F.col("unlike") > 0, F.col("unlike") * F.col("unlike") / 2 + math.log(2)).otherwise(F.lit(0.0))
+    worst = F.greatest(F.col("uneven"), F.abs("runs"), F.abs("serial"))
+    battery = F.greatest(worst * worst / 2 - math.log(3), F.lit(0.0))
+    step = F.least(F.floor((unlike - battery + F.log(F.col("n") / sums.mean)) * STEP), F.lit(STEPS))
+    step = F.when(battery > -math.log(rate), F.lit(-1)).otherwise(F.greatest(step, F.lit(-1))).cast("int")
     steps = tokens.filter(step >= 0).groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
     limit, above = STEPS + 1, 0
     for at, n in sorted(((r.step, r.n) for r in steps), reverse=True):
         above += n
         if sums.m * math.exp(-at / STEP) <= rate * above:
             limit = at
-    return tokens.filter((step >= limit) & (F.abs("runs") <= AGAINST) & (F.abs("serial") <= AGAINST) & (F.col("k") > 10))
+    return tokens.filter(step >= limit)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -228,10 +258,11 @@ def oracle() -> str:
         for n, k in enumerate(KINDS)
     )
     alphabet = " ".join(f"when regexp_matches(core, '{p}') then '{letters}'" for p, letters in ENCODINGS.values())
+    first = f"case when {' or '.join(f'alphabet = {chr(39)}{ENCODINGS[e][1]}{chr(39)}' for e in NUMBERS)} then "
+    two, three = (f"{first}{NUMBER_ALIKE[x]}::double else {TEXT_ALIKE[x]}::double end" for x in (0, 1))
     names = ", ".join(f"'{k}'" for k in KINDS)
     counts = ", ".join(f"count(*) filter (kind = {n}) as n_{k}" for n, k in enumerate(KINDS[:-1]))
     columns = ", ".join(f"coalesce(n_{k}, 0)::bigint as n_{k}" for k in KINDS[:-1])
-    two, three = f"{SAME_TWO}::double", f"{SAME_THREE}::double"
     return f"""
 with d as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
 m as ({matches}),
@@ -241,23 +272,31 @@ s as (select rid, kind, (stop - size)::bigint as start, stop::bigint as stop, v
     where not (kind = 0 and len(v) < {SECRET}) and not (kind = 1 and size < 18)),
 t1 as (select rid, start, stop, regexp_replace(v, '=+$', '') as core from s where kind = 3),
 t2 as (select *, len(core)::double as n, case {alphabet} end as alphabet from t1),
-t3 as (select *, len(alphabet)::double as k, list_transform(string_split(core, ''), lambda c: strpos(alphabet, c)::double) as vs,
+t3 as (select *, len(alphabet)::double as k, {two} as two, {three} as three,
+    list_transform(string_split(core, ''), lambda c: strpos(alphabet, c)::double) as vs,
     list_sum(list_transform(string_split(alphabet, ''), lambda c: pow(n - len(replace(core, c, '')), 2))) as squares from t2),
-t4 as (select *, list_sum(vs) / n as mean, list_transform(vs, lambda x: x > k / 2) as high from t3),
+t4 as (select *, list_sum(vs) / n as mean, list_transform(vs, lambda x: x > k / 2) as high,
+    greatest(k / n * squares - n, 0) as chi, n * (n - 1) * two as pairs,
+    4 * n * (n - 1) * (n - 2) * (three - two * two) + 2 * n * (n - 1) * (two - two * two) as var from t3),
 t5 as (select *, list_sum(list_transform(high, lambda x: x::double)) as above,
     list_sum(list_transform(range(1, len(vs)), lambda i: (high[i] <> high[i + 1])::double)) as changes,
     list_sum(list_transform(vs, lambda x: (x - mean) * (x - mean))) as spread,
-    list_sum(list_transform(range(1, len(vs)), lambda i: (vs[i] - mean) * (vs[i + 1] - mean))) as products from t4),
+    list_sum(list_transform(range(1, len(vs)), lambda i: (vs[i] - mean) * (vs[i + 1] - mean))) as products,
+    9 * (pairs * pairs / var) as ninth, 9 * (k - 1) / 2 as free from t4),
 t6 as (select *, 1 + 2 * above * (n - above) / n as expected from t5),
 t7 as (select *, (expected - 1) * (expected - 2) / (n - 1) as variance,
-    (n + n * (n - 1) * {two} - squares) / sqrt(4 * n * n * n * ({three} - {two} * {two}) + 2 * n * n * {two} * {two}) as gap from t6),
-t8 as (select rid, start, stop, k, n, case when variance > 0 then (1 + changes - expected) / sqrt(variance) else 1e9 end as runs,
-    case when spread > 0 then (products / spread + 1 / n) * sqrt(n) else 1e9 end as serial,
-    case when gap > 0 then gap * gap / 2 + ln(2.0::double) else 0.0::double end as logs from t7),
-t9 as (select *, least(floor((logs + ln(n / avg(n) over ())) * {STEP}), {STEPS})::int as step, count(*) over () as m from t8),
-h as (select step, m, sum(count(*)) over (order by step desc) as above from t9 where step >= 0 group by step, m),
-f as (select rid, 3 as kind, start, stop from t9 where step >= (select coalesce(min(step), {STEPS + 1}) from h
-    where m * exp(-step / {STEP}::double) <= {RATE}::double * above) and abs(runs) <= {AGAINST} and abs(serial) <= {AGAINST} and k > 10),
+    (1 - 1 / ninth - pow(greatest((chi + n - k) * n / k, 0) / pairs, 1 / 3::double)) * sqrt(ninth) as unlike,
+    (pow(chi / (k - 1), 1 / 3::double) - 1 + 1 / free) * sqrt(free) as uneven from t6),
+t8 as (select rid, start, stop, n, case when unlike > 0 then unlike * unlike / 2 + ln(2.0::double) else 0.0::double end as found,
+    greatest(uneven, abs(case when variance > 0 then (1 + changes - expected) / sqrt(variance) else 1e9 end),
+    abs(case when spread > 0 then (products / spread + 1 / n) * sqrt(n) else 1e9 end)) as worst from t7),
+t9 as (select *, greatest(least(floor((found - greatest(worst * worst / 2 - ln(3.0::double), 0) + ln(n / avg(n) over ())) * {STEP}),
+    {STEPS}), -1)::int as s0,
+    worst * worst / 2 - ln(3.0::double) > -ln({RATE}::double) as failed, count(*) over () as m from t8),
+t10 as (select *, case when failed then -1 else s0 end as step from t9),
+h as (select step, m, sum(count(*)) over (order by step desc) as above from t10 where step >= 0 group by step, m),
+f as (select rid, 3 as kind, start, stop from t10 where step >= (select coalesce(min(step), {STEPS + 1}) from h
+    where m * exp(-step / {STEP}::double) <= {RATE}::double * above)),
 e as (select rid, kind, start, stop from s where kind < 3 union all select * from f),
 o as (select *, max(case when kind < 3 then stop end) over (partition by rid order by start) as earlier,
     min(case when kind < 3 then start end) over (partition by rid order by start desc) as later from e),

@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import base64
+import math
 import random
 
+import duckdb
+import pandas as pd
+import pytest
 from plain import base_spans, sha, spans_text
 
 from shelfmark.llm import secrets
@@ -48,6 +52,79 @@ def test_battery_tells_random_from_text(spark):
     assert got[true[0]] == f"random:6:{6 + len(keys[true[0] - 600])}"
 
 
+WORDS = "the of and nation thering ment able ous able tion er es un which other people government database".split()
+# Encodings with lengths at which the tests have power; shorter tokens are found in part (README).
+POWER = {"hex_upper": 64, "base32": 72, "base62": 40, "base64": 40, "base64url": 44}
+
+
+def mixed_tokens(each=40, false=600):
+    """Documents with a random token of each encoding, and with words, names, paths, capitals and numbers."""
+    rng = random.Random(7)
+    made = []
+    for encoding, n in POWER.items():
+        made += [(encoding, "".join(rng.choices(secrets.ENCODINGS[encoding][1], k=n))) for _ in range(each)]
+    joins = [
+        lambda w: "".join(w),
+        lambda w: "".join(x.capitalize() for x in w),
+        lambda w: "-".join(w),
+        lambda w: "/".join(w),
+        lambda w: "".join(w).upper() + "2",
+        lambda w: "".join(rng.choices("0123456789", k=4 * len(w))),
+    ]
+    made += [("false", joins[i % len(joins)](rng.choices(WORDS, k=rng.randint(6, 14)))) for i in range(false)]
+    return [(i, kind, f"ünder {token} and") for i, (kind, token) in enumerate(made)]
+
+
+@pytest.fixture(scope="module")
+def battery(spark):
+    made = mixed_tokens()
+    frame = spark.createDataFrame([(i, t) for i, _, t in made], "doc_id long, text string")
+    return made, {r.doc_id: r for r in secrets.scan(frame).collect()}
+
+
+def test_random_tokens_of_each_encoding_are_found(battery):
+    made, got = battery
+    for encoding in POWER:
+        hits = [bool(got[i].spans) for i, kind, _ in made if kind == encoding]
+        assert sum(hits) >= 0.9 * len(hits), encoding
+
+
+def test_other_writing_is_left_alone(battery):
+    made, got = battery
+    false = [t for i, kind, t in made if kind == "false" and "random" in got[i].spans]
+    assert len(false) <= max(1, 2 * secrets.RATE * len(made) * 0.25), false
+
+
+def test_the_same_in_sql(battery):
+    made, got = battery
+    con = duckdb.connect()
+    con.register("documents", pd.DataFrame([(i, t) for i, _, t in made], columns=["doc_id", "text"]))
+    want = sorted(con.execute(secrets.oracle()).fetchall())
+    assert sorted(tuple(r) for r in got.values()) == want
+
+
+def test_tokens_that_fail_one_test_of_the_battery(spark):
+    """Uniform counts are not enough: neighbours in order, or halves of the alphabet in turn."""
+    rng = random.Random(3)
+    letters = secrets.ENCODINGS["base64"][1]
+    random_ = ["".join(rng.choices(letters, k=64)) for _ in range(60)]
+    in_order = ["".join(sorted(t, key=letters.index)) for t in random_[:20]]
+    in_turn = ["".join(rng.choice(letters[:32] if i % 2 else letters[32:]) for i in range(64)) for _ in range(20)]
+    tokens = random_[20:] + in_order + in_turn
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(tokens)], "doc_id long, text string")
+    found = {r.doc_id for r in secrets.scan(frame).collect() if "random" in r.spans}
+    assert len(found & set(range(40))) >= 36
+    assert not found & set(range(40, 80))
+
+
+def test_a_very_long_token(spark):
+    rng = random.Random(1)
+    long = base64.b64encode(rng.randbytes(30_000)).decode()
+    rows = [(1, long), (2, "ab" * 20_000), (3, "the-word-" * 3_000), (4, "x" * 30)]
+    got = {r.doc_id: r.spans for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: f"random:0:{len(long)}", 2: "", 3: "", 4: ""}
+
+
 def test_finds_do_not_overlap_patterns(spark):
     rng = random.Random(5)
     keys = [base64.b64encode(rng.randbytes(48)).decode() for _ in range(30)]
@@ -68,6 +145,14 @@ def test_statistics(spark):
     mean = sum(values) / n
     lag = sum((a - mean) * (b - mean) for a, b in zip(values, values[1:], strict=False)) / sum((v - mean) ** 2 for v in values)
     assert abs(r.serial - (lag + 1 / n) * n**0.5) < 1e-9
+    # cube roots of chi-squared against the uniform and the text model
+    free = 9 * (k - 1) / 2
+    assert abs(r.uneven - ((r.chi_squared / (k - 1)) ** (1 / 3) - 1 + 1 / free) * free**0.5) < 1e-9
+    two, three = secrets.TEXT_ALIKE
+    pairs = n * (n - 1) * two
+    variance = 4 * n * (n - 1) * (n - 2) * (three - two**2) + 2 * n * (n - 1) * (two - two**2)
+    same = sum(c * (c - 1) for c in counts)
+    assert abs(r.unlike - (1 - variance / (9 * pairs**2) - (same / pairs) ** (1 / 3)) * 3 * pairs / math.sqrt(variance)) < 1e-9
 
 
 def test_nothing(no_docs):
