@@ -92,12 +92,7 @@ def records(rows: DataFrame) -> DataFrame:
     ).otherwise(record("revisit", own, uri, again, f"{http}response", head))
     asked = F.concat(F.lit("GET "), path, F.lit(" HTTP/1.1\r\nHost: "), host, F.lit(END))
     request = record("request", urn(F.lit("request"), own), uri, [beside], f"{http}request", asked)
-    known = [
-        F.concat(F.lit("page_id: "), F.col("id").cast("string")),
-        F.concat(F.lit("payload_bytes: "), F.octet_length("html").cast("string")),
-        F.when(F.col("first").isNotNull(), F.concat(F.lit("refers_to_page: "), F.col("first.id").cast("string"))),
-    ]
-    fields = F.concat_ws("\r\n", *known)
+    fields = F.coalesce(F.concat(F.lit("page_id: "), F.col("id").cast("string")), F.lit(""))
     metadata = record("metadata", urn(F.lit("metadata"), own), uri, [beside], "application/warc-fields", fields)
     return rows.select(F.explode(F.array(request, answer, metadata)).alias("value"))
 
@@ -229,16 +224,29 @@ def field(metadata: Column, name: str) -> Column:
 
 def summary(found: DataFrame) -> DataFrame:
     """One row for each capture: ``page_id``, ``payload_bytes``, ``payload_digest``, ``record_type``,
-    ``refers_to``. A revisit has the length that its metadata tells."""
-    text = F.col("metadata.fields")
+    ``refers_to``. Of a revisit the last one and the length are those of the record that it refers to; null
+    where the archives do not hold that."""
     told = F.col("response.payload_digest")
     sized = found.withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    return assemble(sized.drop("payload")).select(  # payloads do not move
-        field(text, "page_id").cast("long").alias("page_id"),
-        F.coalesce("response.payload_bytes", field(text, "payload_bytes").cast("long")).alias("payload_bytes"),
+    captured = assemble(sized.drop("payload")).select(  # payloads do not move
+        "record_id",
+        F.col("response.refers_to").alias("target"),
+        field(F.col("metadata.fields"), "page_id").cast("long").alias("page_id"),
+        F.col("response.payload_bytes").alias("payload_bytes"),
         F.regexp_replace(told, "^sha256:", "").alias("payload_digest"),
         F.col("response.record_type").alias("record_type"),
-        field(text, "refers_to_page").cast("long").alias("refers_to"),
+    )
+    captured = cut(captured)
+    revisit = F.col("record_type") == "revisit"
+    asked = captured.filter(revisit).select(F.col("target").alias("record_id")).distinct()
+    held = captured.filter(~revisit).select("record_id", "page_id", "payload_bytes").join(asked, "record_id", "left_semi")
+    held = held.groupBy(F.col("record_id").alias("target")).agg(F.min("page_id").alias("refers_to"), F.min("payload_bytes").alias("bytes"))
+    return captured.join(held, "target", "left").select(
+        "page_id",
+        F.when(revisit, F.col("bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        "payload_digest",
+        "record_type",
+        F.when(revisit, F.col("refers_to")).alias("refers_to"),
     )
 
 

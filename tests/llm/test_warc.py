@@ -96,3 +96,18 @@ def test_damage_is_told(spark, tmp_path):
 def test_nothing(spark, tmp_path):
     warc.write(spark.createDataFrame([], SCHEMA), f"{tmp_path}/w")
     assert warc.summary(warc.read(spark, f"{tmp_path}/w")).count() == 0
+
+
+def test_revisits_take_what_they_refer_to_from_the_record_itself(spark, tmp_path):
+    body = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    made = [
+        record("response", "<r>", body),
+        record("metadata", "<m1>", b"page_id: 7", "WARC-Concurrent-To: <r>"),
+        record("revisit", "<v>", b"HTTP/1.1 200 OK\r\n\r\n", "WARC-Refers-To: <r>"),
+        record("metadata", "<m2>", b"page_id: 9", "WARC-Concurrent-To: <v>"),
+        record("revisit", "<w>", b"HTTP/1.1 200 OK\r\n\r\n", "WARC-Refers-To: <elsewhere>"),
+    ]
+    for i, data in enumerate(made):
+        (tmp_path / f"{i}.warc").write_bytes(data)
+    got = {(r.page_id, r.record_type): (r.payload_bytes, r.refers_to) for r in warc.summary(warc.read(spark, str(tmp_path))).collect()}
+    assert got == {(7, "response"): (4, None), (9, "revisit"): (4, 7), (None, "revisit"): (None, None)}
