@@ -3,15 +3,17 @@
 Each rule looks at whole-text statistics and votes good, bad or nothing. How far its votes can be trusted
 is not given but estimated, by expectation-maximisation of a latent class model in which votes are
 independent given the class. Bad texts are bad in different ways, so there is one good class and, for
-each rule, a bad class in which that rule says so; how often the other rules agree there, and how
-often any rule is wrong on good texts, comes from the data. The model needs only how often each pattern of
+each rule, a bad class that is told from the others by starting, and being held by a prior of ``OWN_PRIOR``
+of the documents, where that rule mostly says so. How often it does, how often the other rules agree there,
+and how often any rule is wrong on good texts, comes from the data. The model needs only how often each pattern of
 votes occurs, counted over all documents; there are at most ``3 ** rules`` patterns (and far fewer). A
 document is kept if its posterior probability of good quality is at least one half and no base rule
 failed.
 
-Defined results: a null text has no words and fails the base rule on length. A rule without a basis
-abstains; documents on which all rules abstain get the estimated share of good ones. Repeated rows get
-equal results. An empty table gives an empty table.
+Defined results: a null text has no words and fails the base rule on length; on a text without words all rules
+vote bad. Documents on which all rules abstain get the estimated share of good ones. Repeated rows get
+equal results. Bytes that are no UTF-8 count as a replacement character each. An empty table gives an empty
+table.
 """
 
 from __future__ import annotations
@@ -71,7 +73,7 @@ def measure(text: bytes) -> tuple[int, ...]:
     lines = [x for x in text.split(b"\n") if x.split(None, 1)]
     return (
         len(words),
-        len(joined.decode()),
+        len(joined.decode(errors="replace")),
         len(joined) - len(joined.translate(None, SIGNS)),
         len(lines) - len(set(lines)),
         repeated_words(ids),
@@ -135,13 +137,14 @@ class Model:
     vote: np.ndarray
 
 
-# Fixed probabilities of a rule's votes in the class of what it finds; they tell the classes apart.
+# Before any document is seen: a rule's votes in the class of what it finds.
 OWN = np.array([0.99, 0.009, 0.001])
 # Before any document is seen: votes on good texts, and votes of other rules on bad ones.
 ON_GOOD = np.array([0.005, 0.045, 0.95])
 ON_BAD = np.array([0.2, 0.2, 0.6])
 # The part of the documents as which these count.
 PRIOR = 0.002
+OWN_PRIOR = 0.02
 BAD = 0.02
 
 
@@ -158,13 +161,14 @@ def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 300) -> Mod
     guess[:, 0] = ON_GOOD
     own = np.arange(rules)
     guess[own, own + 1] = OWN
+    strength = np.full((rules, 1 + rules, 1), PRIOR)
+    strength[own, own + 1] = OWN_PRIOR
     shares = np.array([1 - rules * BAD] + [BAD] * rules)
     model = Model(shares, guess)
     for _ in range(rounds):
         weight = classes(seen, model) * counts[:, None]
-        vote = np.einsum("pc,prv->rcv", weight, seen) + PRIOR * counts.sum() * guess
+        vote = np.einsum("pc,prv->rcv", weight, seen) + strength * counts.sum() * guess
         vote /= vote.sum(axis=-1, keepdims=True)
-        vote[own, own + 1] = OWN
         share = weight.sum(axis=0) + PRIOR * counts.sum() * shares
         moved = np.abs(vote - model.vote).max()
         model = Model(share / share.sum(), vote)

@@ -43,6 +43,49 @@ def test_estimate_finds_how_far_rules_are_right():
     assert kept[kind != 0].mean() < 0.05
 
 
+def test_estimate_finds_how_often_a_rule_catches_its_own_kind():
+    """A quarter of the bad texts escape their rule; that the second rule has nothing to say tells them."""
+    rng = np.random.default_rng(2)
+    n = 80_000
+    bad = rng.random(n) < 0.2
+    first = np.where(bad, np.where(rng.random(n) < 0.75, -1, 0), np.where(rng.random(n) < 0.01, 0, 1))
+    second = np.where(bad, 0, np.where(rng.random(n) < 0.01, 0, 1))
+    patterns, counts = np.unique(np.stack([first, second], axis=1), axis=0, return_counts=True)
+    model = Q.estimate(patterns, counts.astype(float))
+    assert abs(model.share[1] - 0.2) < 0.05
+    assert abs(model.vote[0, 1, 0] - 0.75) < 0.05
+
+
+def test_posterior_and_verdict_of_every_document(spark):
+    """The whole result against a plain version: votes by hand, the model's formula for each document."""
+    sf = "/root/testdata/sf0.001"
+    docs = table(spark, sf, "documents")
+    rules = list(Q.votes())
+    rows = Q.measured(docs).withColumns(Q.votes()).collect()
+    seen: dict[tuple, int] = {}
+    for r in rows:
+        key = tuple(r[x] for x in rules)
+        seen[key] = seen.get(key, 0) + 1
+    patterns = sorted(seen)
+    model = Q.estimate(np.array(patterns), np.array([float(seen[p]) for p in patterns]))
+
+    def posterior(key):
+        likely = [model.share[c] * np.prod([model.vote[r, c, v + 1] for r, v in enumerate(key)]) for c in range(len(rules) + 1)]
+        return likely[0] / sum(likely)
+
+    got = {r.doc_id: r for r in Q.judge(docs).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        want = posterior(tuple(r[x] for x in rules))
+        failed = r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words
+        assert abs(got[r.id].posterior - want) < 1e-9
+        assert (got[r.id].base_failed, got[r.id].kept) == (failed, not failed and want >= 0.5)
+
+
+def test_bytes_that_are_no_text():
+    assert Q.measure(b"\xff abc \xc3")[:2] == (3, 5)
+
+
 def test_base_rules_hold_and_labels_agree(spark):
     sf = "/root/testdata/sf0.1"
     rows = Q.judge(table(spark, sf, "documents")).join(table(spark, sf, "labels"), "doc_id").collect()
