@@ -11,7 +11,8 @@ labelled texts, a fixed bound; the score sees the text alone, and all of it.
 
 Defined results: null and empty texts score as texts without a match. Without labels of both kinds
 nothing is learned and every score is 0. A text with several labels counts as toxic if one of them
-says so; null labels are none. An id of null is not held out. Repeated rows score alike.
+says so; null labels are none. An id of null is not held out. Repeated rows score alike. Bytes that are no
+UTF-8 count as replacement characters, which are in no word.
 """
 
 from __future__ import annotations
@@ -40,7 +41,10 @@ LEAST_ODDS = 2.0
 TARGETS = "you your yours he him his she her they them their du dich ihr sie vous tu te il elle usted tú él ella".split()
 NEGATIONS = "not no never neither nor without cannot isn aren wasn don doesn nicht kein keine nie pas jamais nunca".split()
 REPORTS = "said says say told quote quoted quotes wrote writes claimed reported sagte schrieb dit écrit dijo escribió".split()
-THREATS = "kill die hurt shoot stab burn destroy beat attack punch strangle hang drown".split()
+THREATS = (
+    "kill hurt shoot stab burn destroy beat attack punch strangle hang drown "
+    "töten umbringen erschießen erstechen verprügeln tuer frapper étrangler poignarder matar golpear disparar apuñalar"
+).split()
 SYMBOLS = (
     {w: "target" for w in TARGETS}
     | {w: "deny" for w in NEGATIONS}
@@ -167,16 +171,16 @@ def held_out(doc_id: Column) -> Column:
 def sample(docs: DataFrame, labels: DataFrame, most: int = SAMPLE) -> DataFrame:
     """``id``, ``text``, ``toxic`` of about ``most`` labelled documents, chosen by a hash of the id.
 
-    Of texts with the same longest line only one counts: copies say nothing new of their words.
+    Of equal texts with the same label only one counts: copies say nothing new of their words.
     """
     known = labels.filter(~held_out(F.col("doc_id")) & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share = min(1.0, most / max(1, known.count()))
     known = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    named = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    named = docs.select(F.col("doc_id").alias("id"), F.make_valid_utf8(F.coalesce("text", F.lit(""))).alias("text"))
     texts = named.join(F.broadcast(known.withColumnRenamed("doc_id", "id")), "id")  # bounded by ``most``
-    longest = F.array_max(F.transform(F.split("text", "\n"), lambda x: F.struct(F.length(x), x)))
-    return cut(texts.groupBy(longest.alias("line")).agg(F.min(F.struct("id", "toxic", "text")).alias("one")).select("one.*"))
+    whole = F.sha2(F.col("text").cast("binary"), 256).alias("digest")
+    return cut(texts.groupBy(whole, "toxic").agg(F.min(F.struct("id", "text")).alias("one")).select("one.*", "toxic"))
 
 
 def learn_terms(texts: DataFrame, terms: Callable[[str], list[str]]) -> dict[str, float]:
@@ -257,7 +261,7 @@ def score(text: Column, model: Model | None) -> Column:
             x = np.array([[*reader.features(t or ""), 1.0] for t in texts]).reshape(len(texts), -1)
             yield pd.Series(1 / (1 + np.exp(-np.clip(x @ weights, -30, 30))))
 
-    return scored(text)
+    return scored(F.make_valid_utf8(text))
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:

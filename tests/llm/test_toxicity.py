@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -38,6 +40,45 @@ def test_machine(symbols, last):
     assert outputs(*symbols)[-1] == last
 
 
+def test_the_composed_machine_does_what_the_four_do_in_turn():
+    rng = random.Random(6)
+    for _ in range(500):
+        symbols = rng.choices(T.INPUTS, weights=(3, 2, 2, 2, 1, 4), k=rng.randint(0, 30))
+        stream = symbols
+        for machine in T.MACHINES:
+            state, out = 0, []
+            for symbol in stream:
+                state, symbol = machine(state, symbol)
+                out.append(symbol)
+            stream = out
+        assert outputs(*symbols) == stream
+
+
+@pytest.mark.parametrize("text", ["sie die Mutter", "ich sage dir du die Frau und ihr die Kinder", "tu vas à la plage, elle aussi"])
+def test_articles_are_no_threats(text):
+    reader = T.Reader({"idiot": 3.0})
+    assert reader.features(text) == reader.features("")
+    assert reader.features("ich werde dich töten") != reader.features("")
+
+
+def test_equal_texts_count_once_and_footers_do_not_join_texts(spark):
+    footer = "this long line stands at the end of all the texts of one source, whatever they say"
+    rows = [(i, f"text {i // 2}\n{footer}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, int(i % 4 == 0)) for i in range(40)], "doc_id long, quality int, toxic int")
+    got = T.sample(docs, labels).collect()
+    free = {r.doc_id for r in docs.filter(~T.held_out(F.col("doc_id"))).collect()}
+    want = {(f"text {i // 2}\n{footer}", int(i % 4 == 0)) for i in free}
+    assert sorted((r.text, r.toxic) for r in got) == sorted(want)
+
+
+def test_bytes_that_are_no_text_are_scored(spark):
+    docs = spark.createDataFrame([(1, bytearray(b"\xff you \xc3"))], "doc_id long, b binary")
+    docs = docs.select("doc_id", F.col("b").cast("string").alias("text"))
+    model = T.Model({"idiot": 3.0}, [0.0] * (len(T.OUTPUTS) + 2))
+    assert [r.s for r in docs.select(T.score(F.col("text"), model).alias("s")).collect()] == [0.5]
+
+
 def test_clauses_are_scored_apart():
     reader = T.Reader({"idiot": 3.0, "mor*": 2.0})
     plain = reader.features("an idiot")
