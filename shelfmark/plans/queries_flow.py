@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import catalog as C
 from ..operators import dedup as D
@@ -368,7 +369,7 @@ def _(spark, sf_dir):
     return spark.read.parquet(target)
 
 
-def _drain(stream: DataFrame, target: str) -> None:
+def _drain(stream: DataFrame, target: str) -> StreamingQuery:
     """Run a stream over what is there into parquet files."""
     query = (
         stream.writeStream.format("parquet")
@@ -377,6 +378,7 @@ def _drain(stream: DataFrame, target: str) -> None:
         .start(target)
     )
     query.awaitTermination()
+    return query
 
 
 @query("stream_dedupe", "select distinct url from pages")
@@ -398,6 +400,33 @@ def _(spark, sf_dir):
     return spark.read.parquet(target)
 
 
+_DAY = "timestamp '2024-01-{day}' + (event_id % 3600) * interval '1 second'"
+
+
+@query(
+    "stream_dedupe_forgets",
+    # -1 is the row that moves the time on; the last row counts the keys that are remembered at the end
+    "select event_id, count(*) as n from (select distinct event_id from events union all select distinct event_id from events "
+    "where event_id % 2 = 0 union all select -1) group by event_id "
+    "union all select -2, count(distinct event_id) + 1 from events where event_id % 2 = 0",
+)
+def _(spark, sf_dir):
+    """State that is given up: keys of the first day come back on the tenth, late rows do not count."""
+    events = table(spark, sf_dir, "events").select("event_id")
+    first = events.withColumn("ts", F.expr(_DAY.format(day="01")))
+    later = spark.range(1).select(F.lit(-1).cast("bigint").alias("event_id"), F.expr("timestamp '2024-01-10'").alias("ts"))
+    again = events.filter("event_id % 2 = 0").withColumn("ts", F.expr(_DAY.format(day="10")))
+    late = events.filter("event_id % 2 = 1").withColumn("ts", F.expr(_DAY.format(day="05")))
+    folder, target = fresh_folder(spark), fresh_folder(spark)
+    for batch in (first, later, again.unionByName(late)):
+        batch.unionByName(batch).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema("event_id bigint, ts timestamp").parquet(folder)
+        query_ = _drain(R.stream_dedupe(stream, "event_id", "ts", "1 day").select("event_id"), target)
+    held = query_.lastProgress["stateOperators"][0]["numRowsTotal"]
+    seen = spark.read.parquet(target).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+    return seen.unionByName(spark.range(1).select(F.lit(-2).cast("bigint").alias("event_id"), F.lit(held).cast("bigint").alias("n")))
+
+
 def _stream_catalog(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
     """A catalogue from a stream that was stopped once and went on from its checkpoint."""
     pages = shop_pages(spark, sf_dir)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import checkpoint_dir
+from ..session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -34,8 +33,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def fresh_folder(spark: SparkSession) -> str:
-    """A new folder below the checkpoint folder, for what a query writes and reads back."""
-    return f"{checkpoint_dir(spark)}/query-{uuid.uuid4().hex}"
+    """A new folder below the checkpoint folder (or that of the run), for what a query writes and reads back."""
+    return shared_folder(spark, "query")
 
 
 def load() -> None:

@@ -48,7 +48,10 @@ def stream_pages(
 def stream_dedupe(pages: DataFrame, key: str = "url", fetched: str | None = None, within: str = "1 day") -> DataFrame:
     """Each URL once over all batches.
 
-    With a fetch time the state is bounded: repeats are dropped ``within`` the watermark.
+    With a fetch time the state is bounded: a repeat is dropped as long as its key is remembered, which is
+    ``within`` after the key's first row, in the time of the stream. Then the key is forgotten, and a row
+    with it counts as new. The time of the stream is that of its latest row less ``within``, as of the
+    batch before; rows older than that are late and dropped, whatever their key.
     Without one the state holds every key ever seen, because nothing says when to forget it.
     Whole rows are shuffled by the key, so extract what is needed and drop the HTML before.
     """
