@@ -1,4 +1,8 @@
-"""The corpus pipeline: documents through five operators, each stage written and read again."""
+"""The corpus pipeline: documents through five operators, each stage written and read again.
+
+Every stage takes null in any column, empty and very long texts, repeated rows, extra columns and empty tables; an
+empty table stays empty, and all but the last return the columns of the documents they are given.
+"""
 
 from __future__ import annotations
 
@@ -11,27 +15,42 @@ from shelfmark.session import cut
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the grammar does not find toxic; it learns from those of them that have labels."""
+    """Documents that the grammar does not find toxic; it learns from those of them that have labels.
+
+    Null and empty texts stay; rows equal in text go or stay together.
+    """
     return toxicity.reject(docs, table(spark, sf_dir, "labels"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the lines that an earlier one has; ``n_chars`` is that of the text left."""
+    """Documents without the lines that an earlier one has; ``n_chars`` is that of the text left.
+
+    Every document stays, also one without lines; null texts stay null.
+    """
     return lines.dedup(docs, length="n_chars")
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group whose fingerprints, of three-word shingles, link at two bits or fewer.
+
+    That with the smallest id stays, null last, of rows equal in id one. Null and empty texts are one group.
+    """
     return simhash.keep_one(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them.
+
+    Rows of a null source are a source; texts without words have no size.
+    """
     return mixing.mixed(docs)
 
 
 def encode_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of the documents: their number, their digest and that of the text that they decode to."""
+    """Ids of the documents: their number, their digest and that of the text that they decode to.
+
+    A row for each row; null counts as empty.
+    """
     return bpe.digests(docs, vocabulary())
 
 

@@ -5,8 +5,7 @@ so candidates meet by equal stretches. What meets is compared bit-sliced: the fi
 are stored as 64 bit planes, many distances at once are counted by carry-save adders on machine
 words, and a row of the tile is given up once all its distances exceed the radius.
 
-That is the query. ``keep_one``, the pipeline's stage, links texts by the exact Jaccard similarity of
-their sets of longer shingles, which so few bits do not show; see there.
+``keep_one``, the pipeline's stage, keeps one document of each component of the same links.
 
 Defined results: a null text counts as empty, a text without words has fingerprint zero and is
 linked like any other, a text with fewer words than a shingle is one shingle. Repeated rows share a
@@ -33,15 +32,6 @@ SEED = 42
 BLOCK = 1024
 GATHER = 256
 
-# The stage: words of a shingle, and the similarity from which texts are near copies. Of BANDS times HASHES
-# minima a pair at that similarity shares a band but for a chance of (1 - SIMILAR ** HASHES) ** BANDS, 0.00006.
-SHINGLE, SIMILAR = 5, 0.8
-BANDS, HASHES = 32, 6
-TILE = 256  # texts of each of the two sides that one comparison takes
-CHUNK = 4096  # shingles whose hashes are taken at once
-# Odd factors, which order hashes anew for each minimum, and those that make one number of a band's minima.
-FACTORS = np.random.default_rng(SEED).integers(0, 1 << 63, (BANDS, HASHES, 2), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
 # For each byte, its bits spread over the eight bytes of a word.
 SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").view(np.uint64).ravel()
 
@@ -212,138 +202,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     )
 
 
-def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
-    """The distinct hashes of a text's shingles, in order; empty for a text without words."""
-    words = text.lower().split()
-    size = min(size, len(words))
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(size)), strict=False))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64))
-
-
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """A number for each band of minima, as signed longs; none for an empty set."""
-    if not len(hashes):
-        return []
-    factors = FACTORS[:, :, 0].reshape(-1, 1)
-    least = np.full(BANDS * HASHES, np.iinfo(np.uint64).max, np.uint64)
-    for start in range(0, len(hashes), CHUNK):
-        least = np.minimum(least, (hashes[start : start + CHUNK] * factors).min(axis=1))
-    mixed = (least.reshape(BANDS, HASHES) ^ (least.reshape(BANDS, HASHES) >> np.uint64(29))) * FACTORS[:, :, 1]
-    return mixed.sum(axis=1, dtype=np.uint64).view(np.int64).tolist()
-
-
-def signatures(named: DataFrame, shingle: int) -> DataFrame:
-    """``rid``, ``id``, ``digest`` of the set of shingles, and ``bands``."""
-
-    def make():
-        def work(columns):
-            sets = [shingle_set(t or b"", shingle) for t in columns.pop("text").to_pylist()]
-            return {**columns, "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], "bands": [band_keys(s) for s in sets]}
-
-        return work
-
-    kept = named.select("rid", "id", F.col("text").cast("binary").alias("text"))
-    return map_batches(kept, make, f"rid long, id {named.schema['id'].dataType.simpleString()}, digest binary, bands array<long>")
-
-
-def shingle_sets(named: DataFrame, shingle: int) -> DataFrame:
-    """``rid`` and ``hashes``, the set of shingles."""
-
-    def make():
-        def work(columns):
-            sets = [shingle_set(t or b"", shingle).view(np.int64) for t in columns["text"].to_pylist()]
-            return {"rid": columns["rid"], "hashes": pa.array(sets, pa.list_(pa.int64()))}
-
-        return work
-
-    return map_batches(named.select("rid", F.col("text").cast("binary").alias("text")), make, "rid long, hashes array<long>")
-
-
-def similar(named: DataFrame, banded: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links ``a``, ``b`` between the texts of ``banded`` (``rid``, ``bands``) whose similarity is at least
-    ``similarity``: not all, but enough for their components.
-
-    Texts that share a band are candidates. Each is compared with the hub of the band, the text in most
-    company, so a crowd of near copies takes a comparison for each of them. Candidates that hubs connect
-    are a cluster; what is not linked to a cluster's largest part is compared with all of the cluster.
-    """
-    keyed = banded.select("rid", F.explode("bands").alias("key"))
-    crowds = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = cut(keyed.join(crowds, "key"))
-    company = met.groupBy("rid").agg(F.sum("n").alias("company"))
-    hubs = met.join(company, "rid").groupBy("key").agg(F.max(F.struct("company", (-F.col("rid")).alias("rid"))).alias("hub"))
-    pairs = cut(met.join(hubs, "key").select(F.col("rid").alias("a"), (-F.col("hub.rid")).alias("b")).filter("a <> b").distinct())
-    sets = cut(shingle_sets(named.join(met.select("rid").distinct(), "rid", "left_semi"), shingle))
-    common = F.size(F.array_intersect("x", "y"))
-    links = cut(
-        pairs.join(sets.select(F.col("rid").alias("a"), F.col("hashes").alias("x")), "a")
-        .join(sets.select(F.col("rid").alias("b"), F.col("hashes").alias("y")), "b")
-        .select("a", "b", common.alias("common"), (F.size("x") + F.size("y")).alias("sizes"))
-        .filter(F.col("common") / (F.col("sizes") - F.col("common")) >= similarity)
-        .select("a", "b")
-    )
-    clusters = components(pairs).select(F.col("node").alias("rid"), F.col("root").alias("cluster"))
-    parts = components(links).select(F.col("node").alias("rid"), F.col("root").alias("part"))
-    placed = cut(clusters.join(parts, "rid", "left").select("rid", "cluster", F.coalesce("part", "rid").alias("part")))
-    sizes = placed.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
-    open_ = sizes.groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("main"), F.sum("n").alias("n")).filter("main.n < n")
-    blocks = lambda n: F.ceil(n / TILE).cast("int")
-    rest = placed.join(open_, "cluster").select(
-        "rid",
-        "cluster",
-        (F.col("part") != F.col("main.part")).alias("left"),
-        blocks(F.col("n")).alias("xs"),
-        blocks(F.col("n") - F.col("main.n")).alias("ys"),
-    )
-    rest = cut(rest.join(sets, "rid"))
-    every = F.sequence(F.lit(0), F.col("ys") - 1)
-    across = rest.select("cluster", F.pmod(F.xxhash64("rid"), "xs").cast("int").alias("x"), F.explode(every).alias("y"), F.lit(False).alias("left"), "rid", "hashes")
-    every = F.sequence(F.lit(0), F.col("xs") - 1)
-    down = rest.filter("left").select("cluster", F.explode(every).alias("x"), F.pmod(F.xxhash64("rid"), "ys").cast("int").alias("y"), "left", "rid", "hashes")
-
-    def compare(tile: pa.Table) -> pa.Table:
-        left = tile.column("left").to_numpy()
-        rid = tile.column("rid").to_numpy()
-        sets = [np.asarray(h) for h in tile.column("hashes").combine_chunks().to_numpy(zero_copy_only=False)]
-        size = np.array([len(h) for h in sets])
-        number = np.unique(np.concatenate(sets), return_inverse=True)[1]
-        numbers = np.split(number, np.cumsum(size)[:-1])
-        across = np.flatnonzero(~left)
-        made = {"a": [], "b": []}
-        if len(across):
-            flat = np.concatenate([numbers[k] for k in across])
-            starts = np.cumsum(size[across]) - size[across]
-            for k in np.flatnonzero(left):
-                held = np.zeros(number.max() + 1, np.int64)
-                held[numbers[k]] = 1
-                common = np.add.reduceat(held[flat], starts)
-                near = rid[across][common / (size[across] + size[k] - common) >= similarity]
-                near = near[near != rid[k]]
-                made["a"] += [rid[k]] * len(near)
-                made["b"] += near.tolist()
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in made.items()})
-
-    found = across.unionByName(down).groupBy("cluster", "x", "y").applyInArrow(compare, "a long, b long")
-    return cut(links.unionByName(found))
-
-
-def keep_one(
-    docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILAR
-) -> DataFrame:
-    """``docs`` with one document of each component of near copies: that with the smallest id, of several
-    such rows one. All columns are kept.
-
-    Near copies are texts whose sets of shingles have a Jaccard similarity of ``similarity`` at least; the
-    words are those of the fingerprint, texts without words are copies of each other. Bands of minima
-    find the candidates, every link is counted exactly.
-    """
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", radius: int = 2) -> DataFrame:
+    """``docs`` with one document of each component: that with the smallest id, null after all others, of
+    several such rows one. All columns are kept."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     held = cut(docs.select(row.alias("row"), F.monotonically_increasing_id().alias("rid")), compression="zstd")
     named = held.select("rid", F.col(f"row.`{id_col}`").alias("id"), F.col(f"row.`{text}`").alias("text"))
-    slim = cut(signatures(named, shingle))
-    first = F.min(F.struct(F.col("id").isNull().alias("missing"), "id", "rid", "bands")).alias("first")
-    firsts = cut(slim.groupBy("digest").agg(first).select("first.*"))
-    joined = components(similar(named, firsts, shingle, similarity)).withColumnRenamed("node", "rid")
-    root = firsts.select("missing", "id", "rid").join(joined, "rid", "left").withColumn("root", F.coalesce("root", "rid"))
-    chosen = root.groupBy("root").agg(F.min(F.struct("missing", "id", "rid")).alias("one")).select("one.rid")
+    slim = cut(fingerprints(named, ["rid", "id"]))
+    rank = F.struct(F.col("id").isNull().alias("missing"), "id", "rid")
+    # each component is named by its first row, so the rows themselves are not joined with their groups
+    chosen = groups(slim.select(rank.alias("rank"), "fp"), "rank", radius).select("component_id.rid").distinct()
     return held.join(chosen.hint("shuffle_hash"), "rid", "left_semi").select("row.*")
