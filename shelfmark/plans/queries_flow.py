@@ -14,7 +14,7 @@ from ..operators import selection as L
 from ..session import cut, empty_table
 from ..streaming import pages as R
 from . import jobs as J
-from .queries_tables import SHOP, SHOP_CATALOG, TITLES_CTE, page_titles, shop_products
+from .queries_tables import SHOP, SHOP_CATALOG, TITLES_CTE, page_titles
 from .queries_text import LINKS_CTE, stored_pages
 from .registry import fresh_folder, query, table
 from .shop import ROOT, shop_columns, shop_pages
