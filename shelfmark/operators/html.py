@@ -13,6 +13,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +25,12 @@ from ..functions.text import blank_to_null, built_once, clean_text, decode_refer
 # so broken HTML costs neither stack nor backtracking.
 _ATTRS = r"""(?:[^<>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?)*+"""
 _RAW = r"(?:script|style)"
-_COMMENT = r"<!--.*?(?:-->|\z)"
-_RAW_BLOCK = rf"<({_RAW})(?=[\s/>]){_ATTRS}>.*?(?:</\1\s*>|\z)"
+_COMMENT = r"<!--(?:[^-]++|-(?!->))*+(?:-->|\z)"
+# The rest of a script or style; in stretches, as a test after each character costs most where scripts are long.
+_RAW_REST = r"(?:[^<]++|<(?!/\1\s*+>))*+(?:</\1\s*+>|\z)"
+_RAW_BLOCK = rf"<({_RAW})(?=[\s/>]){_ATTRS}>{_RAW_REST}"
 # The same where only some tags are cut out: an unclosed one is passed over whole.
-_HIDING = rf"<({_RAW})(?=[\s/>]){_ATTRS}(?:>.*?(?:</\1\s*>|\z))?+"
+_HIDING = rf"<({_RAW})(?=[\s/>]){_ATTRS}(?:>{_RAW_REST})?+"
 # What is no markup, up to the next tag.
 _ON = r"(?:[^<]++|<(?![a-z/!?]))*+"
 # A tag that does not close takes all that was read for it, and the text after that: nothing is read again
@@ -718,19 +721,29 @@ def script_stats(pages: DataFrame) -> DataFrame:
     )
 
     def measured(raw: Column) -> Column:
-        start_tag = F.regexp_extract(raw, rf"(?is)^<script{_ATTRS}>", 0)
-        body = F.regexp_extract(raw, rf"(?is)^<script{_ATTRS}>(.*?)(?:</script\s*>)?\z", 1)
-        external = F.coalesce(attribute(start_tag, "src") != "", F.lit(False))
-        return F.struct(external.alias("external"), F.length(body).alias("chars"))
-
-    measured_scripts = F.transform(scripts, measured)
-    inline = F.filter(measured_scripts, lambda s: ~s["external"])
-    return pages.select(
-        *[c for c in pages.columns if c != "html"],
-        F.size(F.filter(measured_scripts, lambda s: s["external"])).cast("bigint").alias("external_scripts"),
-        F.aggregate(inline, F.lit(0).cast("bigint"), lambda n, s: n + s["chars"]).alias("inline_chars"),
-        F.col("html").rlike(FRAMEWORK_MARKS).alias("framework"),
-    )
+        # the end tag is what follows the last "<", if the script has one: its body is not read for it
+        last = F.substring_index(raw, "<", -1)
+        end = F.when(last.rlike(r"(?i)\A/script\s*+>\z"), F.length(last) + 1).otherwise(0)
+
+        def after(start_tag: Column) -> Column:
+            external = F.coalesce(attribute(start_tag, "src") != "", F.lit(False))
+            return F.struct(external.alias("external"), (F.length(raw) - F.length(start_tag) - end).alias("chars"))
+
+        return let(F.regexp_extract(raw, rf"(?is)^<script{_ATTRS}>", 0), after)
+
+    def counted(measured_scripts: Column) -> Column:
+        inline = F.filter(measured_scripts, lambda s: ~s["external"])
+        return F.struct(
+            F.size(F.filter(measured_scripts, lambda s: s["external"])).cast("bigint").alias("external_scripts"),
+            F.aggregate(inline, F.lit(0).cast("bigint"), lambda n, s: n + s["chars"]).alias("inline_chars"),
+        )
+
+    rest = [c for c in pages.columns if c != "html"]
+    framework = reduce(Column.__or__, [F.col("html").contains(mark) for mark in FRAMEWORK_MARKS.split("|")])
+    # a generator, so that both numbers come from one reading of the scripts
+    both = F.explode(F.array(let(F.transform(scripts, measured), counted)))
+    found = pages.select(*rest, framework.alias("framework"), both.alias("__scripts"))
+    return found.select(*rest, "__scripts.external_scripts", "__scripts.inline_chars", "framework")
 
 
 def is_js_heavy(pages: DataFrame) -> DataFrame:

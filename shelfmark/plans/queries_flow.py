@@ -17,7 +17,7 @@ from . import jobs as J
 from .queries_tables import SHOP, SHOP_CATALOG, TITLES_CTE, page_titles
 from .queries_text import LINKS_CTE, stored_pages
 from .registry import fresh_folder, query, table
-from .shop import ROOT, shop_columns, shop_pages
+from .shop import ROOT, page_tasks, shop_columns, shop_pages
 
 # ---------------------------------------------------------------- selection
 
@@ -427,16 +427,30 @@ def _(spark, sf_dir):
     return seen.unionByName(spark.range(1).select(F.lit(-2).cast("bigint").alias("event_id"), F.lit(held).cast("bigint").alias("n")))
 
 
+def batch_files(spark: SparkSession, sf_dir: str, batches: int) -> int:
+    """Files of a batch, where the shop's pages are dealt to so many batches."""
+    return page_tasks(table(spark, sf_dir, "part").count() // batches)
+
+
+def write_batch(pages: DataFrame, folder: str, files: int, before: int = 0) -> None:
+    """Write ``pages`` as ``files`` files, after ``before`` others: a stream that takes so many files at a time reads
+    them as one batch, by as many tasks."""
+    pages.coalesce(files).write.mode("append").parquet(folder)
+    # a task without rows has written none
+    for _ in range(before + files - len(pages.sparkSession.read.schema(pages.schema).parquet(folder).inputFiles())):
+        pages.filter(F.lit(False)).write.mode("append").parquet(folder)
+
+
 def _stream_catalog(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
     """A catalogue from a stream that was stopped once and went on from its checkpoint."""
-    pages = shop_pages(spark, sf_dir)
+    pages, files = shop_pages(spark, sf_dir), batch_files(spark, sf_dir, 2)
     folder, target, state = fresh_folder(spark), fresh_folder(spark), fresh_folder(spark)
 
     def products(batch: DataFrame) -> DataFrame:
         return L.rule_select(H.extract_fields(batch).filter("title is not null"))
 
     def start():
-        return R.stream_upsert(R.stream_pages(spark, folder, 2), products, target, state, ("page_id",))
+        return R.stream_upsert(R.stream_pages(spark, folder, files), products, target, state, ("page_id",))
 
     def catalog() -> DataFrame:
         return R.read_stream_catalog(spark, target)
@@ -444,10 +458,9 @@ def _stream_catalog(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
     # first the lower half of the pages, then the rest: earlier pages win across batches
     half = "page_id < (select avg(page_id) from p)"
     pages.createOrReplaceTempView("p")
-    lower = spark.sql(f"select * from p where {half}")
-    lower.write.parquet(folder)
+    write_batch(spark.sql(f"select * from p where {half}"), folder, files)
     R.run_until_target(start, catalog, 1)
-    spark.sql(f"select * from p where not {half}").write.mode("append").parquet(folder)
+    write_batch(spark.sql(f"select * from p where not {half}"), folder, files, files)
     spark.catalog.dropTempView("p")
     return target, R.run_until_target(start, catalog, 1_000_000_000)
 
@@ -473,18 +486,18 @@ def _(spark, sf_dir):
     """A second stream with a checkpoint of its own goes on in the folder of the first; nothing is lost."""
     pages, target = shop_pages(spark, sf_dir), fresh_folder(spark)
     middle = pages.agg(F.avg("page_id")).first()[0]
-    for part in (F.col("page_id") < middle, F.lit(True)):
-        folder = fresh_folder(spark)
-        pages.filter(part).write.parquet(folder)
-        _upsert(spark, folder, target, fresh_folder(spark)).awaitTermination()
+    for part, batches in ((F.col("page_id") < middle, 2), (F.lit(True), 1)):
+        folder, files = fresh_folder(spark), batch_files(spark, sf_dir, batches)
+        write_batch(pages.filter(part), folder, files)
+        _upsert(spark, folder, target, fresh_folder(spark), files).awaitTermination()
     return R.read_stream_catalog(spark, target).select("name", "url")
 
 
-def _upsert(spark, folder, target, state, goal=None):
+def _upsert(spark, folder, target, state, files, goal=None):
     def products(batch: DataFrame) -> DataFrame:
         return L.rule_select(H.extract_fields(batch).filter("title is not null"))
 
-    return R.stream_upsert(R.stream_pages(spark, folder, 1), products, target, state, ("page_id",), target=goal)
+    return R.stream_upsert(R.stream_pages(spark, folder, files), products, target, state, ("page_id",), target=goal)
 
 
 @query(
@@ -495,14 +508,14 @@ def _upsert(spark, folder, target, state, goal=None):
 def _(spark, sf_dir):
     """The run ends with the batch that meets the target and keeps all of it; the next one goes on."""
     pages = shop_pages(spark, sf_dir)
-    count = table(spark, sf_dir, "part").count()
+    count, files = table(spark, sf_dir, "part").count(), batch_files(spark, sf_dir, 4)
     folder, target, state = fresh_folder(spark), fresh_folder(spark), fresh_folder(spark)
     for part in range(4):  # a folder's files are read in the order in which they came
         some = pages.filter((F.col("page_id") > part * count / 4) & (F.col("page_id") <= (part + 1) * count / 4))
-        some.write.mode("append").parquet(folder)
-    R.run_until_target(lambda: _upsert(spark, folder, target, state, 1), lambda: R.read_stream_catalog(spark, target), 1)
+        write_batch(some, folder, files, part * files)
+    R.run_until_target(lambda: _upsert(spark, folder, target, state, files, 1), lambda: R.read_stream_catalog(spark, target), 1)
     first = cut(R.read_stream_catalog(spark, target).select("name", "url", F.lit(0).alias("run")))
-    _upsert(spark, folder, target, state).awaitTermination()
+    _upsert(spark, folder, target, state, files).awaitTermination()
     return first.unionByName(R.read_stream_catalog(spark, target).select("name", "url", F.lit(1).alias("run")))
 
 

@@ -12,7 +12,7 @@ from ..operators import html as H
 from ..operators import urls as UF
 from ..operators.catalog import reformat_prices, require_price
 from .registry import query, table
-from .shop import shop_columns, shop_pages, shop_sql
+from .shop import shop_columns, shop_pages, shop_sql, spread_parts
 
 SHOP = shop_sql()
 
@@ -383,7 +383,8 @@ _SCRIPTED = (
 )
 def _(spark, sf_dir):
     """Pages of all branches: marks of three frameworks, many scripts, long ones, and their limits."""
-    pages = table(spark, sf_dir, "part").selectExpr("p_partkey as page_id", "'https://a.example/' as url", f"{_SCRIPTED} as html")
+    part, _ = spread_parts(spark, sf_dir)
+    pages = part.selectExpr("p_partkey as page_id", "'https://a.example/' as url", f"{_SCRIPTED} as html")
     return H.is_js_heavy(pages).drop("url")
 
 

@@ -7,11 +7,17 @@ evaluate alike; beside ``html`` they give the fields that extraction has to find
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 
 
 ROOT = "https://shop.example/p/1"
 
+# Pages that a task builds and cuts up. The table they are built from is a hundredth of their size, so that
+# its files are far too few tasks for them.
+PAGES_PER_TASK = 4000
+
 _K = "cast(p_partkey as {T})"
 _PRICE = "cast(cast(p_retailprice as decimal(18,2)) as {T})"
 _COMMA = f"replace({_PRICE}, '.', ',')"
@@ -86,14 +92,26 @@ def shop_sql() -> str:
     return f"shop as (select {listed} from part)"
 
 
-def shop_pages(spark: SparkSession, sf_dir: str, *extra: str, parts: int | None = None) -> DataFrame:
-    """page_id, url, html (and, for inputs of other operators, further columns by name), in ``parts``
-    partitions, or as many as the table ``part`` has."""
+def page_tasks(count: int) -> int:
+    """Tasks for so many pages."""
+    return max(1, math.ceil(count / PAGES_PER_TASK))
+
+
+def spread_parts(spark: SparkSession, sf_dir: str, parts: int | None = None) -> tuple[DataFrame, int]:
+    """The table ``part`` and its row count; its rows, which are short, are dealt to ``parts`` partitions, or to
+    one for every ``PAGES_PER_TASK`` pages, before anything is built from them."""
     part = spark.read.parquet(f"{sf_dir}/part.parquet")
     count = part.count()
+    tasks = parts or page_tasks(count)
+    return part.repartition(tasks) if parts or tasks > 1 else part, count
+
+
+def shop_pages(spark: SparkSession, sf_dir: str, *extra: str, parts: int | None = None) -> DataFrame:
+    """page_id, url, html (and, for inputs of other operators, further columns by name), in ``parts``
+    partitions, or as many as their number asks for."""
+    part, count = spread_parts(spark, sf_dir, parts)
     columns = {**COLUMNS, "html": HTML}
     wanted = ["page_id", "url", "html", *extra]
-    part = part.repartition(parts) if parts else part
     return part.selectExpr(*[f"{columns[c].format(T='string', N=count)} as {c}" for c in wanted])
 
 
