@@ -18,9 +18,11 @@ table.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,7 +33,8 @@ from .simhash import forest
 SAMPLE = 8192  # vectors on which centres are fitted
 PER_CELL = 4096  # vectors for which there is one centre
 MOST_CELLS = 512
-BLOCK = 1024  # vectors of a block
+BLOCK = 2048  # vectors of a block; a vector moves once for each block it is compared with
+CHUNK = 512  # vectors that are compared with a block, or with the centres, in one product
 
 
 def usable(vector: Column) -> Column:
@@ -40,6 +43,12 @@ def usable(vector: Column) -> Column:
     return F.coalesce(finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def matrix(vectors: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows, without a Python number for each component."""
+    flat = vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(vectors), -1)
+
+
 def unit(vectors: np.ndarray) -> np.ndarray:
     """Rows of length one; scaled first, so that squares neither vanish nor overflow."""
     scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
@@ -81,16 +90,25 @@ def placed(nodes: DataFrame, centres: dict[int, np.ndarray], threshold: float) -
     def make():
         apart = {k: np.linalg.norm(c[:, None] - c[None], axis=2) for k, c in centres.items()}
 
-        def cells(vector: list[float]) -> list[int]:
-            if len(vector) not in centres:
-                return [0]
-            near = centres[len(vector)] @ unit(np.array([vector], float))[0]
-            home = int(near.argmax())
-            reach = near[home] - near <= chord * apart[len(vector)][home]
-            return [home, *(int(c) for c in np.flatnonzero(reach) if c > home)]
+        def cells(vectors: pa.Array, size: int) -> Iterator[list[int]]:
+            for start in range(0, len(vectors), CHUNK):
+                near = unit(matrix(vectors.slice(start, CHUNK))) @ centres[size].T
+                home = near.argmax(axis=1)
+                reach = near[np.arange(len(near)), home][:, None] - near <= chord * apart[size][home]
+                reach &= np.arange(near.shape[1]) > home[:, None]
+                for h, r in zip(home.tolist(), reach, strict=True):
+                    yield [h, *np.flatnonzero(r).tolist()]
 
         def work(columns):
-            return {**columns, "cells": [cells(v) for v in columns["vector"].to_pylist()]}
+            vectors = columns["vector"]
+            sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+            found = [[0]] * len(vectors)
+            for size in np.unique(sizes).tolist():
+                if size in centres:
+                    where = np.flatnonzero(sizes == size)
+                    for at, listed in zip(where.tolist(), cells(vectors.take(pa.array(where)), size), strict=True):
+                        found[at] = listed
+            return {**columns, "cells": found}
 
         return work
 
@@ -104,19 +122,25 @@ def compare(threshold: float):
     def run(tile: pa.Table) -> pa.Table:
         node, own, copies = (tile[c].to_numpy() for c in ("node", "own", "copies"))
         guest = tile["guest"].to_numpy().astype(bool)
-        vectors = unit(np.array(tile["vector"].to_pylist(), float))
+        vectors = unit(matrix(tile["vector"]))
         x, y = tile["x"][0].as_py(), tile["y"][0].as_py()
         rows, cols = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        linked = vectors[rows] @ vectors[cols].T >= threshold
-        linked &= ~(guest[rows][:, None] & guest[cols][None])  # these meet in another cell
-        if x == y:
-            np.fill_diagonal(linked, False)
-        counts = np.zeros(len(node), np.int64)
-        counts[rows] += linked @ copies[cols]
-        if x != y:
-            counts[cols] += copies[rows] @ linked
-        i, j = np.nonzero(linked)
-        root = forest(len(node), rows[i], cols[j])
+        counts, every = np.zeros(len(node), np.int64), np.arange(len(node))
+        root = every
+        for start in range(0, len(rows), CHUNK):
+            part = rows[start : start + CHUNK]
+            linked = vectors[part] @ vectors[cols].T >= threshold
+            linked &= ~(guest[part][:, None] & guest[cols][None])  # these meet in another cell
+            if x == y:
+                linked &= part[:, None] != cols[None]
+            i, j = np.nonzero(linked)
+            if not len(i):
+                continue
+            i, j = part[i], cols[j]
+            np.add.at(counts, i, copies[j])
+            if x != y:
+                np.add.at(counts, j, copies[i])
+            root = forest(len(node), np.concatenate([every, i]), np.concatenate([root, j]))
         hit = counts > 0
         return pa.table({"node": node[hit], "n": counts[hit], "root": node[root][hit]})
 

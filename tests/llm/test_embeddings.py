@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from plain import smallest_reachable
 
@@ -59,3 +60,8 @@ def test_all_pairs(spark, monkeypatch, per_cell, block):
 
 def test_nothing(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_vectors_reach_numpy_without_python_numbers():
+    held = pa.chunked_array([pa.array([[9.0, 9.0], [1.0, 2.0]], pa.list_(pa.float32())).slice(1), pa.array([[3.0, 4.0]], pa.list_(pa.float32()))])
+    assert embeddings.matrix(held).tolist() == [[1, 2], [3, 4]]
