@@ -793,26 +793,30 @@ def extract_titles(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
     return read.select(*rest, title.alias("title"))
 
 
-def extract_fields(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
-    """All fields of every page in one pass: title, image, description, price, price_amount.
+def extract_fields(pages: DataFrame, rules: Rules = Rules(), titled: bool = True) -> DataFrame:
+    """All fields of every page in one pass: title, image, description, price, price_amount; without the title
+    unless ``titled``.
 
     Missing values are NULL. Pages with a ``status`` other than 200 get their status as title
     and no other field, as their HTML is not looked at.
     """
     read = with_tokens(_only_loaded_html(pages))
     fields = {
-        "title": page_title(rules),
         "image": page_image(rules),
         "description": page_description(rules),
         "price_text": page_price_text(rules),
     }
-    if "status" in pages.columns:
-        fields["title"] = status_title(F.col("status"), fields["title"])
     rest = [c for c in read.columns if c not in ("tokens", "metas")]
+    if titled:
+        title = page_title(rules)
+        if "status" in pages.columns:
+            title = status_title(F.col("status"), title)
+        # a generator, so that filters on the title do not find it once more each
+        read = read.select("*", F.explode(F.array(title)).alias("title"))
+        rest = [*rest, "title"]
     found = read.select(*rest, *[c.alias(n) for n, c in fields.items()])
     return found.select(
         *rest,
-        "title",
         "image",
         "description",
         _price().alias("price"),
@@ -850,7 +854,7 @@ def product_details(pages: DataFrame, titles: DataFrame, rules: Rules = Rules())
     Only their pages are cut up: the list is joined to the pages first, and broadcast if it is short.
     """
     wanted = pages.join(titles.select("url").distinct(), "url", "left_semi")
-    fields = extract_fields(wanted, rules).drop("title")
+    fields = extract_fields(wanted, rules, titled=False)
     return (
         titles.select("url", "title")
         .join(fields, "url")

@@ -114,7 +114,7 @@ def only_wanted(pages: DataFrame, wanted: DataFrame, also: Sequence[str] = ()) -
 def with_details(titled: DataFrame, pages: DataFrame, rules: Rules, order: Sequence[str]) -> DataFrame:
     """``titled`` with image, description and price, read from its ``pages``."""
     fields = ["image", "description", "price", "price_amount"]
-    read = extract_fields(pages, rules).select("url", *fields, *[c for c in order if c != "url"])
+    read = extract_fields(pages, rules, titled=False).select("url", *fields, *[c for c in order if c != "url"])
     details = dedupe_first(read, "url", order, keep_null=False).select("url", *fields)
     return titled.join(details, "url")
 

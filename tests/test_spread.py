@@ -6,7 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfmark.operators import html as H
+from shelfmark.operators.selection import rule_select
 from shelfmark.plans import registry, shop
+from shelfmark.plans.queries_flow import write_batch
 
 registry.load()
 SF = "/root/testdata/sf0.01"
@@ -40,3 +42,23 @@ def test_scripts_are_read_once(spark):
     assert [tuple(r) for r in found.orderBy("page_id").collect()] == [(1, 1, 11, False), (2, None, None, None)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(html") == 1
+
+
+def test_filters_do_not_find_titles_again(spark):
+    pages = spark.createDataFrame([(1, "u", "<h1 class='h1 page-title'>A</h1>")], "page_id int, url string, html string")
+    fields = H.extract_fields(pages)
+
+    def searches(df) -> int:
+        return df._jdf.queryExecution().optimizedPlan().toString().count("h1 h1 page-title")
+
+    chosen = rule_select(fields.filter("title is not null"))
+    assert searches(chosen) == searches(fields) > 0
+    assert [r.title for r in chosen.collect()] == ["A"]
+
+
+@pytest.mark.parametrize("kept", ["true", "page_id < 2", "false"])
+def test_a_batch_has_its_files(spark, tmp_path, kept):
+    pages, folder = spark.range(20).selectExpr("id as page_id").repartition(5), str(tmp_path / "pages")
+    for batch in range(2):
+        write_batch(pages.filter(kept), folder, 3, 3 * batch)
+        assert len(spark.read.schema("page_id long").parquet(folder).inputFiles()) == 3 * (batch + 1)
