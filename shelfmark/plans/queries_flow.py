@@ -336,7 +336,8 @@ _ALL_LEVELS = "(select cast(2 * ceil(log2(count(*))) as integer) from part)"
 @query("reachable_resumed", f"with recursive {_QUEUE.replace('{levels}', _ALL_LEVELS)} select url, depth, ord from queue")
 def _(spark, sf_dir):
     """A crawl that is stopped after two levels and goes on from its folder, in order."""
-    edges, state = G.link_edges(shop_pages(spark, sf_dir), ROOT), fresh_folder(spark)
+    # both runs read the links from a table: pages are cut up for them once
+    edges, state = cut(G.link_edges(shop_pages(spark, sf_dir), ROOT)), fresh_folder(spark)
     G.reachable(edges, ROOT, state=state, max_levels=2)
     return G.reachable(edges, ROOT, state=state)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 from pyspark.sql import functions as F
 
+from shelfmark.operators import graph as G
 from shelfmark.operators import html as H
 from shelfmark.operators.selection import rule_select
 from shelfmark.plans import registry, shop
@@ -62,3 +63,20 @@ def test_a_batch_has_its_files(spark, tmp_path, kept):
     for batch in range(2):
         write_batch(pages.filter(kept), folder, 3, 3 * batch)
         assert len(spark.read.schema("page_id long").parquet(folder).inputFiles()) == 3 * (batch + 1)
+
+
+def test_a_resumed_crawl_cuts_pages_up_once(spark, rows, tmp_path, monkeypatch):
+    parts = spark.range(40).selectExpr(
+        "id as p_partkey", "concat('n', id) as p_name", "'b' as p_brand", "'t' as p_type", "1 as p_size", "1.5d as p_retailprice"
+    )
+    parts.write.parquet(str(tmp_path / "part.parquet"))
+    plans, reach = [], G.reachable
+
+    def seen(edges, *args, **how):
+        plans.append(edges._jdf.queryExecution().optimizedPlan().toString())
+        return reach(edges, *args, **how)
+
+    monkeypatch.setattr(G, "reachable", seen)
+    got = rows(registry.QUERIES["reachable_resumed"](spark, str(tmp_path)))
+    assert len(plans) == 2 and not any("regexp_extract_all" in p for p in plans)
+    assert got == rows(reach(G.link_edges(shop.shop_pages(spark, str(tmp_path)), shop.ROOT), shop.ROOT))
