@@ -174,8 +174,9 @@ def crawl_until_target(
     """A crawl that feeds the catalogue batch by batch until it holds ``target`` products.
 
     A batch is a level of the crawl: the pages of the frontier are read, their products go into the
-    catalogue, their links make the next frontier. No page is cut up before the crawl comes to it, so
-    what lies beyond the target costs nothing; the batch that meets the target is kept whole. Of products
+    catalogue, their links make the next frontier. The pages are stored by their URL once, like the frontier,
+    so that a level neither makes nor moves those of others; no page is cut up before the crawl comes to it.
+    The batch that meets the target is kept whole. Of products
     of one name the first in the order of the crawl counts, over all batches. Ends too when a level
     finds nothing new.
 
@@ -186,15 +187,16 @@ def crawl_until_target(
     spark, order = pages.sparkSession, list(order_by)
     crawl = Crawl(spark, root, state)
     folder = state or shared_folder(spark, "crawl")
-    # of several snapshots of a page the first counts; laid out by URL like the frontier
-    addresses = pages.select("url", *[c for c in order if c != "url"])
-    addresses = cut_by(dedupe_first(addresses, "url", order, keep_null=False), "url")
+    place = F.struct(*order)
+    stored = cut_by(pages.filter("url is not null"), "url")
+    # of several snapshots of a page the first counts
+    addresses = cut_by(stored.groupBy("url").agg(F.min(place).alias("__first")), "url")
     log_schema = "url string, title string"
     held = batch_parts(spark, f"{folder}/products", CATALOG_SCHEMA, crawl.depth).count()
     while held < target and not crawl.done:
-        wanted = cut(crawl.frontier.join(addresses, "url"))
-        same = reduce(Column.__and__, [pages[c].eqNullSafe(wanted[c]) for c in dict.fromkeys(["url", *order])])
-        wave = cut(pages.join(wanted, same).select(*[pages[c] for c in pages.columns], wanted["ord"]))
+        # the side of the URLs is hashed, as a merge would sort the pages at each level
+        wanted = crawl.frontier.join(addresses, "url").hint("shuffle_hash")
+        wave = cut(stored.join(wanted, "url").filter(place <= F.col("__first")).select(*pages.columns, "ord"))
         known = batch_parts(spark, f"{folder}/products", CATALOG_SCHEMA, crawl.depth)
         job = catalog_job(wave, known, None, rules, shop, select, order_by=["ord"], catalog_is_unique=True)
         for part, rows in (("products", job.added), ("log", job.log)):

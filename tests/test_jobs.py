@@ -281,6 +281,40 @@ def test_a_stopped_crawl_keeps_its_products(spark, tmp_path):
     assert crawled(spark, 99, state=state).products == 8  # nothing is left to find
 
 
+def test_a_crawl_makes_its_pages_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def built(html):
+        made.add(1)
+        return html
+
+    rows_ = [*CRAWLED, (90, *CRAWLED[1][1:]), (91, None, "<a href='/0'>0</a>")]
+    pages = spark.createDataFrame(rows_, "page_id bigint, url string, html string").withColumn("html", built("html"))
+    result = J.crawl_until_target(pages, "https://a.es/0", 99, shop=None)
+    assert result.products == 8
+    assert made.value <= len(rows_)  # not once a level
+
+
+def test_a_level_moves_no_pages(spark, monkeypatch):
+    plans = []
+    cut_ = J.cut
+
+    def seen(df, **options):
+        if "ord" in df.columns and "html" in df.columns:
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return cut_(df, **options)
+
+    monkeypatch.setattr(J, "cut", seen)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        crawled(spark, 99)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(plans) == 5 and not any("Exchange" in p for p in plans)
+
+
 def test_a_crawl_without_pages(spark):
     pages = spark.createDataFrame([], "page_id bigint, url string, html string")
     result = J.crawl_until_target(pages, "https://a.es/0", 3)
