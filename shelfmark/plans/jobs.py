@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,6 +46,7 @@ from ..operators.selection import (
 )
 from ..operators.stats import stage_counts
 from ..session import cut, cut_by, empty_table, shared_folder
+from .shop import page_tasks
 
 @dataclass(frozen=True)
 class JobResult:
@@ -105,10 +105,20 @@ def catalog_job(
 
 
 def only_wanted(pages: DataFrame, wanted: DataFrame, also: Sequence[str] = ()) -> DataFrame:
-    """``pages`` whose URL is in ``wanted``, and that agree with it in the columns ``also``."""
+    """``pages`` whose URL is in ``wanted``, a stored table, and that agree with it in the columns ``also``.
+
+    What follows costs by the page, so a long list is dealt to tasks by its length, and the pages with it: by
+    their bytes, which pack well where pages are alike, they would be left to a few tasks.
+    """
     keys = ["url", *[c for c in also if c != "url"]]
-    same = reduce(Column.__and__, [pages[c].eqNullSafe(wanted[c]) for c in keys])
-    return pages.join(wanted, same, "left_semi")
+
+    def place(df: DataFrame) -> Column:  # in a struct, missing values are equal
+        return F.struct(*[df[c].alias(c) for c in keys])
+
+    tasks = page_tasks(wanted.count())
+    if tasks > int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        wanted = wanted.repartition(tasks, place(wanted))
+    return pages.join(wanted, place(pages) == place(wanted), "left_semi")
 
 
 def with_details(titled: DataFrame, pages: DataFrame, rules: Rules, order: Sequence[str]) -> DataFrame:

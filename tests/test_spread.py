@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from shelfmark.operators import graph as G
 from shelfmark.operators import html as H
 from shelfmark.operators.selection import rule_select
+from shelfmark.plans import jobs as J
 from shelfmark.plans import registry, shop
 from shelfmark.plans.queries_flow import write_batch
+from shelfmark.session import cut
 
 registry.load()
 SF = "/root/testdata/sf0.01"
@@ -80,3 +82,45 @@ def test_a_resumed_crawl_cuts_pages_up_once(spark, rows, tmp_path, monkeypatch):
     got = rows(registry.QUERIES["reachable_resumed"](spark, str(tmp_path)))
     assert len(plans) == 2 and not any("regexp_extract_all" in p for p in plans)
     assert got == rows(reach(G.link_edges(shop.shop_pages(spark, str(tmp_path)), shop.ROOT), shop.ROOT))
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["page_title_v1", "page_title_no_og", "page_price_text_v1", "page_description", "page_description_v1", "page_title", "page_price_text"],
+)
+def test_page_fields_are_dealt_to_tasks(spark, rows, few_pages_a_task, name):
+    assert partitions(registry.QUERIES[name](spark, SF)) == 8
+
+
+def write_parts(spark, folder, count):
+    parts = spark.range(count).selectExpr(
+        "id as p_partkey", "concat('n', id) as p_name", "'b' as p_brand", "'t' as p_type", "1 as p_size", "1.5d as p_retailprice"
+    )
+    parts.write.parquet(f"{folder}/part.parquet")
+
+
+def test_wanted_pages_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    write_parts(spark, tmp_path, 400)
+    monkeypatch.setattr(shop, "PAGES_PER_TASK", 20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a long list
+    try:
+        pages = shop.shop_pages(spark, str(tmp_path))
+        kept = J.only_wanted(pages, cut(pages.select("url", "page_id").filter("page_id < 300")), ["page_id"])
+        cut_up = H.with_tokens(kept)
+        assert partitions(cut_up) == 15
+        assert cut_up.count() == 300
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+@pytest.mark.parametrize("per_task", [4000, 1])
+def test_wanted_pages_may_lack_what_places_them(spark, rows, monkeypatch, per_task):
+    monkeypatch.setattr(shop, "PAGES_PER_TASK", per_task)
+    found = [("a", 1, "x"), ("a", 2, "y"), ("a", None, "z"), ("b", None, "z"), (None, 3, "w"), (None, None, "v"), ("c", 1, "x"), ("a", 1, "x")]
+    pages = spark.createDataFrame(found * 2, "url string, page_id int, html string")
+    listed = [("a", 1), ("b", None), (None, 3), ("a", 1), *[(f"u{n}", n) for n in range(20)]]
+    wanted = cut(spark.createDataFrame(listed, "url string, page_id int"))
+    got = rows(J.only_wanted(pages, wanted, ["page_id"]))
+    assert got == sorted([("a", 1, "x")] * 4 + [("b", None, "z"), (None, 3, "w")] * 2, key=lambda r: tuple((x is not None, str(x)) for x in r))
+    urls = cut(spark.createDataFrame([("a",), (None,), ("u",)], "url string"))
+    assert J.only_wanted(pages, urls).count() == 12
