@@ -81,7 +81,7 @@ def catalog_job(
     order = list(order_by)
     if log is not None:
         addresses = dedupe_first(pages.select("url", *[c for c in order if c != "url"]), "url", order, keep_null=False)
-        pages = only_wanted(pages, cut(exclude_processed_urls(addresses, log)))
+        pages = only_wanted(pages, cut(exclude_processed_urls(addresses, log)), order)
     read = dedupe_first(extract_titles(pages, rules), "url", order, keep_null=False)
     if materialize:
         read = cut(read)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from shelfmark.operators import graph as G
 from shelfmark.operators import html as H
+from shelfmark.operators.catalog import CATALOG_SCHEMA
 from shelfmark.operators.selection import rule_select
 from shelfmark.plans import jobs as J
 from shelfmark.plans import registry, shop
 from shelfmark.plans.queries_flow import write_batch
-from shelfmark.session import cut
+from shelfmark.session import cut, empty_table
 
 registry.load()
 SF = "/root/testdata/sf0.01"
@@ -124,3 +125,20 @@ def test_wanted_pages_may_lack_what_places_them(spark, rows, monkeypatch, per_ta
     assert got == sorted([("a", 1, "x")] * 4 + [("b", None, "z"), (None, 3, "w")] * 2, key=lambda r: tuple((x is not None, str(x)) for x in r))
     urls = cut(spark.createDataFrame([("a",), (None,), ("u",)], "url string"))
     assert J.only_wanted(pages, urls).count() == 12
+
+
+def test_a_run_after_a_log_reads_first_snapshots_only(spark, monkeypatch):
+    title = "<meta property='og:title' content='{}'>"
+    found = [("u", None, "F"), ("u", 1, "A"), ("u", 2, "B"), ("v", 5, "C"), ("v", 4, "D"), ("w", 1, "E")]
+    pages = spark.createDataFrame([(u, p, title.format(t)) for u, p, t in found], "url string, page_id int, html string")
+    log = spark.createDataFrame([("w", "E")], "url string, title string")
+    read, titles = [], J.extract_titles
+
+    def seen(pages, rules):
+        read.extend(pages.select("url", "page_id").collect())
+        return titles(pages, rules)
+
+    monkeypatch.setattr(J, "extract_titles", seen)
+    result = J.catalog_job(pages, empty_table(spark, CATALOG_SCHEMA), log)
+    assert sorted(tuple(r) for r in result.log.collect()) == [("u", "F"), ("v", "D")]
+    assert sorted(tuple(r) for r in read) == [("u", None), ("v", 4)]
