@@ -141,4 +141,4 @@ def test_a_run_after_a_log_reads_first_snapshots_only(spark, monkeypatch):
     monkeypatch.setattr(J, "extract_titles", seen)
     result = J.catalog_job(pages, empty_table(spark, CATALOG_SCHEMA), log)
     assert sorted(tuple(r) for r in result.log.collect()) == [("u", "F"), ("v", "D")]
-    assert sorted(tuple(r) for r in read) == [("u", None), ("v", 4)]
+    assert len(read) == 2 and {tuple(r) for r in read} == {("u", None), ("v", 4)}
